@@ -17,6 +17,11 @@ def ascii_upper(c: Column) -> Column:
     return F.translate(c, string.ascii_lowercase, string.ascii_uppercase)
 
 
+def stripped(c: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def digits(c: Column) -> Column:
     """The ASCII digits of a string."""
     return F.regexp_replace(c, "[^0-9]", "")
@@ -45,4 +50,4 @@ def sigmoid(x: Column) -> Column:
 
 def label_list(c: Column) -> Column:
     """Comma-separated labels to an array: trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(c, ","), lambda v: stripped(v)), lambda v: v != "")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.functions.patterns import GLOBAL_SCOPE, MAX_BODY_BYTES
-from maskweave.functions.text import ascii_lower
+from maskweave.functions.text import ascii_lower, stripped
 from maskweave.operators.dictionary import with_dictionary_spans
-from maskweave.operators.policy import allowed_terms, scope_keys, entry_keys
+from maskweave.operators.policy import allowed_terms, entry_keys, scope_keys
 
 
 def malformed(text: Column) -> Column:
@@ -130,8 +130,8 @@ def scope_config_violations(config: DataFrame) -> DataFrame:
     parts = config.select(
         "entry_no",
         (at > 0).alias("pair"),
-        F.when(at > 0, F.trim(F.expr("substring(entry, 1, instr(entry, '=') - 1)"))).alias("scope"),
-        F.when(at > 0, F.trim(F.expr("substring(entry, instr(entry, '=') + 1)"))).alias("token"),
+        F.when(at > 0, stripped(F.substring("entry", F.lit(1), at - 1))).alias("scope"),
+        F.when(at > 0, stripped(F.substring("entry", at + 1, F.length("entry")))).alias("token"),
     )
     whole = parts.where(F.col("pair") & (F.col("scope") != "") & (F.col("token") != ""))
     named = whole.withColumn("scope_key", ascii_lower("scope"))

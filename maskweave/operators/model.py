@@ -105,12 +105,13 @@ def label_scores(
         rows = labels.where(slot == i).orderBy(label).collect()
         if not rows:
             continue
-        names = [r[label] for r in rows]
+        names = [str(r[label]) for r in rows]
         matrix = np.array([r["vector"] for r in rows], dtype="float64")
         run = _scorer(names, matrix, threshold, key, label)
         part = items.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(
-            run, f"{key} {key_type}, {label} {label_type}, logit double, score double"
+            run, f"{key} {key_type}, {label} string, logit double, score double"
         )
+        part = part.withColumn(label, F.col(label).cast(label_type))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return items.sparkSession.createDataFrame(

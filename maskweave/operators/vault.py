@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from maskweave.functions import spans as S
 from maskweave.functions.patterns import PLACEHOLDER
-from maskweave.functions.text import ascii_upper, inner_name, placeholder
+from maskweave.functions.text import ascii_upper, inner_name, placeholder, stripped
 from maskweave.operators.ranking import numbered
 from maskweave.session import staged
 
@@ -153,7 +153,7 @@ def redact_conversations(
 
 def tidy_inner(c: Column) -> Column:
     """Trimmed and upper-cased inside of a placeholder: replies may reformat it."""
-    return F.upper(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.upper(stripped(c))
 
 
 def restored(text: Column, reals: Column) -> Column:

@@ -118,12 +118,12 @@ asked AS (SELECT DISTINCT source AS rs FROM documents),
 forms AS (
   SELECT * FROM (
     SELECT a.rs, h.*, row_number() OVER (PARTITION BY a.rs, lower(form)
-      ORDER BY whole_word, octet_length(form::BLOB) DESC, ord, form_no) AS pick
+      ORDER BY whole_word, strlen(form) DESC, ord, form_no) AS pick
     FROM asked a JOIN hidden h ON h.scope = 'global' OR h.scope = lower(a.rs))
   WHERE pick = 1),
 scope_patterns AS (
   SELECT rs, '(?i)(?:' || string_agg(CASE WHEN whole_word THEN '\\b' || form || '\\b' ELSE form END,
-    '|' ORDER BY octet_length(form::BLOB) DESC, ord, form_no) || ')' AS pat
+    '|' ORDER BY strlen(form) DESC, ord, form_no) || ')' AS pat
   FROM forms GROUP BY rs)
 """
 
@@ -134,7 +134,10 @@ def dictionary_raw(src: str, key: str, scope: str = "source") -> str:
         f"SELECT {', '.join('x.' + k.strip() for k in key.split(','))}, f.label, 0 AS prio, "
         "x.i AS ord, x.s, x.s + length(x.value) AS e, x.value, 'dictionary' AS source FROM ("
         + located(
-            f"(SELECT t.*, p.pat FROM {src} t JOIN scope_patterns p ON p.rs = t.{scope})",
+            # RE2 knows ASCII word edges only: accented letters become a digit, so that \\b sees
+            # a word character there.  No form contains a digit, and lengths stay the same.
+            f"(SELECT t.* REPLACE (regexp_replace(t.text, '[À-ɏ]', '0', 'g') AS text), p.pat "
+            f"FROM {src} t JOIN scope_patterns p ON p.rs = t.{scope})",
             f"{key}, {scope}",
             "pat",
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,22 @@ def build_session(app: str = "maskweave", master: str | None = None, **extra: st
     return b.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session's application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="maskweave-zip-")
+        archive = shutil.make_archive(
+            f"{folder}/maskweave", "zip", os.path.dirname(here), os.path.basename(here)
+        )
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one.
 
