@@ -10,6 +10,8 @@ Two ways to match, chosen by the size of the policy:
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,6 +28,8 @@ MAX_PATTERN_FORMS = 500
 MAX_PATTERN_SCOPES = 64
 CHUNK_BYTES = 64 * 1024 * 1024
 
+_SHAPES = "array<struct<p:string,label:string>>"
+
 FORM_COLUMNS = ["scope", "form", "label", "whole_word", "ord", "form_no"]
 
 
@@ -119,24 +123,20 @@ def _pattern_spans(
         for f in fs:
             pairs.setdefault(f.form.lower(), f.label)
             pairs.setdefault("".join(map(_fold, f.form)), f.label)
-        return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-
-    def first_equal(fs: list[Form]) -> Column:
-        return F.array(
-            *[
-                F.struct(F.lit(pattern_for([f])).alias("p"), F.lit(f.label).alias("label"))
-                for f in fs
-            ]
-        )
+        return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
+    def odd_shapes(fs: list[Form]) -> Column:
+        # An ASCII form is always found by one of the two lower-cased lookups.
+        odd = [{"p": pattern_for([f]), "label": f.label} for f in fs if not f.form.isascii()]
+        return F.from_json(F.lit(json.dumps(odd)), _SHAPES) if odd else no_shapes
+
+    no_shapes = F.array().cast(_SHAPES)
     hits = df.withColumn(
         "__dict_hit", pick(lambda fs: S.all_matches(t, pattern_for(fs)), S.no_strings())
     )
     whole = pick(lambda fs: F.lit(pattern_for(fs)), F.lit("(?!)"))
     labels = pick(names, F.create_map().cast("map<string,string>"))
-    shapes = pick(
-        first_equal, F.array().cast("array<struct<p:string,label:string>>")
-    )
+    shapes = pick(odd_shapes, no_shapes)
 
     def label_of(r: Column) -> Column:
         # Case folding can match text whose lower case differs from the form.
@@ -277,7 +277,7 @@ def _chunk_handles(df: DataFrame, forms: DataFrame, chunk_bytes: int):
     for i in range(chunks):
         part = forms.where(slot == i).select(*FORM_COLUMNS).toPandas()
         rows = list(part.itertuples(index=False, name=None))
-        yield spark.sparkContext.broadcast({"id": f"{id(forms)}-{i}-{len(rows)}", "forms": rows})
+        yield spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "forms": rows})
 
 
 def _automaton_spans(

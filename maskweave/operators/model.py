@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -179,11 +180,13 @@ def _to_characters(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def _plugin_column(plugin: DetectorPlugin, text: Column) -> Column:
+    tag = f"{plugin.name}-{uuid.uuid4().hex}"
+
     @F.pandas_udf(_PLUGIN)
     def run(texts: pd.Series) -> pd.DataFrame:
-        if plugin.name not in _LOADED:
-            _LOADED[plugin.name] = plugin.load()
-        detect = _LOADED[plugin.name]
+        if tag not in _LOADED:
+            _LOADED[tag] = plugin.load()
+        detect = _LOADED[tag]
         spans, failed = [], []
         for t in texts:
             found, bad = [], False

@@ -6,6 +6,8 @@ decides label ties.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,5 +283,61 @@ def without_allowed(spans: DataFrame, policy: DataFrame, scope: str | None = Non
     ).drop("__keys", "__value")
 
 
+MAX_LITERAL_TERMS = 500
+
+
+def drop_allowed(
+    df: DataFrame,
+    policy: DataFrame,
+    key: list[str],
+    spans: str = "spans",
+    scope: str | None = None,
+    max_terms: int = MAX_LITERAL_TERMS,
+) -> DataFrame:
+    """Remove allowed texts from an array of spans.
+
+    A short allow-list travels in the plan and the filter stays in the row.  A longer one is
+    joined: the allowed values of each row (identified by ``key``) come back as a set.
+    """
+    allow = allowed_terms(policy)
+    head = allow.limit(max_terms + 1).collect()
+    request = F.col(scope) if scope else F.lit(None).cast("string")
+    if not head:
+        return df
+    if len(head) <= max_terms:
+        by_scope: dict[str, list[str]] = {"*": []}
+        for term, entry_scope in head:
+            by_scope.setdefault(entry_scope, []).append(term)
+            by_scope["*"].append(term)
+        table = F.from_json(F.lit(json.dumps(by_scope)), "map<string,array<string>>")
+        none = F.array().cast("array<string>")
+        terms = F.flatten(
+            F.transform(scope_keys(request), lambda k: F.coalesce(F.element_at(table, k), none))
+        )
+        ready = df.withColumn("__terms", terms)
+    else:
+        asked = df.select(
+            *key,
+            scope_keys(request).alias("__keys"),
+            F.explode(F.array_distinct(F.transform(spans, lambda s: ascii_lower(s["value"])))).alias(
+                "allowed"
+            ),
+        )
+        entries = allow.select("allowed", F.explode(entry_keys(F.col("scope"))).alias("__key"))
+        found = (
+            asked.join(entries.distinct(), "allowed")
+            .where(F.array_contains("__keys", F.col("__key")))
+            .groupBy(*key)
+            .agg(F.collect_set("allowed").alias("__terms"))
+        )
+        ready = df.join(found, key, "left")
+    kept = F.filter(
+        spans, lambda s: ~F.array_contains(F.col("__terms"), ascii_lower(s["value"]))
+    )
+    return ready.withColumn(
+        spans, F.when(F.col("__terms").isNull(), F.col(spans)).otherwise(kept)
+    ).drop("__terms")
+
+
 def empty_policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], POLICY_SCHEMA)

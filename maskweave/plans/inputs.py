@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import maskweave
 from maskweave.functions import spans as S
 from maskweave.operators import detect as D
 from maskweave.operators import dictionary as DD
@@ -201,22 +202,21 @@ def detected(spark: SparkSession, sf: str) -> DataFrame:
     return D.with_merged(layered(spark, sf), "dictionary_spans", "pattern_spans")
 
 
+def kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with merged spans less the allow-list, filtered in the row."""
+    return PO.drop_allowed(detected(spark, sf), policy(spark, sf), ["doc_id"], scope="source")
+
+
 def kept_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Span rows of the documents after the allow-list."""
+    """Span rows of the documents after the allow-list, filtered by a join."""
     docs = detected(spark, sf).withColumnRenamed("source", "source_name")
     rows = D.explode_spans(docs, "doc_id", "source_name")
     return PO.without_allowed(rows, policy(spark, sf), scope="source_name")
 
 
-def detected_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation segments with merged spans; no scope, so every term applies."""
-    segs = D.with_pattern_spans(segments(spark, sf))
-    both = DD.with_dictionary_spans(segs, policy(spark, sf), key=["conv_id", "seg_no"])
-    return D.with_merged(both, "dictionary_spans", "pattern_spans")
-
-
 def turn_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return D.explode_spans(detected_turns(spark, sf), "conv_id", "seg_no")
+    """Span rows of the conversations; no scope, so every term applies."""
+    return maskweave.detect(segments(spark, sf), policy(spark, sf), ["conv_id", "seg_no"])
 
 
 def redacted_turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

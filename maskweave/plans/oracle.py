@@ -45,11 +45,15 @@ kept AS (
   WHERE NOT EXISTS (SELECT 1 FROM allowed a WHERE a.term = lower(s.value)
     AND (a.scope = 'global' OR a.scope = lower(d.source))))
 """
-VAULT = """
+ALLOWED_ANY = """
+allowed AS (SELECT lower(term) AS term FROM policy WHERE list = 'allow'),
+kept AS (SELECT * FROM spans s WHERE lower(s.value) NOT IN (SELECT term FROM allowed))
+"""
+VAULT = f"""{ALLOWED_ANY},
 firsts AS (
   SELECT conv_id, value AS real, arg_min(upper(label), seg_no * 1000000000 + s) AS label,
     min(seg_no * 1000000000 + s) AS pos
-  FROM spans GROUP BY ALL),
+  FROM kept GROUP BY ALL),
 vault AS (
   SELECT conv_id, real, label, row_number() OVER (PARTITION BY conv_id, label ORDER BY pos) AS n
   FROM firsts),
@@ -80,23 +84,23 @@ def _pieces(spans: str, texts: str, key: str) -> str:
 
 TURN_RED = f"""{TURN_SPANS}, {VAULT},
 placed AS (SELECT s.conv_id, s.seg_no, s.s, s.e, n.placeholder
-           FROM spans s JOIN named n ON n.conv_id = s.conv_id AND n.real = s.value),
+           FROM kept s JOIN named n ON n.conv_id = s.conv_id AND n.real = s.value),
 {_pieces('placed', 'turns', TKEY)}"""
 
 # One vault per document.
 ROW_VAULT = """
 firsts AS (
   SELECT doc_id, value AS real, arg_min(upper(label), s) AS label, min(s) AS pos
-  FROM spans GROUP BY ALL),
+  FROM {kept} GROUP BY ALL),
 named AS (
   SELECT *, '<<' || label || '_' || row_number() OVER (PARTITION BY doc_id, label ORDER BY pos)
     || '>>' AS placeholder FROM firsts),
 placed AS (SELECT s.doc_id, s.s, s.e, n.placeholder
-           FROM spans s JOIN named n ON n.doc_id = s.doc_id AND n.real = s.value)
+           FROM {kept} s JOIN named n ON n.doc_id = s.doc_id AND n.real = s.value)
 """
-DOC_RED = f"{DOC_SPANS}, {ROW_VAULT}, {_pieces('placed', 'documents', 'doc_id')}"
+DOC_RED = f"{DOC_SPANS}, {ALLOWED}, {ROW_VAULT.format(kept='kept')}, {_pieces('placed', 'documents', 'doc_id')}"
 
-REGEX_RED = f"""{POLICY}, {FORMS}, {regex_spans('documents', 'doc_id')}, {ROW_VAULT},
+REGEX_RED = f"""{POLICY}, {FORMS}, {regex_spans('documents', 'doc_id')}, {ROW_VAULT.format(kept='spans')},
 {_pieces('placed', 'documents', 'doc_id')},
 halves AS (
   SELECT r.doc_id, d.source, CASE WHEN r.doc_id % 2 = 1
@@ -305,7 +309,7 @@ filled AS (
 """
 
 # The sample delta run: user turns were scanned before, half of them under an older policy.
-DELTA = f"""{TURN_SPANS},
+DELTA = f"""{TURN_SPANS}, {ALLOWED_ANY},
 seen AS (SELECT DISTINCT text FROM conversations WHERE role = 'user' AND length(text) % 2 = 0)
 """
 
@@ -490,7 +494,7 @@ def oracle() -> dict[str, str]:
             DELTA,
             "SELECT c.conv_id, c.turn, count(s.s) AS n_spans, "
             "c.text IN (SELECT text FROM seen) AS hit, coalesce(min(s.s), -1) AS first_start "
-            "FROM conversations c LEFT JOIN spans s ON s.conv_id = c.conv_id AND s.seg_no = c.turn "
+            "FROM conversations c LEFT JOIN kept s ON s.conv_id = c.conv_id AND s.seg_no = c.turn "
             "GROUP BY c.conv_id, c.turn, c.text",
         ),
         "delta_hit_rate": "SELECT count(*) AS lookups, count(*) - count(DISTINCT (source, text)) "

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import maskweave
 from maskweave.functions import spans as S
 from maskweave.functions import text as T
 from maskweave.operators import audit as A
@@ -193,8 +194,7 @@ def assign_placeholders(spark, sf):
 
 @query
 def redact_text(spark, sf):
-    docs = V.redact_rows(I.detected(spark, sf))
-    return docs.select("doc_id", "redacted")
+    return V.redact_rows(I.kept(spark, sf)).select("doc_id", "redacted")
 
 
 @query
@@ -206,7 +206,7 @@ def redact_conversations(spark, sf):
 @query
 def restore_text(spark, sf):
     """Redact each document, reformat its placeholders, restore it from its own vault."""
-    docs = V.redact_rows(I.detected(spark, sf))
+    docs = V.redact_rows(I.kept(spark, sf))
     reply = F.regexp_replace(
         F.concat(F.col("redacted"), F.lit(" <<ORG_0>>")), "<<([A-Z]+)_", "<<  $1_"
     )
@@ -369,11 +369,7 @@ def delta_scan(spark, sf):
     """Conversations scanned against a cache filled by an earlier run over the user turns, part
     of it under an older policy version."""
     policy = I.policy(spark, sf)
-    detect = lambda df: D.with_merged(
-        DD.with_dictionary_spans(D.with_pattern_spans(df), policy, key=["seg_hash"]),
-        "dictionary_spans",
-        "pattern_spans",
-    )
+    detect = lambda df: maskweave.detect_rows(df, policy, ["seg_hash"])
     segs = DL.with_hash(I.turns(spark, sf))
     before = segs.where(F.col("role") == "user").groupBy("seg_hash").agg(
         F.any_value("text").alias("text")
