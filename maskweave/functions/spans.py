@@ -6,7 +6,7 @@ an ``array<span>`` column of the row that owns the text, so none of them shuffle
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN_TYPE = "struct<start:bigint,end:bigint,label:string,source:string,score:double,value:string>"
@@ -14,6 +14,19 @@ SPANS_TYPE = f"array<{SPAN_TYPE}>"
 RANGES_TYPE = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add computed columns that are evaluated once per row.
+
+    A plain projection can be inlined: a later filter on a detection result would be pushed
+    below it with a copy of the whole expression, layer over layer.  Columns that come out of
+    ``inline`` over one struct are real values to the optimizer, so filters on them stay above,
+    while filters on other columns still reach the scan.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    row = F.struct(*[e.alias(n) for n, e in columns.items()])
+    return df.select(*rest, F.inline(F.array(row)))
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS_TYPE)
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.functions.patterns import GLOBAL_SCOPE, MAX_BODY_BYTES
+from maskweave.functions.spans import settled
 from maskweave.functions.text import ascii_lower, stripped
 from maskweave.operators.dictionary import with_dictionary_spans
-from maskweave.operators.policy import allowed_terms, entry_keys, scope_keys
+from maskweave.operators.policy import drop_allowed, hidden_forms
 
 
 def malformed(text: Column) -> Column:
@@ -16,28 +17,25 @@ def malformed(text: Column) -> Column:
     return F.contains(text, F.lit("<<")) & ~F.contains(text, F.lit(">>"))
 
 
-def residual_terms(
-    df: DataFrame, policy: DataFrame, key: list[str], text: str, scope: str | None = None
+def with_residual(
+    df: DataFrame,
+    policy: DataFrame,
+    key: list[str],
+    text: str,
+    scope: str | None = None,
+    out: str = "residual",
 ) -> DataFrame:
-    """(key.., residual): protected terms still visible in ``text``; rows with none are absent.
+    """Add the number of protected terms still visible in ``text``.
 
     Only the dictionary is checked: number patterns would trip over timestamps and ids.
     """
-    columns = [*key, *([scope] if scope and scope not in key else [])]
-    hits = with_dictionary_spans(
-        df.select(*columns, text), policy, text=text, scope=scope, key=columns, out="__res"
-    ).select(*columns, F.explode(F.transform("__res", lambda s: s["value"])).alias("value"))
-    request = F.col(scope) if scope else F.lit(None).cast("string")
-    allow = allowed_terms(policy).select(
-        "allowed", F.explode(entry_keys(F.col("scope"))).alias("__key")
-    )
-    left = hits.withColumn("__keys", scope_keys(request)).join(
-        allow.distinct(),
-        (ascii_lower(F.col("value")) == F.col("allowed"))
-        & F.array_contains("__keys", F.col("__key")),
-        "left_anti",
-    )
-    return left.groupBy(*key).agg(F.count("*").alias("residual"))
+    hits = with_dictionary_spans(df, policy, text=text, scope=scope, key=key, out="__res")
+    left = drop_allowed(hits, policy, key, spans="__res", scope=scope)
+    return settled(left, {out: F.size("__res").cast("bigint")}).drop("__res")
+
+
+# Joins decoded strings for one check; no form may contain it, and it is no word character.
+_BETWEEN = "\u0000"
 
 
 def audit(
@@ -52,20 +50,22 @@ def audit(
 
     ``body`` is the serialized output and gets both checks.  ``strings`` is an optional array of
     its decoded strings, which get the term check alone: a serializer escapes some characters,
-    so a term holding one shows only after decoding.
+    so a term holding one shows only after decoding.  Rows stay where they are.
     """
-    found = residual_terms(df, policy, key, body, scope)
+    done = with_residual(df, policy, key, body, scope)
     if strings:
-        columns = [*key, *([scope] if scope and scope not in key else [])]
-        decoded = df.select(*columns, F.posexplode(F.array_distinct(strings)).alias("__no", "__str"))
-        inner = residual_terms(decoded, policy, [*key, "__no"], "__str", scope)
-        found = found.unionByName(inner.drop("__no")).groupBy(*key).agg(
-            F.sum("residual").alias("residual")
+        forms = hidden_forms(policy)
+        if forms.where(F.contains("form", F.lit(_BETWEEN))).take(1):
+            raise ValueError("a taught term must not contain the character U+0000")
+        joined = settled(done, {"__joined": F.array_join(strings, _BETWEEN)})
+        inner = with_residual(joined, policy, key, "__joined", scope, out="__inner")
+        done = inner.withColumn("residual", F.col("residual") + F.col("__inner")).drop(
+            "__joined", "__inner"
         )
     reason = F.when(F.col("residual") > 0, "residual_term").when(
         malformed(F.col(body)), "malformed_placeholder"
     )
-    return df.join(found, key, "left").withColumn("reason", reason).drop("residual")
+    return done.withColumn("reason", reason).drop("residual")
 
 
 def split_clean(audited: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,31 +93,29 @@ def blocked_by_reason(quarantine: DataFrame) -> DataFrame:
     )
 
 
-def resolve_scopes(requests: DataFrame, scopes: DataFrame, key: str) -> DataFrame:
+def resolve_scopes(requests: DataFrame, scopes: DataFrame) -> DataFrame:
     """Add ``scope`` and ``reason`` from the token a request presents.
 
     ``requests`` has ``bearer`` (an Authorization header) and ``api_key``; ``scopes`` has
     (pos, scope, token_hash).  If both name a scope, the last configured one counts.  With no
     scopes configured every request passes without one.
     """
+    if not scopes.take(1):
+        none = F.lit(None).cast("string")
+        return requests.withColumns({"scope": none, "reason": none})
     bearer = F.when(F.col("bearer").startswith("Bearer "), F.substring("bearer", 8, 1 << 30))
-    offered = requests.select(
-        key, F.explode(F.array_distinct(F.array(bearer, F.col("api_key")))).alias("token")
-    )
-    hashed = offered.where(F.col("token").isNotNull()).select(
-        key, F.sha2("token", 256).alias("token_hash")
+    tokens = scopes.groupBy("token_hash").agg(F.max(F.struct("pos", "scope")).alias("hit"))
+    by_bearer = tokens.select(F.col("token_hash").alias("__b"), F.col("hit").alias("__bearer_hit"))
+    by_key = tokens.select(F.col("token_hash").alias("__k"), F.col("hit").alias("__key_hit"))
+    # The scope list is a configuration: Spark broadcasts it, and requests do not move.
+    found = requests.join(by_bearer, F.sha2(bearer, 256) == F.col("__b"), "left").join(
+        by_key, F.sha2("api_key", 256) == F.col("__k"), "left"
     )
-    found = (
-        hashed.join(scopes, "token_hash")
-        .groupBy(key)
-        .agg(F.max_by("scope", "pos").alias("scope"))
-    )
-    if not scopes.take(1):
-        return requests.withColumn("scope", F.lit(None).cast("string")).withColumn(
-            "reason", F.lit(None).cast("string")
-        )
-    return requests.join(found, key, "left").withColumn(
-        "reason", F.when(F.col("scope").isNull(), "unauthorized_scope")
+    scope = F.greatest("__bearer_hit", "__key_hit")["scope"]
+    return found.select(
+        *requests.columns,
+        scope.alias("scope"),
+        F.when(scope.isNull(), "unauthorized_scope").alias("reason"),
     )
 
 

@@ -66,13 +66,14 @@ def with_pattern_spans(
         name = groups.setdefault(id(d.worth_trying), f"__try_{len(groups)}")
         tests.setdefault(name, d.worth_trying(t))
     guarded = df.withColumns(tests)
-    hits = guarded.withColumns(
+    hits = S.settled(
+        guarded,
         {
             f"__hit_{d.label}": F.when(
                 F.col(groups[id(d.worth_trying)]), S.all_matches(t, d.pattern)
             ).otherwise(S.no_strings())
             for d in detectors
-        }
+        },
     )
     layers = []
     for d in detectors:
@@ -80,15 +81,16 @@ def with_pattern_spans(
         if validate and d.valid is not None:
             found = _accepted(found, d.valid)
         layers.append(S.labelled(found, d.label, "regex"))
-    return hits.withColumn(out, F.concat(*layers)).drop(
+    return S.settled(hits, {out: F.concat(*layers)}).drop(
         *tests, *[f"__hit_{d.label}" for d in detectors]
     )
 
 
 def with_merged(df: DataFrame, *layers: str, out: str = "spans") -> DataFrame:
     """Concatenate detector layers and resolve their overlaps."""
-    joined = df.withColumn("__all", F.concat(*[F.col(c) for c in layers]))
-    return joined.withColumn(out, S.merged(F.col("__all"))).drop("__all", *layers)
+    joined = S.settled(df, {"__all": F.concat(*[F.col(c) for c in layers])})
+    done = S.settled(joined, {"__merged": S.merged(F.col("__all"))}).drop("__all", *layers)
+    return done.withColumnRenamed("__merged", out)
 
 
 def detect_patterns(
@@ -102,9 +104,8 @@ def detect_patterns(
 
 
 def explode_spans(df: DataFrame, *keep: str, spans: str = "spans") -> DataFrame:
-    """One row per span.  The array passes through ``transform`` so that no emptiness filter
-    is inferred and pushed below the detection, which would run it twice."""
-    rows = df.select(*keep, F.explode(F.transform(F.col(spans), lambda s: s)).alias("__s"))
+    """One row per span."""
+    rows = df.select(*keep, F.explode(spans).alias("__s"))
     return rows.select(
         *keep,
         F.col("__s.start").alias("start"),

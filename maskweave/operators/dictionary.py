@@ -131,8 +131,8 @@ def _pattern_spans(
         return F.from_json(F.lit(json.dumps(odd)), _SHAPES) if odd else no_shapes
 
     no_shapes = F.array().cast(_SHAPES)
-    hits = df.withColumn(
-        "__dict_hit", pick(lambda fs: S.all_matches(t, pattern_for(fs)), S.no_strings())
+    hits = S.settled(
+        df, {"__dict_hit": pick(lambda fs: S.all_matches(t, pattern_for(fs)), S.no_strings())}
     )
     whole = pick(lambda fs: F.lit(pattern_for(fs)), F.lit("(?!)"))
     labels = pick(names, F.create_map().cast("map<string,string>"))
@@ -148,7 +148,7 @@ def _pattern_spans(
         )
 
     found = S.ranges(t, whole, F.col("__dict_hit"))
-    return hits.withColumn(out, S.labelled(found, label_of, "dictionary")).drop("__dict_hit")
+    return S.settled(hits, {out: S.labelled(found, label_of, "dictionary")}).drop("__dict_hit")
 
 
 # --- many forms: automaton over broadcast chunks ----------------------------------------
@@ -295,13 +295,12 @@ def _automaton_spans(
         return df.withColumn(out, S.no_spans())
     if len(handles) == 1:
         with_cands = df.withColumn("__cand", _candidate_column(handles[0], F.col(text), request))
-        return with_cands.withColumn(
-            out, _leftmost_longest(F.col("__cand"), F.col(text))
-        ).drop("__cand")
+        best = _leftmost_longest(F.col("__cand"), F.col(text))
+        return S.settled(with_cands, {out: best}).drop("__cand")
     # One narrow pass per chunk; the candidates of a row then meet on its key.
     passes = [
         df.select(*key, _candidate_column(h, F.col(text), request).alias("__cand"))
-        .select(*key, F.explode(F.transform("__cand", lambda c: c)).alias("__c"))
+        .select(*key, F.explode("__cand").alias("__c"))
         for h in handles
     ]
     cands = (
@@ -311,9 +310,8 @@ def _automaton_spans(
     )
     joined = df.join(cands, key, "left")
     empty = F.array().cast(_CANDIDATE)
-    return joined.withColumn(
-        out, _leftmost_longest(F.coalesce("__cand", empty), F.col(text))
-    ).drop("__cand")
+    best = _leftmost_longest(F.coalesce("__cand", empty), F.col(text))
+    return S.settled(joined, {out: best}).drop("__cand")
 
 
 # --- entry point -----------------------------------------------------------------------

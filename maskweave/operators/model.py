@@ -19,14 +19,14 @@ from maskweave.functions import spans as S
 def with_words(df: DataFrame, text: str = "text", out: str = "words") -> DataFrame:
     """Add the words of a text with their ranges in the original text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    hits = df.withColumn("__words", S.all_matches(t, P.WORD))
-    return hits.withColumn(out, S.ranges(t, P.WORD, F.col("__words"))).drop("__words")
+    hits = S.settled(df, {"__words": S.all_matches(t, P.WORD)})
+    return S.settled(hits, {out: S.ranges(t, P.WORD, F.col("__words"))}).drop("__words")
 
 
 def word_tokens(df: DataFrame, *key: str, text: str = "text") -> DataFrame:
     """One row per word: (key.., word_no, word, start, end)."""
     words = with_words(df, text).select(
-        *key, F.posexplode(F.transform("words", lambda w: w)).alias("word_no", "w")
+        *key, F.posexplode("words").alias("word_no", "w")
     )
     return words.select(
         *key,
@@ -226,7 +226,8 @@ def with_plugin_spans(
         spans = F.filter(spans, lambda s: F.array_contains(wanted, s["label"]))
     if plugin.threshold is not None and 0.0 <= plugin.threshold <= 1.0:
         spans = F.filter(spans, lambda s: s["score"] >= plugin.threshold)
-    return ran.select(*df.columns, spans.alias(out), F.col("__plugin.failed").alias("failed"))
+    done = S.settled(ran, {out: spans, "failed": F.col("__plugin.failed")})
+    return done.select(*df.columns, out, "failed")
 
 
 def detector_failures(df: DataFrame) -> DataFrame:

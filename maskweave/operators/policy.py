@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskweave.functions.patterns import GLOBAL_SCOPE
+from maskweave.functions.spans import settled
 from maskweave.functions.text import ascii_lower
 from maskweave.operators.ranking import running
 
@@ -314,7 +315,7 @@ def drop_allowed(
         terms = F.flatten(
             F.transform(scope_keys(request), lambda k: F.coalesce(F.element_at(table, k), none))
         )
-        ready = df.withColumn("__terms", terms)
+        ready = settled(df, {"__terms": terms})
     else:
         asked = df.select(
             *key,
@@ -334,9 +335,8 @@ def drop_allowed(
     kept = F.filter(
         spans, lambda s: ~F.array_contains(F.col("__terms"), ascii_lower(s["value"]))
     )
-    return ready.withColumn(
-        spans, F.when(F.col("__terms").isNull(), F.col(spans)).otherwise(kept)
-    ).drop("__terms")
+    left = F.when(F.col("__terms").isNull(), F.col(spans)).otherwise(kept)
+    return settled(ready, {"__left": left}).drop("__terms", spans).withColumnRenamed("__left", spans)
 
 
 def empty_policy(spark: SparkSession) -> DataFrame:

@@ -45,65 +45,109 @@ def merge_intervals(spans: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def _edge(at: Column, gold: int, pred: int) -> Column:
+    return F.struct(
+        F.greatest(at, F.lit(0)).cast("bigint").alias("at"),
+        F.lit(gold).alias("gold"),
+        F.lit(pred).alias("pred"),
+    )
+
+
+def _both_edges(s: Column, side: str) -> Column:
+    g, p = (1, 0) if side == "gold" else (0, 1)
+    return F.array(_edge(s["start"], g, p), _edge(s["end"], -g, -p))
+
+
+def _covered(events: DataFrame, key: list[str], kept: list[str]) -> DataFrame:
+    """Sweep over edge events.  Each text also has one event at its length that carries
+    ``meta``; whatever lies beyond it does not count."""
+    points = events.groupBy(*key, "at").agg(
+        F.sum("gold").alias("gold"),
+        F.sum("pred").alias("pred"),
+        F.first("meta", ignorenulls=True).alias("meta"),
+    )
+    whole = Window.partitionBy(*key)
+    w = whole.orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    size = F.max(F.when(F.col("meta").isNotNull(), F.col("at"))).over(whole)
+    stretches = points.select(
+        *key,
+        "meta",
+        F.when(F.col("at") < size, F.lead("at").over(w) - F.col("at")).alias("len"),
+        (F.sum("gold").over(so_far) > 0).alias("in_gold"),
+        (F.sum("pred").over(so_far) > 0).alias("in_pred"),
+        size.alias("size"),
+    )
+
+    def chars(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("len"))), F.lit(0)).cast("bigint")
+
+    sums = stretches.groupBy(*key).agg(
+        F.first("meta", ignorenulls=True).alias("meta"),
+        chars(F.col("in_gold") & F.col("in_pred")).alias("tp_chars"),
+        chars(F.col("in_gold")).alias("gold_chars"),
+        chars(F.col("in_pred")).alias("pred_chars"),
+        F.max("size").alias("size"),
+    )
+    return sums.select(
+        *key,
+        *[F.col(f"meta.{c}").alias(c) for c in kept],
+        "tp_chars",
+        "gold_chars",
+        "pred_chars",
+        (F.col("size") - F.col("gold_chars")).alias("nonpii_chars"),
+    )
+
+
 def overlap_chars(
     docs: DataFrame, gold: DataFrame, pred: DataFrame, key: list[str], n_chars: str = "n_chars"
 ) -> DataFrame:
     """Per text: characters covered by gold, by pred, by both, and by no gold.
 
     A sweep over range ends: +1 where a range opens and -1 where it closes, summed in position
-    order, tells for each stretch whether each side covers it.  Linear in the ranges; no pair
-    of ranges is ever formed.
+    order, tells for each stretch whether each side covers it.  Linear in the ranges, one
+    shuffle by text; no pair of ranges is ever formed.
     """
 
     def edges(spans: DataFrame, side: str) -> DataFrame:
-        fit = (
-            spans.join(docs.select(*key, F.col(n_chars).alias("__n")), key)
-            .select(
-                *key,
-                F.greatest("start", F.lit(0)).cast("bigint").alias("s"),
-                F.least("end", "__n").cast("bigint").alias("e"),
-            )
-            .where(F.col("e") > F.col("s"))
-        )
-        other = "pred" if side == "gold" else "gold"
-        return fit.select(
-            *key,
-            F.explode(
-                F.array(
-                    F.struct(F.col("s").alias("at"), F.lit(1).alias(side), F.lit(0).alias(other)),
-                    F.struct(F.col("e").alias("at"), F.lit(-1).alias(side), F.lit(0).alias(other)),
-                )
-            ).alias("x"),
-        ).select(*key, "x.at", "x.gold", "x.pred")
-
-    ends = (
-        edges(gold, "gold")
-        .unionByName(edges(pred, "pred"))
-        .groupBy(*key, "at")
-        .agg(F.sum("gold").alias("gold"), F.sum("pred").alias("pred"))
-    )
-    w = Window.partitionBy(*key).orderBy("at")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    stretches = ends.select(
-        *key,
-        (F.lead("at").over(w) - F.col("at")).alias("len"),
-        (F.sum("gold").over(so_far) > 0).alias("in_gold"),
-        (F.sum("pred").over(so_far) > 0).alias("in_pred"),
+        fit = spans.where((F.col("end") > F.col("start")) & (F.col("end") > 0))
+        both = _both_edges(F.struct("start", "end"), side)
+        return fit.select(*key, F.explode(both).alias("x"), F.lit(None).alias("meta"))
+
+    kept = [c for c in docs.columns if c not in key]
+    ends = docs.select(
+        *key, _edge(F.col(n_chars), 0, 0).alias("x"), F.struct(*kept).alias("meta")
     )
-    covered = stretches.groupBy(*key).agg(
-        F.sum(F.when(F.col("in_gold") & F.col("in_pred"), F.col("len"))).alias("tp"),
-        F.sum(F.when(F.col("in_gold"), F.col("len"))).alias("gold"),
-        F.sum(F.when(F.col("in_pred"), F.col("len"))).alias("pred"),
+    events = ends.unionByName(edges(gold, "gold")).unionByName(edges(pred, "pred"))
+    return _covered(events.select(*key, "x.*", "meta"), key, kept)
+
+
+def overlap_in_rows(
+    rows: DataFrame, key: list[str], kept: list[str], gold: str, pred: str, n_chars: str = "n_chars"
+) -> DataFrame:
+    """:func:`overlap_chars` for rows that hold both span arrays: one scan of the texts."""
+
+    def edges(spans: str, side: str) -> Column:
+        fit = F.filter(spans, lambda s: (s["end"] > s["start"]) & (s["end"] > 0))
+        return F.flatten(F.transform(fit, lambda s: _both_edges(s, side)))
+
+    plain = F.concat(edges(gold, "gold"), edges(pred, "pred"))
+    meta = F.struct(*kept)
+    none = F.lit(None).cast(rows.select(meta.alias("m")).schema["m"].dataType)
+    tagged = F.transform(
+        plain,
+        lambda e: F.struct(
+            e["at"].alias("at"), e["gold"].alias("gold"), e["pred"].alias("pred"), none.alias("meta")
+        ),
     )
-    zero = F.lit(0).cast("bigint")
-    sums = docs.join(covered, key, "left")
-    return sums.select(
-        *docs.columns,
-        F.coalesce("tp", zero).alias("tp_chars"),
-        F.coalesce("gold", zero).alias("gold_chars"),
-        F.coalesce("pred", zero).alias("pred_chars"),
-        (F.col(n_chars) - F.coalesce("gold", zero)).cast("bigint").alias("nonpii_chars"),
+    last = F.struct(
+        F.col(n_chars).cast("bigint").alias("at"),
+        F.lit(0).alias("gold"),
+        F.lit(0).alias("pred"),
+        meta.alias("meta"),
     )
+    events = rows.select(*key, F.explode(F.concat(tagged, F.array(last))).alias("x"))
+    return _covered(events.select(*key, "x.*"), key, kept)
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -74,10 +74,9 @@ def restore_map(vault: Column) -> Column:
 
 def redact_rows(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Add ``vault`` and ``redacted``; every row is its own conversation."""
-    with_vault = df.withColumn("vault", row_vault(F.col(spans)))
-    return with_vault.withColumn(
-        "redacted", S.applied(F.col(text), row_cuts(F.col(spans), F.col("vault")))
-    )
+    with_vault = S.settled(df, {"vault": row_vault(F.col(spans))})
+    with_cuts = S.settled(with_vault, {"__cuts": row_cuts(F.col(spans), F.col("vault"))})
+    return S.settled(with_cuts, {"redacted": S.applied(F.col(text), F.col("__cuts"))}).drop("__cuts")
 
 
 # --- one vault per conversation ----------------------------------------------------------
@@ -131,11 +130,8 @@ def apply_cuts(
     segments: DataFrame, cuts: DataFrame, conv: str = "conv_id", seg: str = "seg_no"
 ) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,end:bigint,placeholder:string>>")
-    return (
-        segments.join(cuts, [conv, seg], "left")
-        .withColumn("redacted", S.applied(F.col("text"), F.coalesce("cuts", none)))
-        .drop("cuts")
-    )
+    joined = segments.join(cuts, [conv, seg], "left").withColumn("cuts", F.coalesce("cuts", none))
+    return S.settled(joined, {"redacted": S.applied(F.col("text"), F.col("cuts"))}).drop("cuts")
 
 
 def redact_conversations(
@@ -192,11 +188,11 @@ def restore_by_join(
         .agg(F.map_from_entries(F.collect_list(F.struct("inner", "real"))).alias("__reals"))
     )
     none = F.create_map().cast("map<string,string>")
-    return (
-        texts.join(known, [conv, seg], "left")
-        .withColumn("restored", restored(F.col(text), F.coalesce("__reals", none)))
-        .drop("__reals")
+    joined = texts.join(known, [conv, seg], "left").withColumn(
+        "__reals", F.coalesce("__reals", none)
     )
+    done = restored(F.col(text), F.col("__reals"))
+    return S.settled(joined, {"restored": done}).drop("__reals")
 
 
 # --- sealing at rest -------------------------------------------------------------------------

@@ -20,12 +20,13 @@ from maskweave.sources.tables import table, text_table
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return text_table(spark, sf, "documents", "doc_id", *(columns or ("doc_id", "text", "source")))
+    return text_table(spark, sf, "documents", ["doc_id"], *(columns or ("doc_id", "text", "source")))
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation segments: the turn is the segment number."""
-    return text_table(spark, sf, "conversations", "conv_id", "conv_id", "turn", "role", "text")
+    key = ["conv_id", "turn"]
+    return text_table(spark, sf, "conversations", key, *key, "role", "text")
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:

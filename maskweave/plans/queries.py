@@ -254,17 +254,19 @@ def sealed_vault_roundtrip(spark, sf):
 def _half_redacted(spark, sf):
     """Documents redacted by the pattern layer alone: taught terms stay visible."""
     docs = D.detect_patterns(I.documents(spark, sf))
-    red = V.redact_rows(docs).select("doc_id", "source", F.col("redacted").alias("body"))
+    red = V.redact_rows(docs).select("doc_id", "source", "redacted")
     # Odd documents lose their last closing bracket, as a cut-off transfer would.
-    cut = F.regexp_replace("body", r"(?s)>>[^>]*$", "")
-    return red.withColumn("body", F.when(F.col("doc_id") % 2 == 1, cut).otherwise(F.col("body")))
+    cut = F.regexp_replace("redacted", r"(?s)>>[^>]*$", "")
+    body = F.when(F.col("doc_id") % 2 == 1, cut).otherwise(F.col("redacted"))
+    return S.settled(red, {"body": body}).drop("redacted")
 
 
 @query
 def audit_residual(spark, sf):
-    return A.residual_terms(
+    found = A.with_residual(
         _half_redacted(spark, sf), I.policy(spark, sf), ["doc_id"], "body", scope="source"
     )
+    return found.where(F.col("residual") > 0).select("doc_id", "residual")
 
 
 @query
@@ -306,14 +308,14 @@ def audit_decoded_strings(spark, sf):
 
 @query
 def scope_resolution(spark, sf):
-    return A.resolve_scopes(I.requests(spark, sf), I.scopes(spark, sf), "req_id").select(
+    return A.resolve_scopes(I.requests(spark, sf), I.scopes(spark, sf)).select(
         "req_id", "scope", "reason"
     )
 
 
 @query
 def scope_requests(spark, sf):
-    done = A.resolve_scopes(I.requests(spark, sf), I.scopes(spark, sf), "req_id")
+    done = A.resolve_scopes(I.requests(spark, sf), I.scopes(spark, sf))
     return done.where(F.col("scope").isNotNull()).groupBy("scope").agg(
         F.count("*").alias("requests")
     )
@@ -330,7 +332,7 @@ def blocked_by_reason(spark, sf):
     audited = A.audit(
         _half_redacted(spark, sf), I.policy(spark, sf), ["doc_id"], "body", scope="source"
     )
-    refused = A.resolve_scopes(I.requests(spark, sf), I.scopes(spark, sf), "req_id")
+    refused = A.resolve_scopes(I.requests(spark, sf), I.scopes(spark, sf))
     return A.blocked_by_reason(audited.select("reason").unionByName(refused.select("reason")))
 
 
@@ -453,8 +455,20 @@ def span_overlap(spark, sf):
 
 
 def _scores(spark, sf):
-    base, gold, pred = _gold_and_pred(spark, sf)
-    return SC.masking_score(SC.overlap_chars(base, gold, pred, ["doc_id"]), "lang")
+    """The same comparison from arrays in one row: the texts are read once."""
+    docs = D.detect_patterns(I.documents(spark, sf, "doc_id", "text", "lang"), out="gold")
+    raw = D.with_pattern_spans(docs, (D.CARD, D.PHONE), out="pred", validate=False)
+    rows = raw.select(
+        "doc_id",
+        "lang",
+        F.length("text").cast("bigint").alias("n_chars"),
+        "gold",
+        F.transform(
+            "pred", lambda s: F.struct((s["start"] + 2).alias("start"), (s["end"] + 2).alias("end"))
+        ).alias("pred"),
+    )
+    per_text = SC.overlap_in_rows(rows, ["doc_id"], ["lang"], "gold", "pred")
+    return SC.masking_score(per_text, "lang")
 
 
 @query

@@ -23,6 +23,10 @@ SETTINGS = {
 }
 
 
+# Default size of one file split.
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def build_session(app: str = "maskweave", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings above; keyword names use ``__`` for dots."""
     b = SparkSession.builder.appName(app)
@@ -85,10 +89,11 @@ def plan_bytes(df: DataFrame) -> int:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input over all cores before per-row text work.
 
-    Tables of many files already arrive in enough tasks and are left alone: the shuffle is
-    added only when the whole input is smaller than one file split per core.
+    A table with enough file splits is left alone.  The shuffle is added only when the splits
+    would keep fewer than a quarter of the cores busy.  ``keys`` should name single rows, so
+    that no value of them holds many.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) < cores * 128 * 1024 * 1024:
+    if plan_bytes(df) * 4 < cores * SPLIT_BYTES:
         return df.repartition(cores, *keys)
     return df

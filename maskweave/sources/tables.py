@@ -15,9 +15,11 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def text_table(spark: SparkSession, folder: str, name: str, key: str, *columns: str) -> DataFrame:
+def text_table(
+    spark: SparkSession, folder: str, name: str, key: list[str], *columns: str
+) -> DataFrame:
     """A table for per-row text work, spread over all cores when it is small."""
-    return spread(table(spark, folder, name, *columns), key)
+    return spread(table(spark, folder, name, *columns), *key)
 
 
 def gold_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -50,10 +50,10 @@ def test_resolve_scopes(spark):
     scopes = scopes.select("pos", "scope", F.sha2("t", 256).alias("token_hash"))
     rows = [(1, "Bearer t1", None), (2, None, "t2"), (3, "t1", None), (4, "Bearer t1", "t2"), (5, None, None)]
     req = spark.createDataFrame(rows, "id int, bearer string, api_key string")
-    got = {r.id: (r.scope, r.reason) for r in A.resolve_scopes(req, scopes, "id").collect()}
+    got = {r.id: (r.scope, r.reason) for r in A.resolve_scopes(req, scopes).collect()}
     bad = (None, "unauthorized_scope")
     assert got == {1: ("alpha", None), 2: ("beta", None), 3: bad, 4: ("beta", None), 5: bad}
-    open_mode = A.resolve_scopes(req, scopes.limit(0), "id").collect()
+    open_mode = A.resolve_scopes(req, scopes.limit(0)).collect()
     assert all(r.scope is None and r.reason is None for r in open_mode)
 
 
