@@ -1,7 +1,8 @@
 """Span arrays: finding, ordering, merging and applying detected ranges.
 
 A span is a half-open code-point range of one text plus its label.  All functions work on
-an ``array<span>`` column of the row that owns the text, so none of them shuffles.
+an ``array<span>`` column of the row that owns the text, so none of them shuffles.  The folds are
+SQL text over column names: one call to the JVM each, however long the expression.
 """
 
 from __future__ import annotations
@@ -40,28 +41,35 @@ def all_matches(text: Column, pattern: str | Column) -> Column:
     return F.regexp_extract_all(text, p, F.lit(0))
 
 
-def ranges(text: Column, pattern: str | Column, matches: Column) -> Column:
-    """Positions of ``matches`` (every match of ``pattern`` in ``text``, in order).
+def sql_text(s: str) -> str:
+    """A string as a Spark SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    The pieces between the matches come from ``split`` on the same pattern, so summing
-    lengths along (piece, match, piece, ...) gives each match's start.  ``split`` runs only
-    on rows that have a match.
-    """
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps = F.slice(F.split(text, p, F.lit(-1)), F.lit(1), F.size(matches))
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("hit")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(found)).alias("out"))
+def pieces(text: str, pattern: str) -> str:
+    """The text around the matches of a pattern, as an SQL array."""
+    return f"split({text}, {pattern}, -1)"
+
 
-    zero = F.struct(
-        F.lit(0).cast("bigint").alias("pos"), F.array().cast(RANGES_TYPE).alias("out")
+def ranges(gaps: str, matches: str) -> Column:
+    """Positions of ``matches``, every match of a pattern in order, from ``gaps``, the pieces
+    around them (both are SQL arrays).
+
+    Summing lengths along (piece, match, piece, ...) gives each match's start.  The pieces are
+    only made for rows that have a match.
+    """
+    return F.expr(
+        f"""CASE WHEN size({matches}) > 0 THEN aggregate(
+          zip_with(slice({gaps}, 1, size({matches})), {matches},
+            (g, m) -> struct(length(g) AS gap, length(m) AS len, m AS hit)),
+          struct(0L AS pos, CAST(array() AS {RANGES_TYPE}) AS out),
+          (acc, x) -> struct(
+            acc.pos + x.gap + x.len AS pos,
+            concat(acc.out, array(struct(acc.pos + x.gap AS `start`,
+              acc.pos + x.gap + x.len AS `end`, x.hit AS value))) AS out),
+          acc -> acc.out)
+        ELSE CAST(array() AS {RANGES_TYPE}) END"""
     )
-    folded = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, folded).otherwise(F.array().cast(RANGES_TYPE))
 
 
 def labelled(found: Column, label, source: str) -> Column:
@@ -81,58 +89,52 @@ def labelled(found: Column, label, source: str) -> Column:
     return F.transform(found, one)
 
 
-def priority(source: Column) -> Column:
-    """Deterministic layers outrank any other detector at the same start."""
-    return F.when(source == "dictionary", 0).when(source == "regex", 1).otherwise(2)
-
-
-def merged(spans: Column) -> Column:
+def merged(spans: str) -> Column:
     """Drop overlaps: earliest start, then source priority, then longest, then list order.
 
-    A dropped span does not move the frontier, which is why this is a fold and not a
-    running maximum.
+    Deterministic layers outrank any other detector at the same start.  A dropped span does not
+    move the frontier, which is why this is a fold and not a running maximum.
     """
-    keyed = F.transform(
-        spans,
-        lambda s, i: F.struct(
-            s["start"].alias("start"),
-            priority(s["source"]).alias("prio"),
-            (s["start"] - s["end"]).alias("neg_len"),
-            i.alias("ord"),
-            s.alias("span"),
-        ),
+    return F.expr(
+        f"""CASE WHEN size({spans}) > 1 THEN aggregate(
+          sort_array(transform({spans}, (s, i) -> struct(s.`start` AS `start`,
+            CASE s.source WHEN 'dictionary' THEN 0 WHEN 'regex' THEN 1 ELSE 2 END AS prio,
+            s.`start` - s.`end` AS neg_len, i AS ord, s AS span))),
+          struct(-1L AS frontier, CAST(array() AS {SPANS_TYPE}) AS out),
+          (acc, x) -> CASE WHEN x.`start` >= acc.frontier
+            THEN struct(x.span.`end` AS frontier, concat(acc.out, array(x.span)) AS out)
+            ELSE acc END,
+          acc -> acc.out)
+        ELSE {spans} END"""
     )
 
-    def step(acc: Column, x: Column) -> Column:
-        keep = x["start"] >= acc["frontier"]
-        return F.when(
-            keep,
-            F.struct(
-                x["span"]["end"].alias("frontier"),
-                F.concat(acc["out"], F.array(x["span"])).alias("out"),
-            ),
-        ).otherwise(acc)
-
-    zero = F.struct(F.lit(-1).cast("bigint").alias("frontier"), no_spans().alias("out"))
-    folded = F.aggregate(F.sort_array(keyed), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(spans) > 1, folded).otherwise(spans)
-
 
-def suppressed(spans: Column) -> Column:
+def suppressed(spans: str) -> Column:
     """Score suppression: best score first, drop overlaps with a kept span of the same label."""
-    keyed = F.transform(
-        spans, lambda s, i: F.struct((-s["score"]).alias("neg"), i.alias("ord"), s.alias("span"))
+    return F.expr(
+        f"""aggregate(
+          sort_array(transform({spans}, (s, i) -> struct(-s.score AS neg, i AS ord, s AS span))),
+          CAST(array() AS {SPANS_TYPE}),
+          (kept, x) -> CASE WHEN exists(kept, k -> k.label = x.span.label
+              AND x.span.`start` < k.`end` AND x.span.`end` > k.`start`)
+            THEN kept ELSE concat(kept, array(x.span)) END)"""
     )
 
-    def step(kept: Column, x: Column) -> Column:
-        s = x["span"]
-        clash = F.exists(
-            kept,
-            lambda k: (k["label"] == s["label"]) & (s["start"] < k["end"]) & (s["end"] > k["start"]),
-        )
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(s)))
 
-    return F.aggregate(F.sort_array(keyed), no_spans(), step)
+def leftmost_longest(candidates: str, text: str) -> Column:
+    """Spans from dictionary candidates: sorted by start and rank, skipping what overlaps."""
+    return F.expr(
+        f"""aggregate(
+          sort_array({candidates}),
+          struct(0L AS frontier, CAST(array() AS {SPANS_TYPE}) AS out),
+          (acc, c) -> CASE WHEN c.`start` >= acc.frontier THEN struct(c.`end` AS frontier,
+              concat(acc.out, array(struct(c.`start` AS `start`, c.`end` AS `end`,
+                c.label AS label, 'dictionary' AS source, 0.0D AS score,
+                substring({text}, CAST(c.`start` + 1 AS INT), CAST(c.`end` - c.`start` AS INT))
+                  AS value))) AS out)
+            ELSE acc END,
+          acc -> acc.out)"""
+    )
 
 
 def clamped(spans: Column, text: Column) -> Column:
@@ -154,20 +156,15 @@ def clamped(spans: Column, text: Column) -> Column:
     return F.filter(F.transform(spans, fix), lambda s: s["start"] < s["end"])
 
 
-def applied(text: Column, cuts: Column) -> Column:
+def applied(text: str, cuts: str) -> Column:
     """Replace each range of ``cuts`` (array of start, end, placeholder; in order) in one pass."""
-
-    def step(acc: Column, c: Column) -> Column:
-        gap = F.substring(text, acc["cursor"] + 1, c["start"] - acc["cursor"])
-        return F.struct(
-            F.concat(acc["out"], F.array(gap, c["placeholder"])).alias("out"),
-            c["end"].alias("cursor"),
-        )
-
-    zero = F.struct(no_strings().alias("out"), F.lit(0).cast("bigint").alias("cursor"))
-
-    def finish(acc: Column) -> Column:
-        tail = F.substring(text, acc["cursor"] + 1, F.length(text) - acc["cursor"])
-        return F.concat(F.array_join(acc["out"], ""), tail)
-
-    return F.when(F.size(cuts) > 0, F.aggregate(cuts, zero, step, finish)).otherwise(text)
+    return F.expr(
+        f"""CASE WHEN size({cuts}) > 0 THEN aggregate({cuts},
+          struct(CAST(array() AS array<string>) AS out, 0L AS cursor),
+          (acc, c) -> struct(
+            concat(acc.out, array(substring({text}, CAST(acc.cursor + 1 AS INT),
+              CAST(c.`start` - acc.cursor AS INT)), c.placeholder)) AS out,
+            c.`end` AS cursor),
+          acc -> concat(array_join(acc.out, ''), substring({text}, CAST(acc.cursor + 1 AS INT))))
+        ELSE {text} END"""
+    )

@@ -6,7 +6,6 @@ no shuffle, no Python worker.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,40 +13,35 @@ from pyspark.sql import functions as F
 
 from maskweave.functions import patterns as P
 from maskweave.functions import spans as S
-from maskweave.functions.text import ascii_lower, digits
+from maskweave.functions.text import ascii_lower
 
 
 @dataclass(frozen=True)
 class PatternDetector:
+    """``worth_trying`` is a cheap SQL test on {t} that never rejects a text the pattern could
+    match; ``valid`` is an SQL test on a matched value {v}."""
+
     label: str
     pattern: str
-    # Cheap test that never rejects a text the pattern could match.
-    worth_trying: Callable[[Column], Column]
-    valid: Callable[[Column], Column] | None = None
-
-
-def _card_ok(v: Column) -> Column:
-    d = digits(v)
-    return F.length(d).between(13, 19) & F.call_function("luhn_check", d)
-
-
-def _phone_ok(v: Column) -> Column:
-    return (F.length(digits(v)) >= 7) & ~v.rlike(P.ISO_DATE)
-
+    worth_trying: str
+    valid: str | None = None
 
-def _accepted(found: Column, valid: Callable[[Column], Column]) -> Column:
-    return F.filter(found, lambda r: valid(r["value"]))
-
-
-def _has_digit(t: Column) -> Column:
-    return t.rlike(r"(?U)\d")
 
+_HAS_DIGIT = r"{t} RLIKE '(?U)\\d'"
+_DIGITS = "regexp_replace({v}, '[^0-9]', '')"
 
 # In tie order: at the same start and length the earlier detector wins.
-EMAIL = PatternDetector("EMAIL", P.EMAIL_LINEAR, lambda t: F.contains(t, F.lit("@")))
-CARD = PatternDetector("CARD", P.CARD, _has_digit, _card_ok)
-IP = PatternDetector("IP", P.IP, _has_digit)
-PHONE = PatternDetector("PHONE", P.PHONE, _has_digit, _phone_ok)
+EMAIL = PatternDetector("EMAIL", P.EMAIL_LINEAR, "contains({t}, '@')")
+CARD = PatternDetector(
+    "CARD",
+    P.CARD,
+    _HAS_DIGIT,
+    f"length({_DIGITS}) BETWEEN 13 AND 19 AND luhn_check({_DIGITS})",
+)
+IP = PatternDetector("IP", P.IP, _HAS_DIGIT)
+PHONE = PatternDetector(
+    "PHONE", P.PHONE, _HAS_DIGIT, f"length({_DIGITS}) >= 7 AND NOT {{v}} RLIKE '{P.ISO_DATE}'"
+)
 BUILTIN = (EMAIL, CARD, IP, PHONE)
 
 
@@ -59,37 +53,41 @@ def with_pattern_spans(
     validate: bool = True,
 ) -> DataFrame:
     """Add the unmerged spans of the pattern layer, in detector order."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    tests: dict[str, Column] = {}
-    groups: dict[int, str] = {}
-    for d in detectors:
-        name = groups.setdefault(id(d.worth_trying), f"__try_{len(groups)}")
-        tests.setdefault(name, d.worth_trying(t))
-    guarded = df.withColumns(tests)
-    hits = S.settled(
-        guarded,
-        {
-            f"__hit_{d.label}": F.when(
-                F.col(groups[id(d.worth_trying)]), S.all_matches(t, d.pattern)
-            ).otherwise(S.no_strings())
-            for d in detectors
-        },
-    )
+    t = f"coalesce(`{text}`, '')"
+    tests = {d.worth_trying: f"__try_{i}" for i, d in enumerate(detectors)}
+    tried = {name: F.expr(test.replace("{t}", t)) for test, name in tests.items()}
+    guarded = S.settled(df, tried)
+    hit = {d.label: f"__hit_{d.label}" for d in detectors}
+    matches = {
+        hit[d.label]: F.expr(
+            f"CASE WHEN {tests[d.worth_trying]} "
+            f"THEN regexp_extract_all({t}, {S.sql_text(d.pattern)}, 0) "
+            "ELSE CAST(array() AS array<string>) END"
+        )
+        for d in detectors
+    }
+    found = S.settled(S.settled(guarded, matches), {
+        f"__at_{d.label}": S.ranges(S.pieces(t, S.sql_text(d.pattern)), hit[d.label])
+        for d in detectors
+    })
     layers = []
     for d in detectors:
-        found = S.ranges(t, d.pattern, F.col(f"__hit_{d.label}"))
+        at = f"__at_{d.label}"
         if validate and d.valid is not None:
-            found = _accepted(found, d.valid)
-        layers.append(S.labelled(found, d.label, "regex"))
-    return S.settled(hits, {out: F.concat(*layers)}).drop(
-        *tests, *[f"__hit_{d.label}" for d in detectors]
-    )
+            at = f"filter({at}, r -> {d.valid.replace('{v}', 'r.value')})"
+        layers.append(
+            f"transform({at}, r -> struct(r.`start` AS `start`, r.`end` AS `end`, "
+            f"{S.sql_text(d.label)} AS label, 'regex' AS source, 0.0D AS score, r.value AS value))"
+        )
+    done = S.settled(found, {"__layer": F.expr(f"concat({', '.join(layers)})")})
+    extra = [*tried, *matches, *[f"__at_{d.label}" for d in detectors]]
+    return done.drop(*extra, out).withColumnRenamed("__layer", out)
 
 
 def with_merged(df: DataFrame, *layers: str, out: str = "spans") -> DataFrame:
     """Concatenate detector layers and resolve their overlaps."""
     joined = S.settled(df, {"__all": F.concat(*[F.col(c) for c in layers])})
-    done = S.settled(joined, {"__merged": S.merged(F.col("__all"))}).drop("__all", *layers)
+    done = S.settled(joined, {"__merged": S.merged("__all")}).drop("__all", *layers)
     return done.withColumnRenamed("__merged", out)
 
 

@@ -20,7 +20,8 @@ def with_words(df: DataFrame, text: str = "text", out: str = "words") -> DataFra
     """Add the words of a text with their ranges in the original text."""
     t = F.coalesce(F.col(text), F.lit(""))
     hits = S.settled(df, {"__words": S.all_matches(t, P.WORD)})
-    return S.settled(hits, {out: S.ranges(t, P.WORD, F.col("__words"))}).drop("__words")
+    gaps = S.pieces(f"coalesce(`{text}`, '')", S.sql_text(P.WORD))
+    return S.settled(hits, {out: S.ranges(gaps, "__words")}).drop("__words")
 
 
 def word_tokens(df: DataFrame, *key: str, text: str = "text") -> DataFrame:

@@ -22,46 +22,35 @@ SEGMENTS_PER_BLOCK = 1024
 # --- one vault per row -----------------------------------------------------------------
 
 
-def row_vault(spans: Column) -> Column:
+_UPPER = "translate(s.label, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+def row_vault(spans: str) -> Column:
     """Distinct values of a row with their number per label, in order of first appearance.
 
     ``array<struct<value,label,n>>``.  The first label seen for a value stays with it.
     """
-    values = F.transform(spans, lambda s: s["value"])
-    firsts = F.filter(spans, lambda s, i: F.array_position(values, s["value"]) == i + 1)
-
-    def step(acc: Column, s: Column) -> Column:
-        label = ascii_upper(s["label"])
-        n = F.coalesce(F.element_at(acc["counts"], label), F.lit(0)) + 1
-        entry = F.struct(
-            s["value"].alias("value"), label.alias("label"), n.cast("bigint").alias("n")
-        )
-        others = F.map_filter(acc["counts"], lambda k, v: k != label)
-        return F.struct(
-            F.map_concat(others, F.create_map(label, n)).alias("counts"),
-            F.concat(acc["out"], F.array(entry)).alias("out"),
-        )
-
-    zero = F.struct(
-        F.create_map().cast("map<string,int>").alias("counts"),
-        F.array().cast("array<struct<value:string,label:string,n:bigint>>").alias("out"),
+    return F.expr(
+        f"""aggregate(
+          filter({spans}, (s, i) -> array_position(transform({spans}, x -> x.value), s.value) = i + 1),
+          struct(CAST(map() AS map<string,bigint>) AS counts,
+            CAST(array() AS array<struct<value:string,label:string,n:bigint>>) AS out),
+          (acc, s) -> struct(
+            map_concat(map_filter(acc.counts, (k, v) -> k != {_UPPER}),
+              map({_UPPER}, coalesce(acc.counts[{_UPPER}], 0L) + 1L)) AS counts,
+            concat(acc.out, array(struct(s.value AS value, {_UPPER} AS label,
+              coalesce(acc.counts[{_UPPER}], 0L) + 1L AS n))) AS out),
+          acc -> acc.out)"""
     )
-    return F.aggregate(firsts, zero, step, lambda acc: acc["out"])
-
 
-def row_cuts(spans: Column, vault: Column) -> Column:
-    """Ranges to replace with their placeholder text, for ``spans.applied``."""
-    values = F.transform(vault, lambda v: v["value"])
 
-    def cut(s: Column) -> Column:
-        at = F.get(vault, (F.array_position(values, s["value"]) - 1).cast("int"))
-        return F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            placeholder(at["label"], at["n"]).alias("placeholder"),
-        )
-
-    return F.transform(spans, cut)
+def row_cuts(spans: str, vault: str, values: str) -> Column:
+    """Ranges to replace with their placeholder text; ``values`` are the vault's values."""
+    at = f"{vault}[CAST(array_position({values}, s.value) - 1 AS INT)]"
+    return F.expr(
+        f"""transform({spans}, s -> struct(s.`start` AS `start`, s.`end` AS `end`,
+          concat('<<', {at}.label, '_', {at}.n, '>>') AS placeholder))"""
+    )
 
 
 def restore_map(vault: Column) -> Column:
@@ -74,9 +63,10 @@ def restore_map(vault: Column) -> Column:
 
 def redact_rows(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Add ``vault`` and ``redacted``; every row is its own conversation."""
-    with_vault = S.settled(df, {"vault": row_vault(F.col(spans))})
-    with_cuts = S.settled(with_vault, {"__cuts": row_cuts(F.col(spans), F.col("vault"))})
-    return S.settled(with_cuts, {"redacted": S.applied(F.col(text), F.col("__cuts"))}).drop("__cuts")
+    with_vault = S.settled(df, {"vault": row_vault(spans)})
+    listed = S.settled(with_vault, {"__values": F.expr("transform(vault, v -> v.value)")})
+    with_cuts = S.settled(listed, {"__cuts": row_cuts(spans, "vault", "__values")})
+    return S.settled(with_cuts, {"redacted": S.applied(text, "__cuts")}).drop("__cuts", "__values")
 
 
 # --- one vault per conversation ----------------------------------------------------------
@@ -131,7 +121,7 @@ def apply_cuts(
 ) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,end:bigint,placeholder:string>>")
     joined = segments.join(cuts, [conv, seg], "left").withColumn("cuts", F.coalesce("cuts", none))
-    return S.settled(joined, {"redacted": S.applied(F.col("text"), F.col("cuts"))}).drop("cuts")
+    return S.settled(joined, {"redacted": S.applied("text", "cuts")}).drop("cuts")
 
 
 def redact_conversations(

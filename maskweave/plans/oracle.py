@@ -666,6 +666,7 @@ def oracle() -> dict[str, str]:
         f"SELECT doc_id, {SPAN} FROM raw",
     )
     sql["detect_dictionary"] = dictionary
+    sql["detect_dictionary_pattern"] = dictionary
     sql["detect_dictionary_large"] = dictionary
     return sql
 

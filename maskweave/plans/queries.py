@@ -83,6 +83,20 @@ def detect_dictionary(spark, sf):
     return D.explode_spans(docs, "doc_id").select("doc_id", *SPAN_COLUMNS)
 
 
+@query
+def detect_dictionary_pattern(spark, sf):
+    """The same result through one JVM pattern per scope, the path for short policies."""
+    docs = DD.with_dictionary_spans(
+        I.documents(spark, sf),
+        I.policy(spark, sf),
+        scope="source",
+        out="spans",
+        key=["doc_id"],
+        max_forms=10_000,
+    ).withColumnRenamed("source", "source_name")
+    return D.explode_spans(docs, "doc_id").select("doc_id", *SPAN_COLUMNS)
+
+
 @query
 def detect_dictionary_large(spark, sf):
     """The same result through the path for policies too large for one pattern, cut into
@@ -621,7 +635,7 @@ def nms_spans(spark, sf):
     texts = kept.groupBy("conv_id", "turn").agg(
         F.sort_array(F.collect_list(span)).alias("found")
     )
-    rows = texts.withColumn("spans", S.suppressed(F.col("found")))
+    rows = texts.withColumn("spans", S.suppressed("found"))
     return D.explode_spans(rows, "conv_id", "turn").select(
         "conv_id", "turn", "start", "end", "label", F.round("score", 6).alias("score")
     )

@@ -64,7 +64,7 @@ def test_linear_email_pattern_finds_the_same(spark, texts):
 def merged(spark, spans):
     rows = [(s, e, "L", src, 0.0, "") for s, e, src in spans]
     df = spark.createDataFrame([(rows,)], f"spans {S.SPANS_TYPE}")
-    return [(s.start, s.end) for s in df.select(S.merged(F.col("spans"))).first()[0]]
+    return [(s.start, s.end) for s in df.select(S.merged("spans")).first()[0]]
 
 
 def test_merge_keeps_spans_after_a_dropped_longer_one(spark):
