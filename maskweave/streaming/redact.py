@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,16 @@ def redacted_stream(segments: DataFrame, policy: DataFrame) -> DataFrame:
     return V.redact_rows(maskweave.detect_rows(segments, policy, ["seg_no"])).drop("spans", "vault")
 
 
+QUEUE_SCHEMA = (
+    "scope string, term string, last_seen struct<batch:bigint,conv_id:bigint,seg_no:bigint,start:bigint>"
+)
+
+
 @dataclass
 class RedactionJob:
     """One micro-batch at a time: newest policy, cached spans, redacted output.
 
-    Folders below ``root``: ``cache`` (offsets by text hash and policy version), ``redacted``,
+    Folders below ``root``: ``cache`` (offsets by text hash, per policy version), ``redacted``,
     ``vault`` and ``suggestions``.  Each batch writes its own partition of each and overwrites
     it when replayed, so a restart after a lost executor or driver repeats nothing.
 
@@ -44,42 +50,44 @@ class RedactionJob:
     root: str
     scope: str | None = None
 
-    def _table(self, spark: SparkSession, name: str, schema: str, before: int) -> DataFrame:
-        """Rows written by earlier batches."""
+    def _read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        """What earlier batches wrote; empty before the first one."""
         try:
-            df = spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.root}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            return spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return spark.createDataFrame([], schema)
-        return df.where(F.col("batch") < before).drop("batch")
+            return spark.createDataFrame([], f"{schema}, batch bigint")
+
+    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         policy, version = PS.latest(spark, self.policy_path)
-        tag = f"v{version}"
-        put = lambda df, name: df.write.mode("overwrite").parquet(
-            f"{self.root}/{name}/batch={batch_id}"
-        )
-        segments = DL.with_hash(batch, scope=self.scope)
+        cache = f"cache/policy_version=v{version}"
+        row = "seg_hash string, spans array<struct<start:bigint,end:bigint,label:string>>"
         extra = [self.scope] if self.scope else []
-        cache = self._table(spark, "cache", DL.CACHE_SCHEMA, batch_id)
-        known = cache.where(F.col("policy_version") == tag)
+        segments = DL.with_hash(batch, scope=self.scope)
+
+        def known(before: int) -> DataFrame:
+            # Only this batch's texts matter: the few hashes are sent to the cache files.
+            wanted = segments.select("seg_hash").distinct()
+            rows = self._read(spark, cache, row).where(F.col("batch") < before)
+            return rows.join(wanted, "seg_hash", "left_semi")
+
         texts = segments.groupBy("seg_hash").agg(
-            *[F.any_value(c).alias(c) for c in ("text", *extra)]
+            *[F.any_value(c).alias(c) for c in ("text", *extra)],
+            F.min(F.struct("conv_id", "seg_no")).alias("place"),
         )
-        fresh = texts.join(known.select("seg_hash"), "seg_hash", "left_anti")
+        fresh = texts.join(known(batch_id).select("seg_hash"), "seg_hash", "left_anti")
         found = maskweave.detect_rows(fresh, policy, ["seg_hash"], scope=self.scope)
-        put(DL.cache_rows(found, tag), "cache")
-        spans_by_hash = (
-            spark.read.schema(f"{DL.CACHE_SCHEMA}, batch bigint")
-            .parquet(f"{self.root}/cache")
-            .where((F.col("policy_version") == tag) & (F.col("batch") <= batch_id))
-            .groupBy("seg_hash")
-            .agg(F.any_value("spans").alias("spans"))
-        )
+        self._write(DL.cache_rows(found, "").drop("policy_version"), cache, batch_id)
+        self._suggest(found, policy, batch_id)
+
+        spans_by_hash = known(batch_id + 1).select("seg_hash", "spans")
         rows = segments.join(spans_by_hash, "seg_hash").select(
-            "conv_id", "seg_no", "text", F.explode(F.transform("spans", lambda s: s)).alias("s")
+            "conv_id", "seg_no", "text", F.explode("spans").alias("s")
         )
         spans = rows.select(
             "conv_id",
@@ -90,8 +98,29 @@ class RedactionJob:
             F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"),
         )
         red, vault = V.redact_conversations(batch.select("conv_id", "seg_no", "text"), spans)
-        put(red.drop("text"), "redacted")
-        put(vault, "vault")
+        self._write(red.drop("text"), "redacted", batch_id)
+        self._write(vault, "vault", batch_id)
+
+    def _suggest(self, found: DataFrame, policy: DataFrame, batch_id: int) -> None:
+        """Carry the queue on: texts scanned in this batch, after what the last batch left."""
+        scope = F.col(self.scope) if self.scope else F.lit(None).cast("string")
+        rows = found.select(
+            "seg_hash", "place.conv_id", "place.seg_no", scope.alias("who"),
+            F.explode("spans").alias("s"),
+        ).select("seg_hash", "conv_id", "seg_no", "who", "s.start", "s.source", "s.value")
+        new = DL.suggestions(rows, policy, "who", ("conv_id", "seg_no")).select(
+            "scope",
+            "term",
+            F.struct(
+                F.lit(batch_id).cast("bigint").alias("batch"),
+                F.col("last_seen.place.conv_id").alias("conv_id"),
+                F.col("last_seen.place.seg_no").alias("seg_no"),
+                F.col("last_seen.start").alias("start"),
+            ).alias("last_seen"),
+        )
+        old = self._read(found.sparkSession, "suggestions", QUEUE_SCHEMA)
+        queue = old.where(F.col("batch") == batch_id - 1).drop("batch")
+        self._write(merge_suggestions(queue, new), "suggestions", batch_id)
 
 
 def merge_suggestions(old: DataFrame, new: DataFrame, limit: int = SUGGESTION_LIMIT) -> DataFrame:

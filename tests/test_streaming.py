@@ -5,7 +5,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from maskweave.operators.delta import CACHE_SCHEMA
 from maskweave.operators.metrics import windowed_counts
 from maskweave.sources import policy_store as PS
 from maskweave.sources import sinks
@@ -121,8 +120,11 @@ def test_redaction_job_reloads_the_policy_and_caches_offsets(spark, tmp_path, ma
         (1, 0): "Loki wrote <<EMAIL_1>>", (1, 1): "Loki wrote <<EMAIL_1>>",
         (2, 0): "<<PROJECT_1>> wrote <<EMAIL_1>>", (2, 1): "plain",
     }
-    cache = spark.read.schema(f"{CACHE_SCHEMA}, batch bigint").parquet(root + "/cache")
+    cache = spark.read.parquet(root + "/cache")
     assert cache.groupBy("policy_version").count().count() == 2 and cache.count() == 3
+    assert set(cache.columns) == {"seg_hash", "spans", "policy_version", "batch"}
+    queue = spark.read.parquet(root + "/suggestions/batch=1").collect()
+    assert [(r.term, r.last_seen.batch) for r in queue] == [("a@b.com", 1)]
     # Replaying a batch changes nothing.
     job(spark.createDataFrame([(2, 0, "Loki wrote a@b.com"), (2, 1, "plain")], schema), 1)
     assert spark.read.parquet(root + "/redacted").count() == 4
