@@ -286,17 +286,15 @@ def _candidate_column(handle, text: Column, scope: Column | None) -> Column:
     return match(F.coalesce(text, F.lit("")), key)
 
 
-def _chunk_handles(df: DataFrame, forms: DataFrame, chunk_bytes: int):
+def _chunk_handles(forms: DataFrame, total_bytes: int, chunk_bytes: int):
     """Yield one broadcast per chunk of forms; only one chunk is on the driver at a time."""
-    spark = df.sparkSession
-    cost = F.octet_length("form") + F.octet_length("label") + F.lit(200)
-    total = forms.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0]
-    chunks = max(1, -(-int(total) // chunk_bytes))
+    context = forms.sparkSession.sparkContext
+    chunks = max(1, -(-total_bytes // chunk_bytes))
     slot = F.pmod(F.xxhash64(F.lower("form")), F.lit(chunks))
     for i in range(chunks):
-        part = forms.where(slot == i).select(*FORM_COLUMNS).toPandas()
-        rows = list(part.itertuples(index=False, name=None))
-        yield spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "forms": rows})
+        part = forms if chunks == 1 else forms.where(slot == i)
+        rows = [tuple(r) for r in part.select(*FORM_COLUMNS).collect()]
+        yield context.broadcast({"id": uuid.uuid4().hex, "forms": rows})
 
 
 def _automaton_spans(
@@ -306,12 +304,11 @@ def _automaton_spans(
     scope: str | None,
     out: str,
     key: list[str],
+    total_bytes: int,
     chunk_bytes: int,
 ) -> DataFrame:
     request = F.col(scope) if scope else None
-    handles = [h for h in _chunk_handles(df, forms, chunk_bytes) if h.value["forms"]]
-    if not handles:
-        return df.withColumn(out, S.no_spans())
+    handles = list(_chunk_handles(forms, total_bytes, chunk_bytes))
     if len(handles) == 1:
         with_cands = df.withColumn("__cand", _candidate_column(handles[0], F.col(text), request))
         best = S.leftmost_longest("__cand", f"`{text}`")
@@ -349,14 +346,17 @@ def with_dictionary_spans(
     """Add the dictionary layer.  ``scope`` names the request-scope column; without one every
     entry applies.  ``key`` identifies a row and is needed for multi-chunk policies only."""
     forms = hidden_forms(policy).select(*FORM_COLUMNS)
-    head = [Form(*r) for r in forms.limit(max_forms + 1).collect()] if max_forms > 0 else []
-    few = 0 < len(head) <= max_forms or (max_forms > 0 and not head)
-    if few and len({f.scope for f in head}) <= MAX_PATTERN_SCOPES:
-        if not head:
-            return df.withColumn(out, S.no_spans())
-        return _pattern_spans(df, head, text, scope, out)
+    cost = F.octet_length("form") + F.octet_length("label") + F.lit(200)
+    size = forms.agg(
+        F.count("*").alias("forms"),
+        F.coalesce(F.sum(cost), F.lit(0)).alias("bytes"),
+    ).first()
+    if size.forms == 0:
+        return df.withColumn(out, S.no_spans())
+    if size.forms <= max_forms and size.bytes <= chunk_bytes:
+        few = [Form(*r) for r in forms.collect()]
+        if len({f.scope for f in few}) <= MAX_PATTERN_SCOPES:
+            return _pattern_spans(df, few, text, scope, out)
     if key is None:
         key = [c for c in df.columns if c != text]
-    return _automaton_spans(df, forms, text, scope, out, key, chunk_bytes)
-
-
+    return _automaton_spans(df, forms, text, scope, out, key, size.bytes, chunk_bytes)

@@ -70,6 +70,24 @@ def policy_from_json(docs: DataFrame, column: str, shard: Column | None = None)
     return policy_from_stores(parsed.selectExpr("*", "__store.deny", "__store.allow"), shard)
 
 
+COMPACT_ROWS = 10_000
+COMPACT_ROW_BYTES = 4096
+
+
+def compact(policy: DataFrame) -> DataFrame:
+    """A small policy as local rows, so that each use of it does not derive it again.
+
+    At most ``COMPACT_ROWS`` rows of ``COMPACT_ROW_BYTES`` bytes reach the driver; a policy with
+    more rows or a longer one is returned as it is.
+    """
+    row = F.struct(*policy.columns)
+    fits = F.octet_length(F.to_json(row)) <= COMPACT_ROW_BYTES
+    rows = policy.select(F.when(fits, row).alias("r")).limit(COMPACT_ROWS + 1).collect()
+    if len(rows) > COMPACT_ROWS or any(r.r is None for r in rows):
+        return policy
+    return policy.sparkSession.createDataFrame([tuple(r.r) for r in rows], policy.schema)
+
+
 # --- teaching ------------------------------------------------------------------------
 
 
@@ -173,7 +191,7 @@ def hidden_forms(policy: DataFrame) -> DataFrame:
         "whole_word",
         F.posexplode(F.concat(F.array("term"), "aliases")).alias("form_no", "form"),
     )
-    return rows.where(F.col("form") != "")
+    return rows.where(F.col("form") != "").withColumn("form_no", F.col("form_no").cast("bigint"))
 
 
 def distinct_forms(forms: DataFrame, *by: str) -> DataFrame:

@@ -127,10 +127,11 @@ def apply_cuts(
 def redact_conversations(
     segments: DataFrame, spans: DataFrame, conv: str = "conv_id", seg: str = "seg_no"
 ) -> tuple[DataFrame, DataFrame]:
-    """(redacted segments, vault).  ``spans`` is written once and read by both results, so
-    detection runs once; the text itself is shuffled once, by segment."""
+    """(redacted segments, vault).  The narrow tables of spans and placeholders are written
+    once, so detection and numbering run once however often they are read; the text itself is
+    shuffled once, by segment."""
     narrow = staged(spans.select(conv, seg, "start", "end", "label", "value"), "spans")
-    vault = assign_placeholders(narrow, conv, seg)
+    vault = staged(assign_placeholders(narrow, conv, seg), "vault")
     return apply_cuts(segments, cuts_by_segment(narrow, vault, conv, seg), conv, seg), vault
 
 

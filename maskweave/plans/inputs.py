@@ -102,7 +102,8 @@ def policy(spark: SparkSession, sf: str) -> DataFrame:
             (i % 8).isin(0, 3),
         ),
     )
-    return w.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    rows = w.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+    return PO.compact(rows.select("e.*"))
 
 
 def policy_documents(spark: SparkSession, sf: str) -> DataFrame:

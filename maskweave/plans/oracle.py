@@ -211,7 +211,7 @@ chat AS (
     || '],"metadata":{{"note":"n"}},"model":"m"}}' AS body
   FROM conversations),
 csegs AS (
-  SELECT conv_id, turn, 0 AS seg_no,
+  SELECT conv_id, turn, 0::BIGINT AS seg_no,
     CASE turn % 4 WHEN 1 THEN 'messages[0].content[0].text'
       WHEN 2 THEN 'messages[0].tool_calls[0].function.arguments'
       ELSE 'messages[0].content' END AS path,
@@ -235,7 +235,7 @@ blocks AS (
 """
 BLOCK_SEGMENTS = """
 SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '.system' ELSE 'system[0].text' END AS path,
-  role || ' prompt' AS text, 0 AS seg_no FROM conversations
+  role || ' prompt' AS text, 0::BIGINT AS seg_no FROM conversations
 UNION ALL
 SELECT conv_id, turn, 'messages[0].content', text, 1 FROM conversations WHERE turn % 4 = 0
 UNION ALL

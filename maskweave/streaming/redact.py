@@ -12,6 +12,7 @@ import maskweave
 from maskweave.functions.patterns import SUGGESTION_LIMIT
 from maskweave.operators import delta as DL
 from maskweave.operators import vault as V
+from maskweave.operators.policy import compact
 from maskweave.sources import policy_store as PS
 
 
@@ -64,7 +65,8 @@ class RedactionJob:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        policy, version = PS.latest(spark, self.policy_path)
+        newest, version = PS.latest(spark, self.policy_path)
+        policy = compact(newest)
         cache = f"cache/policy_version=v{version}"
         row = "seg_hash string, spans array<struct<start:bigint,end:bigint,label:string>>"
         extra = [self.scope] if self.scope else []

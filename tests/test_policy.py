@@ -103,3 +103,14 @@ def test_store_is_append_only_and_versioned(spark, tmp_path):
     assert version == 1 and policy.select(F.col("term")).first()[0] == "Zed"
     with pytest.raises(Exception):
         PS.publish(policy, store, 1)
+
+
+def test_compact_keeps_the_rows_and_leaves_large_policies_alone(spark, make_policy, monkeypatch):
+    policy = make_policy(("deny", "Acme", "ORG", {"aliases": ["A", "B"]}), ("allow", "x", ""))
+    small = P.compact(policy)
+    assert sorted(small.collect()) == sorted(policy.collect()) and small.schema == policy.schema
+    monkeypatch.setattr(P, "COMPACT_ROWS", 1)
+    assert P.compact(policy) is policy
+    monkeypatch.setattr(P, "COMPACT_ROWS", 10)
+    long = make_policy(("deny", "y" * 5000, "ORG"))
+    assert P.compact(long) is long
