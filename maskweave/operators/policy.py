@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,12 +81,16 @@ def compact(policy: DataFrame) -> DataFrame:
     At most ``COMPACT_ROWS`` rows of ``COMPACT_ROW_BYTES`` bytes reach the driver; a policy with
     more rows or a longer one is returned as it is.
     """
-    row = F.struct(*policy.columns)
-    fits = F.octet_length(F.to_json(row)) <= COMPACT_ROW_BYTES
-    rows = policy.select(F.when(fits, row).alias("r")).limit(COMPACT_ROWS + 1).collect()
-    if len(rows) > COMPACT_ROWS or any(r.r is None for r in rows):
+    size = F.octet_length(F.to_json(F.struct(*policy.columns)))
+    few = (
+        policy.withColumn("__fits", size <= COMPACT_ROW_BYTES)
+        .select(*[F.when(F.col("__fits"), F.col(c)).alias(c) for c in policy.columns], "__fits")
+        .limit(COMPACT_ROWS + 1)
+        .toArrow()
+    )
+    if few.num_rows > COMPACT_ROWS or pc.any(pc.invert(few.column("__fits"))).as_py():
         return policy
-    return policy.sparkSession.createDataFrame([tuple(r.r) for r in rows], policy.schema)
+    return policy.sparkSession.createDataFrame(few.drop_columns(["__fits"]), policy.schema)
 
 
 # --- teaching ------------------------------------------------------------------------

@@ -350,6 +350,7 @@ def reply_chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         lambda i: F.struct(
             i.cast("bigint").alias("chunk_no"),
             F.substring(F.col("redacted"), i * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)).alias("text"),
+            (i == F.greatest(n, F.lit(1)) - 1).alias("is_end"),
         ),
     )
     rows = red.select("conv_id", "seg_no", F.explode(cuts).alias("c"))
@@ -361,5 +362,6 @@ def reply_chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("seg_no") % 2 == 0, "content").otherwise("reasoning").alias("field"),
         F.col("c.chunk_no").alias("chunk_no"),
         F.col("c.text").alias("text"),
+        F.col("c.is_end").alias("is_end"),
     )
     return chunks, vault

@@ -693,7 +693,8 @@ def detector_failures(spark, sf):
 @query
 def stream_restore_batch(spark, sf):
     chunks, vault = I.reply_chunks(spark, sf)
-    return BR.restore_chunks(chunks, vault, "conv_id", ["conv_id", "stream_id", "field"]).select(
+    key = ["conv_id", "stream_id", "field"]
+    return BR.restore_chunks(chunks, vault, "conv_id", key, is_end="is_end").select(
         "stream_id", "field", "chunk_no", "restored"
     )
 

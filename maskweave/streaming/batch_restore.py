@@ -28,19 +28,28 @@ def _held(text: Column) -> Column:
 
 
 def emitted_chunks(
-    chunks: DataFrame, key: list[str], chunk_no: str = "chunk_no", text: str = "text"
+    chunks: DataFrame,
+    key: list[str],
+    chunk_no: str = "chunk_no",
+    text: str = "text",
+    is_end: str | None = None,
 ) -> DataFrame:
     """(key.., chunk_no, emitted): what leaves after each chunk, placeholders never cut.
 
     What a chunk holds back depends on at most the ``MAX_PENDING`` characters before it, so a
     stream is cut into blocks of ``BLOCK_CHARS`` characters; each block also gets the chunks just
     before it to start from the right pending text.  A stream of any length spreads over tasks,
-    and the array folded at a time is bounded by the block.  The text still held at the end is
-    emitted with the last chunk.
+    and the array folded at a time is bounded by the block.  The text still held at the end goes
+    out with the chunk that ``is_end`` flags, or, without such a column, with the last one.
     """
+    if is_end is None:
+        last = chunks.groupBy(*key).agg(F.max(chunk_no).alias("__last"))
+        chunks = chunks.join(last, key).withColumn("__end_flag", F.col(chunk_no) == F.col("__last"))
+    else:
+        chunks = chunks.withColumn("__end_flag", F.coalesce(is_end, F.lit(False)))
     size = F.length(text).cast("bigint")
     placed = running(
-        chunks.select(*key, chunk_no, text),
+        chunks.select(*key, chunk_no, text, "__end_flag"),
         key,
         F.floor(F.col(chunk_no) / STREAMS_PER_ORDER_BLOCK),
         [chunk_no],
@@ -52,6 +61,7 @@ def emitted_chunks(
         *key,
         chunk_no,
         text,
+        "__end_flag",
         own.alias("__own"),
         F.explode(F.sequence(own, F.greatest(own, reach))).alias("__block"),
     )
@@ -62,6 +72,7 @@ def emitted_chunks(
                     F.col(chunk_no).alias("no"),
                     F.col(text).alias("text"),
                     (F.col("__own") == F.col("__block")).alias("mine"),
+                    F.col("__end_flag").alias("ends"),
                 )
             )
         ).alias("__rows")
@@ -70,36 +81,33 @@ def emitted_chunks(
     def step(acc: Column, c: Column) -> Column:
         whole = F.concat(acc["pending"], c["text"])
         held = _held(whole)
-        out = F.substring(whole, F.lit(1), F.length(whole) - F.length(held))
-        row = F.struct(
-            c["no"].alias("no"), out.alias("out"), held.alias("held"), c["mine"].alias("mine")
-        )
+        ready = F.substring(whole, F.lit(1), F.length(whole) - F.length(held))
+        out = F.when(c["ends"], whole).otherwise(ready)
+        row = F.struct(c["no"].alias("no"), out.alias("out"), c["mine"].alias("mine"))
         return F.struct(held.alias("pending"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
     zero = F.struct(
         F.lit("").alias("pending"),
         F.array()
-        .cast("array<struct<no:bigint,out:string,held:string,mine:boolean>>")
+        .cast("array<struct<no:bigint,out:string,mine:boolean>>")
         .alias("rows"),
     )
     folded = grouped.select(
         *key, F.explode(F.aggregate("__rows", zero, step, lambda acc: acc["rows"])).alias("r")
     ).where(F.col("r.mine"))
-    last = chunks.groupBy(*key).agg(F.max(chunk_no).alias("__last"))
-    return folded.join(last, key).select(
-        *key,
-        F.col("r.no").alias(chunk_no),
-        F.when(F.col("r.no") == F.col("__last"), F.concat("r.out", "r.held"))
-        .otherwise(F.col("r.out"))
-        .alias("emitted"),
-    )
+    return folded.select(*key, F.col("r.no").alias(chunk_no), F.col("r.out").alias("emitted"))
 
 
 def restore_chunks(
-    chunks: DataFrame, vault: DataFrame, conv: str, key: list[str], chunk_no: str = "chunk_no"
+    chunks: DataFrame,
+    vault: DataFrame,
+    conv: str,
+    key: list[str],
+    chunk_no: str = "chunk_no",
+    is_end: str | None = None,
 ) -> DataFrame:
     """Restored output per chunk.  ``key`` names one stream and includes ``conv``."""
-    out = emitted_chunks(chunks, key, chunk_no)
+    out = emitted_chunks(chunks, key, chunk_no, is_end=is_end)
     names = [k for k in key if k != conv]
     tagged = out.withColumn("__seg", F.struct(*names, chunk_no))
     return restore_by_join(tagged, vault, conv, "__seg", "emitted").drop("__seg")

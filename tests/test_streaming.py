@@ -54,6 +54,9 @@ def test_batch_twin_equals_the_fold_in_small_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "sid int, chunk_no bigint, text string")
     got = {(r.sid, r.chunk_no): r.emitted for r in BR.emitted_chunks(df, ["sid"]).collect()}
     assert got == want
+    flagged = df.withColumn("is_end", F.col("chunk_no") == 59)
+    out = BR.emitted_chunks(flagged, ["sid"], is_end="is_end").collect()
+    assert {(r.sid, r.chunk_no): r.emitted for r in out} == want
 
 
 def write_chunks(spark, path, name, rows):
