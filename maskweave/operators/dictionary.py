@@ -294,7 +294,8 @@ def _chunk_handles(forms: DataFrame, total_bytes: int, chunk_bytes: int):
     for i in range(chunks):
         part = forms if chunks == 1 else forms.where(slot == i)
         rows = [tuple(r) for r in part.select(*FORM_COLUMNS).collect()]
-        yield context.broadcast({"id": uuid.uuid4().hex, "forms": rows})
+        if rows:
+            yield context.broadcast({"id": uuid.uuid4().hex, "forms": rows})
 
 
 def _automaton_spans(
