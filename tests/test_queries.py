@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from maskweave.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = (
@@ -33,7 +34,7 @@ def rows(names, order, data):
     return sorted((tuple(plain(r[i]) for i in at) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     sql = entry.oracle_sql()
     df = entry.queries()[name](spark, DATA)
