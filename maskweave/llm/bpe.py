@@ -25,14 +25,18 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import Numbering, chunked, spread_out
+from maskweave.llm.common import Numbering, chunked, spread_out, unused
 
 # Pieces of at most this many bytes are merged directly; longer ones are halved.
 LEAF_BYTES = 64
 # Ids concatenated at a time by the decoder.
 LEAF_IDS = 4096
+# Stands for the rank of a pair that is no token.
+UNMERGED = 1 << 60
+# Rows decoded at a time.
+DECODE_ROWS = 256
 # Distinct pieces remembered within a task.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 200_000
 # A vocabulary file larger than this is refused, so the broadcast is bounded.
 MAX_VOCABULARY_BYTES = 64 * 1024 * 1024
 
@@ -108,17 +112,22 @@ class Codec:
         """Merges of lowest rank first, leftmost among equals."""
         if len(data) > 2 * LEAF_BYTES:
             return self._merged_long(data)
-        ranks = self.ranks
+        rank_of, ranks = self.ranks.get, self.ranks
         parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                r = ranks.get(parts[k] + parts[k + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, k
-            if best is None:
+        # Rank of the pair that starts at each part; only the neighbours of a merge change.
+        pairs = [rank_of(data[k : k + 2], UNMERGED) for k in range(len(data) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == UNMERGED:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = pairs.index(best)
+            token = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [token]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank_of(parts[at - 1] + token, UNMERGED)
+            if at < len(pairs):
+                pairs[at] = rank_of(token + parts[at + 1], UNMERGED)
         return [ranks[p] for p in parts]
 
     def _merged_long(self, data: bytes) -> list[int]:
@@ -201,6 +210,28 @@ class Codec:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
+def _encoded_batch(codec: Codec, texts: pa.Array) -> pa.ListArray:
+    counts, ids = [np.zeros(1, np.int64)], [np.empty(0, np.int32)]
+    for part in chunked(texts):
+        n, flat = codec.encode_many(part)
+        counts.append(n)
+        ids.append(flat)
+    offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+
+
+def _decoded_batch(codec: Codec, ids: pa.ListArray) -> pa.Array:
+    rows: list[bytes | None] = []
+    for first in range(0, len(ids), DECODE_ROWS):
+        part = ids.slice(first, DECODE_ROWS)
+        flat = part.flatten().to_numpy(zero_copy_only=False)
+        sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        stops = np.cumsum(sizes)
+        for known, size, stop in zip(part.is_valid().to_pylist(), sizes, stops):
+            rows.append(codec.decode(flat[stop - size : stop].tolist()) if known else None)
+    return pa.array(rows, pa.binary())
+
+
 def encoded(text: Column, vocab: Broadcast, pattern: str) -> Column:
     """Token ids of each text, as array<int>."""
 
@@ -208,18 +239,24 @@ def encoded(text: Column, vocab: Broadcast, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(parse_ranks(vocab.value), pattern)
         for batch in batches:
-            counts, ids = [np.zeros(1, np.int64)], []
-            for texts in chunked(batch.to_pylist()):
-                n, flat = codec.encode_many(texts)
-                counts.append(n)
-                ids.append(flat)
-            offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+            yield _encoded_batch(codec, batch)
 
     return encode(text)
 
 
+def round_trip(text: Column, vocab: Broadcast, pattern: str) -> Column:
+    """struct(ids, decoded): each text encoded and its ids decoded, in one pass."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec(parse_ranks(vocab.value), pattern)
+        for batch in batches:
+            ids = _encoded_batch(codec, batch)
+            yield pa.StructArray.from_arrays([ids, _decoded_batch(codec, ids)], ["ids", "decoded"])
+
+    return both(text)
+
+
 def token_counts(text: Column, vocab: Broadcast, pattern: str) -> Column:
     """Number of tokens of each text, without shipping the ids."""
 
@@ -227,7 +264,7 @@ def token_counts(text: Column, vocab: Broadcast, pattern: str) -> Column:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(parse_ranks(vocab.value), pattern)
         for batch in batches:
-            counts = [codec.encode_many(texts)[0] for texts in chunked(batch.to_pylist())]
+            counts = [codec.encode_many(texts)[0] for texts in chunked(batch)]
             yield pa.array(np.concatenate(counts) if counts else [], pa.int64())
 
     return count(text)
@@ -240,10 +277,7 @@ def decoded(ids: Column, vocab: Broadcast) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(parse_ranks(vocab.value), "")
         for batch in batches:
-            yield pa.array(
-                [None if row is None else codec.decode(row.values.to_pylist()) for row in batch],
-                pa.binary(),
-            )
+            yield _decoded_batch(codec, batch)
 
     return decode(ids)
 
@@ -260,19 +294,25 @@ def decode(df: DataFrame, vocab: Broadcast, ids: str = "ids", out: str = "decode
 
 def digest(df: DataFrame, vocab: Broadcast, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded."""
-    rows = decode(encode(df.select("doc_id", "text"), vocab, pattern), vocab)
+    rows = df.select("doc_id", round_trip(F.col("text"), vocab, pattern).alias("both"))
     return rows.select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.size("both.ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("both.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("both.decoded"), 256).alias("decoded_sha256"),
     )
 
 
 def with_round_trip(df: DataFrame, vocab: Broadcast, pattern: str, text: str = "text") -> DataFrame:
-    """Add ``ids``, ``n_tokens`` and ``round_trip``, whether decoding gives the text back."""
-    coded = decode(encode(df, vocab, pattern, text, "ids"), vocab, "ids", "__decoded")
-    same = F.col("__decoded") == F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    """Add ``ids``, ``n_tokens`` and ``round_trip``, whether decoding gives the text back; columns
+    of those names are replaced."""
+    both = unused(df, "__both")
+    coded = df.withColumn(both, round_trip(F.col(text), vocab, pattern))
+    original = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     return coded.withColumns(
-        {"n_tokens": F.size("ids").cast("bigint"), "round_trip": same}
-    ).drop("__decoded")
+        {
+            "ids": F.col(f"{both}.ids"),
+            "n_tokens": F.size(f"{both}.ids").cast("bigint"),
+            "round_trip": F.col(f"{both}.decoded") == original,
+        }
+    ).drop(both)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Characters of text worked on at a time inside an Arrow batch; bounds memory, changes no result.
-CHUNK_CHARS = 2_000_000
+# Bytes of text worked on at a time inside an Arrow batch; bounds memory, changes no result.
+CHUNK_BYTES = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,19 +37,17 @@ def unused(df: DataFrame, base: str) -> str:
     return name
 
 
-def chunked(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    """Runs of texts (null as empty) of about ``limit`` characters; a text is never cut."""
-    run: list[str] = []
-    size = 0
-    for t in texts:
-        t = t or ""
-        if run and size + len(t) > limit:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
+def chunked(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[list[str]]:
+    """The texts of an Arrow array (null as empty) in runs of about ``limit`` bytes; a text is
+    never cut, and only one run at a time becomes Python strings."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(texts):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield [t or "" for t in texts.slice(first, last - first).to_pylist()]
+        first = last
 
 
 class Numbering(dict):
