@@ -51,6 +51,32 @@ def pieces(text: str, pattern: str) -> str:
     return f"split({text}, {pattern}, -1)"
 
 
+# Items folded between two copies of the output.
+FOLD_BLOCK = 64
+
+
+def folded(items: str, state: str, out_type: str, step: str) -> str:
+    """SQL of a left fold over an array that emits elements, in time nearly linear in its size.
+
+    ``step`` is an SQL expression over ``acc.st`` (the state), ``acc.out`` and the item ``x``; it
+    must be struct(<state> AS st, <acc.out with new elements> AS out).  Appending copies an array,
+    so the output of each block of items is gathered apart and the blocks are flattened at the
+    end: an element is copied within its block, never once for every later item.
+
+    The result is struct(st, out).
+    """
+    empty = f"CAST(array() AS array<{out_type}>)"
+    return f"""aggregate(
+      CASE WHEN size({items}) > 0 THEN sequence(1, size({items}), {FOLD_BLOCK})
+        ELSE CAST(array() AS array<int>) END,
+      struct({state} AS st, CAST(array() AS array<array<{out_type}>>) AS out),
+      (whole, at) -> aggregate(slice({items}, at, {FOLD_BLOCK}),
+        struct(whole.st AS st, {empty} AS out),
+        (acc, x) -> {step},
+        part -> struct(part.st AS st, concat(whole.out, array(part.out)) AS out)),
+      whole -> struct(whole.st AS st, flatten(whole.out) AS out))"""
+
+
 def ranges(gaps: str, matches: str) -> Column:
     """Positions of ``matches``, every match of a pattern in order, from ``gaps``, the pieces
     around them (both are SQL arrays).
@@ -58,16 +84,16 @@ def ranges(gaps: str, matches: str) -> Column:
     Summing lengths along (piece, match, piece, ...) gives each match's start.  The pieces are
     only made for rows that have a match.
     """
+    step = """struct(acc.st + x.gap + x.len AS st,
+        concat(acc.out, array(struct(acc.st + x.gap AS `start`,
+          acc.st + x.gap + x.len AS `end`, x.hit AS value))) AS out)"""
+    fold = folded("z", "0L", RANGES_TYPE[6:-1], step)
+    # One-element transform: the zipped array is made once and named.
     return F.expr(
-        f"""CASE WHEN size({matches}) > 0 THEN aggregate(
+        f"""CASE WHEN size({matches}) > 0 THEN flatten(transform(array(
           zip_with(slice({gaps}, 1, size({matches})), {matches},
-            (g, m) -> struct(length(g) AS gap, length(m) AS len, m AS hit)),
-          struct(0L AS pos, CAST(array() AS {RANGES_TYPE}) AS out),
-          (acc, x) -> struct(
-            acc.pos + x.gap + x.len AS pos,
-            concat(acc.out, array(struct(acc.pos + x.gap AS `start`,
-              acc.pos + x.gap + x.len AS `end`, x.hit AS value))) AS out),
-          acc -> acc.out)
+            (g, m) -> struct(length(g) AS gap, length(m) AS len, m AS hit))),
+          z -> ({fold}).out))
         ELSE CAST(array() AS {RANGES_TYPE}) END"""
     )
 
@@ -95,16 +121,16 @@ def merged(spans: str) -> Column:
     Deterministic layers outrank any other detector at the same start.  A dropped span does not
     move the frontier, which is why this is a fold and not a running maximum.
     """
+    step = """CASE WHEN x.`start` >= acc.st
+        THEN struct(x.span.`end` AS st, concat(acc.out, array(x.span)) AS out)
+        ELSE acc END"""
+    fold = folded("z", "-1L", SPAN_TYPE, step)
     return F.expr(
-        f"""CASE WHEN size({spans}) > 1 THEN aggregate(
+        f"""CASE WHEN size({spans}) > 1 THEN flatten(transform(array(
           sort_array(transform({spans}, (s, i) -> struct(s.`start` AS `start`,
             CASE s.source WHEN 'dictionary' THEN 0 WHEN 'regex' THEN 1 ELSE 2 END AS prio,
-            s.`start` - s.`end` AS neg_len, i AS ord, s AS span))),
-          struct(-1L AS frontier, CAST(array() AS {SPANS_TYPE}) AS out),
-          (acc, x) -> CASE WHEN x.`start` >= acc.frontier
-            THEN struct(x.span.`end` AS frontier, concat(acc.out, array(x.span)) AS out)
-            ELSE acc END,
-          acc -> acc.out)
+            s.`start` - s.`end` AS neg_len, i AS ord, s AS span)))),
+          z -> ({fold}).out))
         ELSE {spans} END"""
     )
 
@@ -123,18 +149,14 @@ def suppressed(spans: str) -> Column:
 
 def leftmost_longest(candidates: str, text: str) -> Column:
     """Spans from dictionary candidates: sorted by start and rank, skipping what overlaps."""
-    return F.expr(
-        f"""aggregate(
-          sort_array({candidates}),
-          struct(0L AS frontier, CAST(array() AS {SPANS_TYPE}) AS out),
-          (acc, c) -> CASE WHEN c.`start` >= acc.frontier THEN struct(c.`end` AS frontier,
-              concat(acc.out, array(struct(c.`start` AS `start`, c.`end` AS `end`,
-                c.label AS label, 'dictionary' AS source, 0.0D AS score,
-                substring({text}, CAST(c.`start` + 1 AS INT), CAST(c.`end` - c.`start` AS INT))
-                  AS value))) AS out)
-            ELSE acc END,
-          acc -> acc.out)"""
-    )
+    step = f"""CASE WHEN x.`start` >= acc.st THEN struct(x.`end` AS st,
+        concat(acc.out, array(struct(x.`start` AS `start`, x.`end` AS `end`,
+          x.label AS label, 'dictionary' AS source, 0.0D AS score,
+          substring({text}, CAST(x.`start` + 1 AS INT), CAST(x.`end` - x.`start` AS INT))
+            AS value))) AS out)
+      ELSE acc END"""
+    fold = folded("z", "0L", SPAN_TYPE, step)
+    return F.expr(f"flatten(transform(array(sort_array({candidates})), z -> ({fold}).out))")
 
 
 def clamped(spans: Column, text: Column) -> Column:
@@ -158,13 +180,12 @@ def clamped(spans: Column, text: Column) -> Column:
 
 def applied(text: str, cuts: str) -> Column:
     """Replace each range of ``cuts`` (array of start, end, placeholder; in order) in one pass."""
+    step = f"""struct(x.`end` AS st,
+        concat(acc.out, array(substring({text}, CAST(acc.st + 1 AS INT),
+          CAST(x.`start` - acc.st AS INT)), x.placeholder)) AS out)"""
+    fold = folded(cuts, "0L", "string", step)
     return F.expr(
-        f"""CASE WHEN size({cuts}) > 0 THEN aggregate({cuts},
-          struct(CAST(array() AS array<string>) AS out, 0L AS cursor),
-          (acc, c) -> struct(
-            concat(acc.out, array(substring({text}, CAST(acc.cursor + 1 AS INT),
-              CAST(c.`start` - acc.cursor AS INT)), c.placeholder)) AS out,
-            c.`end` AS cursor),
-          acc -> concat(array_join(acc.out, ''), substring({text}, CAST(acc.cursor + 1 AS INT))))
+        f"""CASE WHEN size({cuts}) > 0 THEN element_at(transform(array({fold}),
+          f -> concat(array_join(f.out, ''), substring({text}, CAST(f.st + 1 AS INT)))), 1)
         ELSE {text} END"""
     )
