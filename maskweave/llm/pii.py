@@ -50,7 +50,7 @@ _DIGITS = "regexp_replace({v}, '[^0-9]', '')"
 # Kind: (pattern, cheap test that never rejects a text with a match, check of a match).
 BASE = {
     "email": (_EMAIL, "contains({t}, '@')", "true"),
-    "ip": (_IP, "contains({t}, '.')", f"{{v}} RLIKE '^{_PART}(?:[.]{_PART}){{{{3}}}}$'"),
+    "ip": (_IP, "contains({t}, '.')", f"{{v}} RLIKE '^{_PART}(?:[.]{_PART}){{3}}$'"),
     "card": (_CARD, "true", f"length({_DIGITS}) BETWEEN 12 AND 19 AND luhn_check({_DIGITS})"),
     "phone": (_PHONE, "contains({t}, '+')", f"length({_DIGITS}) BETWEEN 9 AND 15"),
 }

@@ -30,8 +30,8 @@ from maskweave.llm.common import Numbering, chunked
 BUCKETS = 1 << 20
 # Labelled rows the model is fitted on, at most.
 SAMPLE_ROWS = 30_000
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+EPOCHS = 3
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.0
 THRESHOLD = 0.7
 # Distinct words remembered within a task.
 MEMO_WORDS = 300_000
