@@ -376,7 +376,7 @@ def _send_runs(parts: int):
     return send
 
 
-def _merge_runs(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _merge_runs(frame: pd.DataFrame) -> pd.DataFrame:
     runs = [Run({f: row[f] for f in RUN_FIELDS}) for _, row in frame.iterrows()]
     rid, start, end = repeated_ranges(runs)
     return pd.DataFrame({"rid": rid, "start": start, "end": end}, dtype=np.int64)
