@@ -1,12 +1,14 @@
 """SimHash near-duplicates, linked through Golay-code keys.
 
-A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits.  Two fingerprints at most three
-bits apart have, outside their worst segment, at most one error in each of the other two.  Each
-segment is a word of the perfect (23, 12) Golay code's space: its keys are the nearest codeword
-and, where that is three bits away, also the five codewords four bits away, so words one bit
-apart always have the nearest codeword of either among the keys of the other.  For each pair of
-segments a fingerprint emits (keys of one, nearest of the other) both ways round: at most eleven
-keys, and of two linked fingerprints one pair of segments shares a key for certain.
+A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits.  Each segment is a word of the
+perfect (23, 12) Golay code's space: its keys are the nearest codeword and, where that is three
+bits away, also the codewords four bits away that flipping one bit can lead to.  Of two words at
+most one bit apart, each one's nearest codeword is then among the keys of the other.
+
+Three errors in three segments leave, by pigeonhole, either a segment without error beside one
+with at most one (keys: the clean segment whole with each codeword of the other), or exactly one
+error in every segment, so that one half of each is clean (keys: a choice of halves, whole).  That
+makes some forty keys of over 30 bits for a fingerprint, and two linked ones share at least one.
 
 Within a bucket of equal keys fingerprints are compared by real distance in a search that takes
 every reached one off the list, so a dense bucket costs little more than its size and yields at
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, permutations, product
 
 import numpy as np
 import pandas as pd
@@ -136,18 +138,19 @@ def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keyed = [segment_keys(p, width) for p, (_, width) in zip(parts, SEGMENTS)]
     everyone = np.arange(len(prints))
     rows, keys = [], []
-    for n, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        (near_i, more_i), (near_j, more_j) = keyed[i], keyed[j]
-
-        def add(r, a, b):
+    for n, (clean, other) in enumerate(permutations(range(len(SEGMENTS)), 2)):
+        exact = (np.int64(n) << 46) | (parts[clean].astype(np.int64) << 23)
+        near, more = keyed[other]
+        for r, codeword in [(everyone, near), *more]:
             rows.append(r)
-            keys.append((np.int64(n) << 46) | (a.astype(np.int64) << 23) | b.astype(np.int64))
-
-        add(everyone, near_i, near_j)
-        for r, a in more_i:
-            add(r, a, near_j[r])
-        for r, b in more_j:
-            add(r, near_i[r], b)
+            keys.append(exact[r] | codeword.astype(np.int64))
+    for n, choice in enumerate(product((0, 1), repeat=len(SEGMENTS)), start=n + 1):
+        key = np.zeros(len(prints), np.int64)
+        for upper, part, (_, width) in zip(choice, parts, SEGMENTS):
+            half = width // 2
+            key = (key << 11) | ((part >> half) if upper else (part & ((1 << half) - 1))).astype(np.int64)
+        rows.append(everyone)
+        keys.append((np.int64(n) << 46) | key)
     return np.concatenate(rows), np.concatenate(keys)
 
 

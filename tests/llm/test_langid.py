@@ -53,7 +53,7 @@ def test_long_words_do_not_vanish():
     one = langid.log_forward(langid.Pieces(PIECES), prob, ["ab" * 12])[0]
     two = langid.log_forward(langid.Pieces(PIECES), prob, ["ab" * 24])[0]
     assert (two < one).all()
-    assert np.allclose(got[1][0], got[1][1:])  # unknown characters tell nothing
+    assert np.ptp(got[1]) < 5  # unknown characters tell nothing; only the word mark does
 
 
 def test_expected_counts_against_enumeration():

@@ -55,7 +55,8 @@ def test_every_close_pair_shares_a_key():
             found.setdefault(row, set()).add(key)
         keys.append(found)
     assert all(keys[0][k] & keys[1][k] for k in range(len(base)))
-    assert max(map(len, keys[0].values())) <= 33
+    assert max(map(len, keys[0].values())) <= 6 * 22 + 8
+    assert len(simhash.bucket_keys(base)[0]) < 50 * len(base)
 
 
 def test_bucket_links_keep_components():
