@@ -398,8 +398,9 @@ def _hash_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(rid, start, end): ranges, overlapping, of all bytes that repeat in (rid, data)."""
-    found = rows.select("rid", "data").mapInPandas(_find_anchors, "rid bigint, place int, gram bigint")
+    """(rid, start, end): ranges, overlapping, of all bytes that repeat in (rid, doc_id, data)."""
+    # Nothing is selected from ``rows``: with the same columns everywhere it is one exchange.
+    found = rows.mapInPandas(_find_anchors, "rid bigint, place int, gram bigint")
     counts = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     shared = found.join(counts, "gram")
     place = F.struct("place", "gram")
@@ -407,7 +408,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     def at_texts(condition: str) -> DataFrame:
         # One group per row of the table: bounded by the anchors of one text.
         at = shared.where(condition).groupBy("rid").agg(F.collect_list(place).alias("at"))
-        return rows.select("rid", "data").join(at, "rid")
+        return rows.join(at, "rid")
 
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
