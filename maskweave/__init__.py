@@ -66,14 +66,20 @@ def detect(
 def redact(
     segments: DataFrame,
     policy: DataFrame,
-    conv: str = "conv_id",
+    conv: str | list[str] = "conv_id",
     seg: str = "seg_no",
     scope: str | None = None,
     plugin: DetectorPlugin | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(segments with ``redacted``, vault).  Placeholders are stable within a conversation."""
-    spans = detect(segments, policy, [conv, seg], scope, plugin)
-    return _vault.redact_conversations(segments, spans, conv, seg)
+    """(segments with ``redacted`` in place of ``text``, vault).
+
+    Placeholders are stable within a vault: a conversation, or (request, conversation) if ``conv``
+    is a list, as it should be where requests resend their history.
+    """
+    keys = [conv] if isinstance(conv, str) else list(conv)
+    spans = detect(segments, policy, [*keys, seg], scope, plugin)
+    red, vault = _vault.redact_conversations(segments, spans, keys, seg)
+    return red.drop("text"), vault
 
 
 def audit(
@@ -84,7 +90,7 @@ def audit(
 
 
 def restore(
-    replies: DataFrame, vault: DataFrame, conv: str = "conv_id", seg: str = "seg_no"
+    replies: DataFrame, vault: DataFrame, conv: str | list[str] = "conv_id", seg: str = "seg_no"
 ) -> DataFrame:
     """Add ``restored`` to reply texts, each from its own conversation's vault."""
     return _vault.restore_by_join(replies, vault, conv, seg)

@@ -18,18 +18,19 @@ EMAIL_LINEAR = r"(?U)(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]++\.[\w.-]+"
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 PLACEHOLDER = r"<<([^<>]*)>>"
 
+# Possessive where nothing follows that a shorter run would allow: same words, no recursion.
 WORD = (
     r"(?iuU)(?:https?://[^\s]+|www\.[^\s]+)"
     r"|(?-uU:[a-z0-9._%+-]++@[a-z0-9.-]+\.[a-z]{2,})"
     r"|(?-uU:@[a-z0-9_]+)"
-    r"|\w+(?:[-_]\w+)*"
+    r"|\w++(?:[-_]\w++)*+"
     r"|\S"
 )
 
-# Upper bounds in seconds of the latency histogram.
+# Latency classes: each counts what took no longer than so many seconds.
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0]
 
-# Distinct values an open-ended counter label may take before the rest become "other".
+# So many values of a counter label without a fixed list are told apart; the rest share "other".
 LABEL_CAP = 64
 # Most recent suggestion candidates kept for review.
 SUGGESTION_LIMIT = 200

@@ -55,26 +55,40 @@ def pieces(text: str, pattern: str) -> str:
 FOLD_BLOCK = 64
 
 
-def folded(items: str, state: str, out_type: str, step: str) -> str:
+def one(item: str, array_type: str) -> str:
+    """SQL of an array of one item, of exactly this type: appended to an array that may hold
+    nulls where it does not, it would have that whole array cast first."""
+    return f"CAST(array({item}) AS {array_type})"
+
+
+def folded(items: str, state: str, out_type: str, step: str, state_type: str = "bigint") -> str:
     """SQL of a left fold over an array that emits elements, in time nearly linear in its size.
 
     ``step`` is an SQL expression over ``acc.st`` (the state), ``acc.out`` and the item ``x``; it
-    must be struct(<state> AS st, <acc.out with new elements> AS out).  Appending copies an array,
-    so the output of each block of items is gathered apart and the blocks are flattened at the
-    end: an element is copied within its block, never once for every later item.
+    must be struct(<state> AS st, <acc.out with new elements> AS out).  A fold copies what it has
+    gathered at every step, so it must not gather much: a first pass keeps the state at the start
+    of every block of items and drops the output, a second one emits each block from its state.
 
-    The result is struct(st, out).
+    Items are taken by index, since ``slice`` walks the whole array each time.  ``items`` should
+    be a column or lambda variable: it is named once for every item.  The result is struct(st, out).
     """
     empty = f"CAST(array() AS array<{out_type}>)"
+
+    def block(at: str, start: str, result: str) -> str:
+        stop = f"least({at} + {FOLD_BLOCK - 1}, size({items}))"
+        return f"""aggregate(transform(sequence({at} - 1, {stop} - 1), i -> {items}[i]),
+          struct(CAST({start} AS {state_type}) AS st, {empty} AS out), (acc, x) -> {step},
+          part -> {result})"""
+
+    kept = one("whole.st", f"array<{state_type}>")
+    following = block("at", "whole.st", f"struct(part.st AS st, concat(whole.out, {kept}) AS out)")
+    emitted = block(f"(k * {FOLD_BLOCK} + 1)", "s", "part.out")
     return f"""aggregate(
       CASE WHEN size({items}) > 0 THEN sequence(1, size({items}), {FOLD_BLOCK})
         ELSE CAST(array() AS array<int>) END,
-      struct({state} AS st, CAST(array() AS array<array<{out_type}>>) AS out),
-      (whole, at) -> aggregate(slice({items}, at, {FOLD_BLOCK}),
-        struct(whole.st AS st, {empty} AS out),
-        (acc, x) -> {step},
-        part -> struct(part.st AS st, concat(whole.out, array(part.out)) AS out)),
-      whole -> struct(whole.st AS st, flatten(whole.out) AS out))"""
+      struct(CAST({state} AS {state_type}) AS st, CAST(array() AS array<{state_type}>) AS out),
+      (whole, at) -> {following},
+      whole -> struct(whole.st AS st, flatten(transform(whole.out, (s, k) -> {emitted})) AS out))"""
 
 
 def ranges(gaps: str, matches: str) -> Column:
@@ -84,9 +98,9 @@ def ranges(gaps: str, matches: str) -> Column:
     Summing lengths along (piece, match, piece, ...) gives each match's start.  The pieces are
     only made for rows that have a match.
     """
-    step = """struct(acc.st + x.gap + x.len AS st,
-        concat(acc.out, array(struct(acc.st + x.gap AS `start`,
-          acc.st + x.gap + x.len AS `end`, x.hit AS value))) AS out)"""
+    new = one("struct(acc.st + x.gap AS `start`, acc.st + x.gap + x.len AS `end`, x.hit AS value)", RANGES_TYPE)
+    step = f"""struct(acc.st + x.gap + x.len AS st,
+        concat(acc.out, {new}) AS out)"""
     fold = folded("z", "0L", RANGES_TYPE[6:-1], step)
     # One-element transform: the zipped array is made once and named.
     return F.expr(
@@ -121,8 +135,8 @@ def merged(spans: str) -> Column:
     Deterministic layers outrank any other detector at the same start.  A dropped span does not
     move the frontier, which is why this is a fold and not a running maximum.
     """
-    step = """CASE WHEN x.`start` >= acc.st
-        THEN struct(x.span.`end` AS st, concat(acc.out, array(x.span)) AS out)
+    step = f"""CASE WHEN x.`start` >= acc.st
+        THEN struct(x.span.`end` AS st, concat(acc.out, {one("x.span", SPANS_TYPE)}) AS out)
         ELSE acc END"""
     fold = folded("z", "-1L", SPAN_TYPE, step)
     return F.expr(
@@ -149,11 +163,12 @@ def suppressed(spans: str) -> Column:
 
 def leftmost_longest(candidates: str, text: str) -> Column:
     """Spans from dictionary candidates: sorted by start and rank, skipping what overlaps."""
-    step = f"""CASE WHEN x.`start` >= acc.st THEN struct(x.`end` AS st,
-        concat(acc.out, array(struct(x.`start` AS `start`, x.`end` AS `end`,
+    span = f"""struct(x.`start` AS `start`, x.`end` AS `end`,
           x.label AS label, 'dictionary' AS source, 0.0D AS score,
           substring({text}, CAST(x.`start` + 1 AS INT), CAST(x.`end` - x.`start` AS INT))
-            AS value))) AS out)
+            AS value)"""
+    step = f"""CASE WHEN x.`start` >= acc.st
+      THEN struct(x.`end` AS st, concat(acc.out, {one(span, SPANS_TYPE)}) AS out)
       ELSE acc END"""
     fold = folded("z", "0L", SPAN_TYPE, step)
     return F.expr(f"flatten(transform(array(sort_array({candidates})), z -> ({fold}).out))")
@@ -181,8 +196,8 @@ def clamped(spans: Column, text: Column) -> Column:
 def applied(text: str, cuts: str) -> Column:
     """Replace each range of ``cuts`` (array of start, end, placeholder; in order) in one pass."""
     step = f"""struct(x.`end` AS st,
-        concat(acc.out, array(substring({text}, CAST(acc.st + 1 AS INT),
-          CAST(x.`start` - acc.st AS INT)), x.placeholder)) AS out)"""
+        concat(acc.out, CAST(array(substring({text}, CAST(acc.st + 1 AS INT),
+          CAST(x.`start` - acc.st AS INT)), x.placeholder) AS array<string>)) AS out)"""
     fold = folded(cuts, "0L", "string", step)
     return F.expr(
         f"""CASE WHEN size({cuts}) > 0 THEN element_at(transform(array({fold}),

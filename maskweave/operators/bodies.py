@@ -7,6 +7,7 @@ limited in size before they get here, so the work per row is bounded and nothing
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -86,11 +87,66 @@ def _blocks(body, put) -> None:
 WALKS = {"chat": _chat, "blocks": _blocks}
 
 
-def _parsed(raw: str | None):
+# Deeper bodies are refused: no client sends them, and a walk must not run out of stack.
+MAX_DEPTH = 200
+
+
+def _depth_over(raw: str, limit: int) -> bool:
+    """Whether brackets outside strings nest deeper than ``limit``."""
+    depth = 0
+    quoted = False
+    for token in _BRACKETS.findall(raw):
+        if token == '"':
+            quoted = not quoted
+        elif quoted or token[0] == "\\":
+            continue
+        elif token in "[{":
+            depth += 1
+            if depth > limit:
+                return True
+        else:
+            depth -= 1
+    return False
+
+
+# Brackets, quotes, and each backslash with the character it escapes.
+_BRACKETS = re.compile(r'\\.|["\[\]{}]', re.S)
+
+
+def _read(raw: str | None) -> tuple[object, str | None]:
+    """(tree, reason it cannot be used)."""
+    if not raw:
+        return None, "unreadable_body"
+    if _depth_over(raw, MAX_DEPTH):
+        return None, "body_too_deep"
     try:
-        return json.loads(raw) if raw else None
-    except ValueError:
-        return None
+        return json.loads(raw), None
+    except (ValueError, RecursionError):
+        return None, "unreadable_body"
+
+
+def _parsed(raw: str | None):
+    return _read(raw)[0]
+
+
+def _refusal(raw: str | None, shape: str | None) -> str | None:
+    tree, reason = _read(raw)
+    if reason is None and shape is not None:
+        if not isinstance(tree, dict) or not isinstance(tree.get("messages"), list):
+            return "unreadable_body"
+    return reason
+
+
+def with_body_reason(df: DataFrame, body: str = "body", shape: str | None = None) -> DataFrame:
+    """Add ``reason``: ``unreadable_body`` (no JSON, or no list of messages where ``shape`` asks for
+    one), ``body_too_deep``, or null for a body that can be walked.  Such a body yields no segment
+    and must be held back, not passed on as having nothing to redact."""
+
+    @F.pandas_udf("string")
+    def refuse(bodies: pd.Series) -> pd.Series:
+        return pd.Series([_refusal(raw, shape) for raw in bodies], dtype=object)
+
+    return df.withColumn("reason", refuse(F.col(body)))
 
 
 def segments_column(body: Column, shape: str) -> Column:
@@ -124,7 +180,8 @@ def extract_segments(df: DataFrame, shape: str, *key: str, body: str = "body") -
 def rebuilt_column(body: Column, texts: Column, shape: str) -> Column:
     """The body with its redactable strings replaced by ``texts``, in the same walk order.
 
-    Every other field is kept.  Keys come out sorted and without spaces.
+    Every other field is kept.  Keys come out sorted and without spaces.  A body that cannot be
+    read is not rebuilt: null.
     """
     walk = WALKS[shape]
 
@@ -132,7 +189,10 @@ def rebuilt_column(body: Column, texts: Column, shape: str) -> Column:
     def put_back(bodies: pd.Series, values: pd.Series) -> pd.Series:
         out = []
         for raw, new in zip(bodies, values):
-            tree = _parsed(raw)
+            tree, reason = _read(raw)
+            if reason is not None:
+                out.append(None)
+                continue
             queue = iter(new if new is not None else [])
             walk(tree, lambda _p, _v: next(queue))
             out.append(_dump(tree))

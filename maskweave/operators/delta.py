@@ -11,6 +11,7 @@ from maskweave.functions.patterns import SUGGESTION_LIMIT
 from maskweave.functions.text import ascii_lower, segment_hash
 from maskweave.operators.policy import allowed_terms, entry_keys, hidden_forms, scope_keys
 from maskweave.operators.ranking import running
+from maskweave.session import staged
 
 CACHE_SCHEMA = (
     "seg_hash string, policy_version string, "
@@ -19,7 +20,9 @@ CACHE_SCHEMA = (
 
 
 def with_hash(df: DataFrame, text: str = "text", scope: str | None = None) -> DataFrame:
-    return df.withColumn("seg_hash", segment_hash(F.col(text), F.col(scope) if scope else None))
+    """Add ``seg_hash``; a null text hashes like an empty one."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return df.withColumn("seg_hash", segment_hash(whole, F.col(scope) if scope else None))
 
 
 def cache_rows(detected: DataFrame, policy_version: str | Column) -> DataFrame:
@@ -45,10 +48,11 @@ def delta_scan(
     back on the hash alone: the join's lookup side has one row per hash, so a text that makes up
     much of the data is split by Spark's skew handling.
     """
-    known = cache.where(F.col("policy_version") == policy_version)
-    texts = segments.groupBy("seg_hash").agg(F.any_value("text").alias("text"))
+    known = cache.where(F.col("policy_version") == policy_version).dropDuplicates(["seg_hash"])
+    texts = segments.groupBy("seg_hash").agg(F.coalesce(F.any_value("text"), F.lit("")).alias("text"))
     fresh = texts.join(known.select("seg_hash"), "seg_hash", "left_anti")
-    new_rows = cache_rows(detect(fresh), policy_version)
+    # Written once: whoever stores the cache rows does not detect again.
+    new_rows = staged(cache_rows(detect(fresh), policy_version), "new-spans")
     spans = known.select("seg_hash", "spans", F.lit(True).alias("hit")).unionByName(
         new_rows.select("seg_hash", "spans", F.lit(False).alias("hit"))
     )
@@ -134,16 +138,17 @@ def suggestions(
         .distinct()
     )
     keyed = seen.withColumn("__keys", scope_keys(F.col("__scope")))
-    new = keyed.join(
-        known_forms,
-        (F.lower("value") == F.col("__known")) & F.array_contains("__keys", F.col("__key")),
-        "left_anti",
-    ).join(
-        allow,
-        (ascii_lower(F.col("value")) == F.col("allowed"))
-        & F.array_contains("__keys", F.col("__key")),
-        "left_anti",
-    )
+    # One equality on (value, key) for each key a request may see: its own, and the global one.
+    new = keyed
+    for n in (0, 1):
+        mine = F.get(F.col("__keys"), F.lit(n))
+        new = new.join(
+            known_forms, (F.lower("value") == F.col("__known")) & (mine == F.col("__key")), "left_anti"
+        ).join(
+            allow,
+            (ascii_lower(F.col("value")) == F.col("allowed")) & (mine == F.col("__key")),
+            "left_anti",
+        )
     return (
         new.orderBy(F.col("last_seen").desc(), F.col("__scope"), F.col("value"))
         .limit(limit)

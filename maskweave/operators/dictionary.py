@@ -4,8 +4,9 @@ Two ways to match, chosen by the size of the policy:
 
 * few forms: one JVM regular expression per scope, a literal in the plan;
 * more forms: broadcast chunks of at most ``CHUNK_BYTES`` of forms, each matched by an
-  automaton in an Arrow batch function.  More chunks mean more passes over the text column,
-  never more memory per task and never the whole policy on the driver.
+  automaton in an Arrow batch function.  More chunks mean more passes over the text column.
+
+Both give the same spans, and both stay in the row: no key, no shuffle, fit for streams.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from __future__ import annotations
 import functools
 import json
 import os
+import unicodedata
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,9 +58,27 @@ class Form:
 
 
 def _is_word(ch: str) -> bool:
+    """Whether a form's own first or last character asks for a word edge."""
     return ch.isalnum() or ch == "_"
 
 
+# Circled and squared letters, the only symbols that count as alphabetic.
+_ALPHABETIC_SYMBOLS = ((0x24B6, 0x24E9), (0x1F130, 0x1F149), (0x1F150, 0x1F169), (0x1F170, 0x1F189))
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _in_word(ch: str) -> bool:
+    """Whether a character of the text continues a word: alphabetic, mark, decimal digit,
+    connector or joiner, as ``\\w`` under the U flag has it."""
+    kind = unicodedata.category(ch)
+    return (
+        kind[0] in "LM"
+        or kind in ("Nd", "Nl", "Pc")
+        or ch in "\u200c\u200d"
+        or any(a <= ord(ch) <= b for a, b in _ALPHABETIC_SYMBOLS)
+    )
+
+
 def _fold(ch: str) -> str:
     """Simple case folding of one character.  Dotted and dotless I fold with nothing else."""
     if ch in "İı":
@@ -106,8 +125,15 @@ def _edges(f: Form) -> str:
     """Word-edge tests of a whole-word form, written after its last character."""
     if not f.whole_word:
         return ""
-    lead = r"(?<=\b(?s:.{%d}))" % len(f.form) if _is_word(f.form[0]) else ""
-    return lead + (r"\b" if _is_word(f.form[-1]) else "")
+    lead = trail = ""
+    if _is_word(f.form[0]):
+        # A look-behind counts code points only if it holds a character beyond the BMP itself.
+        wide = any(ord(c) > 0xFFFF for c in f.form)
+        any_char = "[\\s\\S\U00010000]" if wide else r"[\s\S]"
+        lead = r"(?<=(?<!\w)%s{%d})" % (any_char, len(f.form))
+    if _is_word(f.form[-1]):
+        trail = r"(?!\w)"
+    return lead + trail
 
 
 def _tree(entries: list[tuple[str, str]]) -> str:
@@ -238,27 +264,26 @@ def _automaton(handle):
     return _WORKER["auto"]
 
 
-def _at_edges(text: str, start: int, end: int) -> bool:
-    def inner(a: int, b: int) -> bool:
-        return a >= 0 and b < len(text) and _is_word(text[a]) and _is_word(text[b])
-
-    return not (
-        (_is_word(text[start]) and inner(start - 1, start))
-        or (_is_word(text[end - 1]) and inner(end - 1, end))
-    )
+def _at_edges(text: str, start: int, end: int, first: str, last: str) -> bool:
+    """Whether no word runs over the edges; ``first`` and ``last`` are the form's own."""
+    runs_in = start > 0 and _is_word(first) and _in_word(text[start - 1])
+    runs_on = end < len(text) and _is_word(last) and _in_word(text[end])
+    return not (runs_in or runs_on)
 
 
 def _candidates(auto, text: str, scope: str | None, everything: bool) -> list[tuple]:
-    """Best form at each start position of one text, as (start, neg_bytes, ord, no, end, label)."""
+    """Best form at each start position of one text, as tuples in
+    the order of ``_CANDIDATE``."""
     best: dict[int, tuple] = {}
     for last, (n, forms) in auto.iter(_folded(text)):
         start, end = last - n + 1, last + 1
         for f in forms:
             if not everything and f.scope not in (GLOBAL_SCOPE, scope):
                 continue
-            if f.whole_word and not _at_edges(text, start, end):
+            if f.whole_word and not _at_edges(text, start, end, f.form[0], f.form[-1]):
                 continue
-            found = (start, *f.rank, end, f.label)
+            size, order, number = f.rank
+            found = (start, size, f.whole_word, order, number, end, f.label)
             if start not in best or found < best[start]:
                 best[start] = found
             break
@@ -266,7 +291,8 @@ def _candidates(auto, text: str, scope: str | None, everything: bool) -> list[tu
 
 
 _CANDIDATE = (
-    "array<struct<start:bigint,neg_bytes:bigint,ord:bigint,form_no:bigint,end:bigint,label:string>>"
+    "array<struct<start:bigint,neg_bytes:bigint,whole_word:boolean,ord:bigint,form_no:bigint,"
+    "end:bigint,label:string>>"
 )
 
 
@@ -290,7 +316,8 @@ def _chunk_handles(forms: DataFrame, total_bytes: int, chunk_bytes: int):
     """Yield one broadcast per chunk of forms; only one chunk is on the driver at a time."""
     context = forms.sparkSession.sparkContext
     chunks = max(1, -(-total_bytes // chunk_bytes))
-    slot = F.pmod(F.xxhash64(F.lower("form")), F.lit(chunks))
+    # By form and scope: a term taught in many scopes spreads over the chunks.
+    slot = F.pmod(F.xxhash64(F.lower("form"), "scope"), F.lit(chunks))
     for i in range(chunks):
         part = forms if chunks == 1 else forms.where(slot == i)
         rows = [tuple(r) for r in part.select(*FORM_COLUMNS).collect()]
@@ -304,31 +331,15 @@ def _automaton_spans(
     text: str,
     scope: str | None,
     out: str,
-    key: list[str],
     total_bytes: int,
     chunk_bytes: int,
 ) -> DataFrame:
     request = F.col(scope) if scope else None
     handles = list(_chunk_handles(forms, total_bytes, chunk_bytes))
-    if len(handles) == 1:
-        with_cands = df.withColumn("__cand", _candidate_column(handles[0], F.col(text), request))
-        best = S.leftmost_longest("__cand", f"`{text}`")
-        return S.settled(with_cands, {out: best}).drop("__cand")
-    # One narrow pass per chunk; the candidates of a row then meet on its key.
-    passes = [
-        df.select(*key, _candidate_column(h, F.col(text), request).alias("__cand"))
-        .select(*key, F.explode("__cand").alias("__c"))
-        for h in handles
-    ]
-    cands = (
-        reduce(DataFrame.unionByName, passes)
-        .groupBy(*key)
-        .agg(F.collect_list("__c").alias("__cand"))
-    )
-    joined = df.join(cands, key, "left")
-    empty = F.array().cast(_CANDIDATE)
-    filled = joined.withColumn("__cand", F.coalesce("__cand", empty))
-    return S.settled(filled, {out: S.leftmost_longest("__cand", f"`{text}`")}).drop("__cand")
+    # One pass per chunk, all in the row; a candidate carries all that its rank depends on.
+    found = {f"__cand_{i}": _candidate_column(h, F.col(text), request) for i, h in enumerate(handles)}
+    best = S.leftmost_longest(f"concat({', '.join(found)})", f"`{text}`")
+    return S.settled(df.withColumns(found), {out: best}).drop(*found)
 
 
 # --- entry point -----------------------------------------------------------------------
@@ -345,7 +356,7 @@ def with_dictionary_spans(
     chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Add the dictionary layer.  ``scope`` names the request-scope column; without one every
-    entry applies.  ``key`` identifies a row and is needed for multi-chunk policies only."""
+    entry applies.  Everything stays in the row; ``key`` is not needed any more."""
     forms = hidden_forms(policy).select(*FORM_COLUMNS)
     cost = F.octet_length("form") + F.octet_length("label") + F.lit(200)
     size = forms.agg(
@@ -358,6 +369,4 @@ def with_dictionary_spans(
         few = [Form(*r) for r in forms.collect()]
         if len({f.scope for f in few}) <= MAX_PATTERN_SCOPES:
             return _pattern_spans(df, few, text, scope, out)
-    if key is None:
-        key = [c for c in df.columns if c != text]
-    return _automaton_spans(df, forms, text, scope, out, key, size.bytes, chunk_bytes)
+    return _automaton_spans(df, forms, text, scope, out, size.bytes, chunk_bytes)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from maskweave.functions import patterns as P
 from maskweave.functions import spans as S
+from maskweave.session import staged
 
 
 def with_words(df: DataFrame, text: str = "text", out: str = "words") -> DataFrame:
@@ -95,8 +97,10 @@ def label_scores(
     threshold: a dot product, then the logistic function.
 
     Label vectors reach the tasks in chunks of at most ``LABELS_PER_CHUNK``; each chunk is one
-    matrix product per Arrow batch.  Larger label sets mean more passes over the items.
+    matrix product per Arrow batch.  Larger label sets mean more passes over the items.  An item
+    whose vector is null, holds a null or has another length than the label's has no score.
     """
+    labels = staged(labels.select(label, "vector"), "label-vectors")
     n_labels = labels.count()
     chunks = max(1, -(-n_labels // LABELS_PER_CHUNK))
     slot = F.pmod(F.xxhash64(label), F.lit(chunks))
@@ -108,13 +112,17 @@ def label_scores(
         if not rows:
             continue
         names = [str(r[label]) for r in rows]
-        matrix = np.array([r["vector"] for r in rows], dtype="float64")
-        run = _scorer(names, matrix, threshold, key, label)
-        part = items.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(
-            run, f"{key} {key_type}, {label} string, logit double, score double"
-        )
-        part = part.withColumn(label, F.col(label).cast(label_type))
-        out = part if out is None else out.unionByName(part)
+        for dim in sorted({len(r["vector"]) for r in rows}):
+            same = [k for k, r in enumerate(rows) if len(r["vector"]) == dim]
+            matrix = np.array([rows[k]["vector"] for k in same], dtype="float64").reshape(-1, dim)
+            run = _scorer([names[k] for k in same], matrix, threshold, key, label)
+            v = F.col(vector).cast("array<double>")
+            whole = items.where((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull()))
+            part = whole.select(key, v.alias("v")).mapInArrow(
+                run, f"{key} {key_type}, {label} string, logit double, score double"
+            )
+            part = part.withColumn(label, F.col(label).cast(label_type))
+            out = part if out is None else out.unionByName(part)
     if out is None:
         return items.sparkSession.createDataFrame(
             [], f"{key} {key_type}, {label} {label_type}, logit double, score double"
@@ -166,7 +174,15 @@ class DetectorPlugin:
     threshold: float | None = None
 
 
+# Detectors loaded in this worker, newest last; older ones are let go.
 _LOADED: dict[str, Callable] = {}
+MAX_LOADED = 4
+
+
+@functools.lru_cache(maxsize=256)
+def _tag(plugin: DetectorPlugin) -> str:
+    """One name per plug-in object, however many plans use it."""
+    return f"{plugin.name}-{uuid.uuid4().hex}"
 
 
 def _to_characters(text: str, start: int, end: int) -> tuple[int, int]:
@@ -181,11 +197,13 @@ def _to_characters(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def _plugin_column(plugin: DetectorPlugin, text: Column) -> Column:
-    tag = f"{plugin.name}-{uuid.uuid4().hex}"
+    tag = _tag(plugin)
 
     @F.pandas_udf(_PLUGIN)
     def run(texts: pd.Series) -> pd.DataFrame:
         if tag not in _LOADED:
+            while len(_LOADED) >= MAX_LOADED:
+                _LOADED.pop(next(iter(_LOADED)))
             _LOADED[tag] = plugin.load()
         detect = _LOADED[tag]
         spans, failed = [], []

@@ -7,8 +7,11 @@ decides label ties.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
+import pandas as pd
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -265,10 +268,8 @@ def policy_version(policy: DataFrame, lanes: int = 5) -> DataFrame:
             "\u0001",
             F.col("list"),
             F.col("ord").cast("string"),
-            "term",
-            "label",
-            "scope",
-            F.array_join("aliases", "\u0002"),
+            *[F.coalesce(F.col(c), F.lit("\u0003")) for c in ("term", "label", "scope")],
+            F.coalesce(F.array_join("aliases", "\u0002", "\u0003"), F.lit("\u0003")),
             F.col("whole_word").cast("string"),
         ),
         256,
@@ -300,14 +301,51 @@ def without_allowed(spans: DataFrame, policy: DataFrame, scope: str | None = Non
     keyed = spans.withColumn("__keys", scope_keys(request)).withColumn(
         "__value", ascii_lower("value")
     )
-    return keyed.join(
-        allow,
-        (F.col("__value") == F.col("allowed")) & F.array_contains("__keys", F.col("__key")),
-        "left_anti",
-    ).drop("__keys", "__value")
+    # One equality on (value, key) for each key a request may see: its own, and the global one.
+    for n in (0, 1):
+        mine = F.get(F.col("__keys"), F.lit(n))
+        keyed = keyed.join(
+            allow, (F.col("__value") == F.col("allowed")) & (mine == F.col("__key")), "left_anti"
+        )
+    return keyed.drop("__keys", "__value")
 
 
 MAX_LITERAL_TERMS = 500
+ALLOW_CHUNK_ROWS = 250_000
+
+
+def _flag_column(sent: Broadcast, values: Column, keys: Column) -> Column:
+    @F.pandas_udf("array<boolean>")
+    def flag(values: pd.Series, keys: pd.Series) -> pd.Series:
+        table = sent.value
+        return pd.Series(
+            [
+                None if vs is None else [any(v in table.get(k, ()) for k in ks) for v in vs]
+                for vs, ks in zip(values, keys)
+            ]
+        )
+
+    return flag(values, keys)
+
+
+def _allowed_flags(allow: DataFrame, values: Column, keys: Column) -> Column:
+    """For each value whether an entry seen under one of the keys allows it.
+
+    The entries reach the tasks in broadcast chunks of about ``ALLOW_CHUNK_ROWS`` rows, one
+    Arrow pass each over the values alone.
+    """
+    context = allow.sparkSession.sparkContext
+    rows = allow.distinct()
+    chunks = max(1, -(-rows.count() // ALLOW_CHUNK_ROWS))
+    slot = F.pmod(F.xxhash64("allowed"), F.lit(chunks))
+    flags = []
+    for i in range(chunks):
+        table: dict[str, set[str]] = {"*": set()}
+        for term, entry_scope in rows.where(slot == i).select("allowed", "scope").toLocalIterator():
+            table.setdefault(entry_scope, set()).add(term)
+            table["*"].add(term)
+        flags.append(_flag_column(context.broadcast(table), values, keys))
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x | y), flags)
 
 
 def drop_allowed(
@@ -318,16 +356,17 @@ def drop_allowed(
     scope: str | None = None,
     max_terms: int = MAX_LITERAL_TERMS,
 ) -> DataFrame:
-    """Remove allowed texts from an array of spans.
+    """Remove allowed texts from an array of spans; rows stay where they are.
 
-    A short allow-list travels in the plan and the filter stays in the row.  A longer one is
-    joined: the allowed values of each row (identified by ``key``) come back as a set.
+    A short allow-list travels in the plan, a longer one as broadcast sets.  ``key`` is not
+    needed any more.
     """
     allow = allowed_terms(policy)
     head = allow.limit(max_terms + 1).collect()
     request = F.col(scope) if scope else F.lit(None).cast("string")
     if not head:
         return df
+    values = F.transform(spans, lambda s: ascii_lower(s["value"]))
     if len(head) <= max_terms:
         by_scope: dict[str, list[str]] = {"*": []}
         for term, entry_scope in head:
@@ -339,26 +378,14 @@ def drop_allowed(
             F.transform(scope_keys(request), lambda k: F.coalesce(F.element_at(table, k), none))
         )
         ready = settled(df, {"__terms": terms})
+        flags = F.transform(values, lambda v: F.array_contains(F.col("__terms"), v))
     else:
-        asked = df.select(
-            *key,
-            scope_keys(request).alias("__keys"),
-            F.explode(F.array_distinct(F.transform(spans, lambda s: ascii_lower(s["value"])))).alias(
-                "allowed"
-            ),
-        )
-        entries = allow.select("allowed", F.explode(entry_keys(F.col("scope"))).alias("__key"))
-        found = (
-            asked.join(entries.distinct(), "allowed")
-            .where(F.array_contains("__keys", F.col("__key")))
-            .groupBy(*key)
-            .agg(F.collect_set("allowed").alias("__terms"))
-        )
-        ready = df.join(found, key, "left")
+        ready = df.withColumn("__terms", _allowed_flags(allow, values, scope_keys(request)))
+        flags = F.col("__terms")
     kept = F.filter(
-        spans, lambda s: ~F.array_contains(F.col("__terms"), ascii_lower(s["value"]))
+        F.zip_with(spans, flags, lambda s, f: F.struct(s.alias("s"), f.alias("f"))), lambda x: ~x["f"]
     )
-    left = F.when(F.col("__terms").isNull(), F.col(spans)).otherwise(kept)
+    left = F.when(F.size(spans) > 0, F.transform(kept, lambda x: x["s"])).otherwise(F.col(spans))
     return settled(ready, {"__left": left}).drop("__terms", spans).withColumnRenamed("__left", spans)
 
 

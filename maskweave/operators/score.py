@@ -221,26 +221,40 @@ def choose_preset(
     """
     if threshold is not None and not 0.0 <= threshold <= 1.0:
         threshold = None
-    rows = {r["name"]: r for r in presets.limit(1000).collect()}
-    if name not in rows:
-        raise ValueError(f"unknown preset {name!r} (available: {', '.join(sorted(rows))})")
-    row = rows[name]
+    row = presets.where(F.col("name") == name).first()
+    if row is None:
+        known = [r["name"] for r in presets.select("name").orderBy("name").limit(50).collect()]
+        raise ValueError(f"unknown preset {name!r} (available: {', '.join(known)})")
     own = None
     if labels is not None:
         own = [x.strip() for x in labels.split(",") if x.strip()] or None
-    return own or row["labels"], threshold if threshold is not None else (row["threshold"] or 0.5)
+    if threshold is None:
+        threshold = 0.5 if row["threshold"] is None else row["threshold"]
+    return own or row["labels"], threshold
 
 
 def preset_filter(
     spans: DataFrame, presets: DataFrame, override: float | None = None, by: str = "preset"
 ) -> DataFrame:
-    """Keep scored spans that the preset named in column ``by`` would report."""
+    """Keep scored spans that the preset named in column ``by`` would report.
+
+    An override outside [0, 1] is ignored; a name without a preset is an error.
+    """
     p = presets.select(
-        F.col("name").alias(by), F.col("labels").alias("__labels"), F.col("threshold").alias("__t")
+        F.col("name").alias(by),
+        F.col("labels").alias("__labels"),
+        F.col("threshold").alias("__t"),
+        F.lit(True).alias("__known"),
+    )
+    named = spans.join(p, by, "left")
+    known = F.when(F.col("__known"), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("unknown preset "), F.coalesce(F.col(by), F.lit("null")))).cast("boolean")
     )
     wanted = F.col("__labels").isNull() | F.array_contains("__labels", F.col("label"))
-    limit = F.lit(override) if override is not None else F.coalesce("__t", F.lit(0.5))
-    return spans.join(p, by).where(wanted & (F.col("score") >= limit)).drop("__labels", "__t")
+    given = override is not None and 0.0 <= override <= 1.0
+    limit = F.lit(override) if given else F.coalesce("__t", F.lit(0.5))
+    kept = named.where(known & wanted & (F.col("score") >= limit))
+    return kept.drop("__labels", "__t", "__known")
 
 
 def split_labels(df: DataFrame, column: str, out: str = "labels") -> DataFrame:

@@ -18,6 +18,13 @@ from maskweave.session import staged
 
 SEGMENTS_PER_BLOCK = 1024
 
+Key = str | list[str]
+
+
+def _keys(conv: Key) -> list[str]:
+    """Columns that name a vault: the conversation, or (request, conversation)."""
+    return [conv] if isinstance(conv, str) else list(conv)
+
 
 # --- one vault per row -----------------------------------------------------------------
 
@@ -73,7 +80,7 @@ def redact_rows(df: DataFrame, text: str = "text", spans: str = "spans") -> Data
 
 
 def assign_placeholders(
-    spans: DataFrame, conv: str = "conv_id", seg: str = "seg_no"
+    spans: DataFrame, conv: Key = "conv_id", seg: str = "seg_no"
 ) -> DataFrame:
     """The vault table: one row per distinct value of a conversation.
 
@@ -81,20 +88,21 @@ def assign_placeholders(
     label by first appearance.  Numbering works in blocks of segments, so neither a value
     nor a conversation that holds much of the data lands in one task.
     """
-    first = spans.groupBy(conv, F.col("value").alias("real")).agg(
+    keys = _keys(conv)
+    first = spans.groupBy(*keys, F.col("value").alias("real")).agg(
         F.min(F.struct(F.col(seg).alias("seg"), "start", "label")).alias("first")
     )
     seen = first.select(
-        conv,
+        *keys,
         "real",
         ascii_upper("first.label").alias("label"),
         F.col("first.seg").alias("seg"),
         F.col("first.start").alias("start"),
     )
     block = F.floor(F.col("seg") / SEGMENTS_PER_BLOCK)
-    ranked = numbered(seen, [conv, "label"], block, ["seg", "start"])
+    ranked = numbered(seen, [*keys, "label"], block, ["seg", "start"])
     return ranked.select(
-        conv,
+        *keys,
         "real",
         "label",
         "n",
@@ -104,33 +112,41 @@ def assign_placeholders(
 
 
 def cuts_by_segment(
-    spans: DataFrame, vault: DataFrame, conv: str = "conv_id", seg: str = "seg_no"
+    spans: DataFrame, vault: DataFrame, conv: Key = "conv_id", seg: str = "seg_no"
 ) -> DataFrame:
-    """Replacement list of each segment that has any, in text order."""
-    names = vault.select(conv, F.col("real").alias("value"), "placeholder")
+    """Replacement list of each segment that has any, in text order.
+
+    A segment that was sent more than once has each of its ranges once.
+    """
+    keys = _keys(conv)
+    names = vault.select(*keys, F.col("real").alias("value"), "placeholder")
     return (
-        spans.select(conv, seg, "start", "end", "value")
-        .join(names, [conv, "value"])
-        .groupBy(conv, seg)
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "placeholder"))).alias("cuts"))
+        spans.select(*keys, seg, "start", "end", "value")
+        .join(names, [*keys, "value"])
+        .groupBy(*keys, seg)
+        .agg(F.sort_array(F.collect_set(F.struct("start", "end", "placeholder"))).alias("cuts"))
     )
 
 
 def apply_cuts(
-    segments: DataFrame, cuts: DataFrame, conv: str = "conv_id", seg: str = "seg_no"
+    segments: DataFrame, cuts: DataFrame, conv: Key = "conv_id", seg: str = "seg_no"
 ) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,end:bigint,placeholder:string>>")
-    joined = segments.join(cuts, [conv, seg], "left").withColumn("cuts", F.coalesce("cuts", none))
+    joined = segments.join(cuts, [*_keys(conv), seg], "left").withColumn("cuts", F.coalesce("cuts", none))
     return S.settled(joined, {"redacted": S.applied("text", "cuts")}).drop("cuts")
 
 
 def redact_conversations(
-    segments: DataFrame, spans: DataFrame, conv: str = "conv_id", seg: str = "seg_no"
+    segments: DataFrame, spans: DataFrame, conv: Key = "conv_id", seg: str = "seg_no"
 ) -> tuple[DataFrame, DataFrame]:
     """(redacted segments, vault).  The narrow tables of spans and placeholders are written
     once, so detection and numbering run once however often they are read; the text itself is
-    shuffled once, by segment."""
-    narrow = staged(spans.select(conv, seg, "start", "end", "label", "value"), "spans")
+    shuffled once, by segment.
+
+    ``conv`` names the columns of one vault.  Requests that resend a conversation are vaults of
+    their own: give (request, conversation) then.
+    """
+    narrow = staged(spans.select(*_keys(conv), seg, "start", "end", "label", "value"), "spans")
     vault = staged(assign_placeholders(narrow, conv, seg), "vault")
     return apply_cuts(segments, cuts_by_segment(narrow, vault, conv, seg), conv, seg), vault
 
@@ -161,25 +177,33 @@ def restored(text: Column, reals: Column) -> Column:
 def restore_by_join(
     texts: DataFrame,
     vault: DataFrame,
-    conv: str = "conv_id",
+    conv: Key = "conv_id",
     seg: str = "seg_no",
     text: str = "text",
 ) -> DataFrame:
     """Restore texts from a vault table; the join key always holds the conversation.
 
-    Only the distinct placeholder names of each segment meet the vault, not the text.
+    Only the distinct placeholder names of each segment meet the vault, not the text.  A name
+    that stands for several values of its vault is left as written: no guess is made.
     """
+    keys = _keys(conv)
     names = F.array_distinct(
         F.transform(F.regexp_extract_all(F.col(text), F.lit(PLACEHOLDER), F.lit(1)), tidy_inner)
     )
-    asked = texts.select(conv, seg, F.explode(names).alias("inner"))
+    asked = texts.select(*keys, seg, F.explode(names).alias("inner")).distinct()
+    sure = (
+        vault.groupBy(*keys, "inner")
+        .agg(F.min("real").alias("real"), F.max("real").alias("__other"))
+        .where("real = __other")
+        .drop("__other")
+    )
     known = (
-        asked.join(vault.select(conv, "inner", "real"), [conv, "inner"])
-        .groupBy(conv, seg)
+        asked.join(sure, [*keys, "inner"])
+        .groupBy(*keys, seg)
         .agg(F.map_from_entries(F.collect_list(F.struct("inner", "real"))).alias("__reals"))
     )
     none = F.create_map().cast("map<string,string>")
-    joined = texts.join(known, [conv, seg], "left").withColumn(
+    joined = texts.join(known, [*keys, seg], "left").withColumn(
         "__reals", F.coalesce("__reals", none)
     )
     done = restored(F.col(text), F.col("__reals"))
@@ -190,7 +214,9 @@ def restore_by_join(
 
 
 def _associated(version: str, *context: str) -> Column:
-    return F.concat_ws("|", F.lit(version), *[F.col(c).cast("string") for c in context])
+    # JSON keeps the parts apart, and a null apart from an empty string.
+    parts = F.array(F.lit(version), *[F.col(c).cast("string") for c in context])
+    return F.to_json(parts)
 
 
 def seal(

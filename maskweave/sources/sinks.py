@@ -6,28 +6,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.operators.audit import split_clean
-
-
-def write_corpus(audited: DataFrame, clean_path: str, quarantine_path: str, mode: str = "append"):
-    """Clean rows to one table, quarantined rows (with their reason) to another.
-
-    The quarantine keeps the key and the reason only: its texts still show protected terms.
+from maskweave.session import staged
+
+
+def write_corpus(
+    audited: DataFrame,
+    clean_path: str,
+    quarantine_path: str,
+    key: list[str],
+    columns: list[str],
+    mode: str = "append",
+):
+    """Rows that passed the audit to one table, the others' keys and reasons to another.
+
+    Only what is named is written: ``key`` and ``columns`` of clean rows, ``key`` and ``reason`` of
+    quarantined ones, whose texts still show protected terms.  Originals, spans and vaults cannot
+    be named.  The checked rows are written once, split by reason, so the audit runs once.
     """
-    clean, held = split_clean(audited)
-    clean.write.mode(mode).parquet(clean_path)
-    texts = [c for c, t in held.dtypes if t == "string" and c not in ("reason", "scope", "source")]
-    held.drop(*texts).write.mode(mode).partitionBy("reason").parquet(quarantine_path)
+    private = sorted({"text", "spans", "vault", "cuts"} & set([*key, *columns]))
+    if private:
+        raise ValueError(f"not for a clean table: {', '.join(private)}")
+    names = list(dict.fromkeys([*key, *columns]))
+    ok = F.col("reason").isNull()
+    rest = [c for c in names if c not in key]
+    # Columns of held rows are emptied before anything is written.
+    checked = staged(
+        audited.select(*key, *[F.when(ok, F.col(c)).alias(c) for c in rest], "reason"), "checked"
+    )
+    split_clean(checked)[0].write.mode(mode).parquet(clean_path)
+    held = checked.where(~ok).select(*key, "reason")
+    held.write.mode(mode).partitionBy("reason").parquet(quarantine_path)
 
 
 def write_entities(detected: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines of {id, entities: [{start, end, label, score, source}]}."""
-    entities = F.transform(
-        "spans",
-        lambda s: F.struct(
-            *[s[c].alias(c) for c in ("start", "end", "label", "score", "source")]
-        ),
+    """JSON lines of {id, entities: [{start, end, label, score, source}]}, in the id's own type;
+    a row with an ``error`` (a line that could not be read) gives {id, error}."""
+    fields = ("start", "end", "label", "score", "source")
+    entities = F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in fields]))
+    error = F.col("error") if "error" in detected.columns else F.lit(None).cast("string")
+    rows = detected.select(
+        "id", F.when(error.isNull(), entities).alias("entities"), error.alias("error")
     )
-    detected.select("id", entities.alias("entities")).write.mode(mode).json(path)
+    # Null fields are left out of a JSON line.
+    rows.write.mode(mode).option("ignoreNullFields", "true").json(path)
 
 
 def write_task_results(results: DataFrame, path: str, task: str = "task_name") -> None:

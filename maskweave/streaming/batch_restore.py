@@ -40,13 +40,14 @@ def emitted_chunks(
     stream is cut into blocks of ``BLOCK_CHARS`` characters; each block also gets the chunks just
     before it to start from the right pending text.  A stream of any length spreads over tasks,
     and the array folded at a time is bounded by the block.  The text still held at the end goes
-    out with the chunk that ``is_end`` flags, or, without such a column, with the last one.
+    out with every chunk that ``is_end`` flags and with the last one.
     """
-    if is_end is None:
-        last = chunks.groupBy(*key).agg(F.max(chunk_no).alias("__last"))
-        chunks = chunks.join(last, key).withColumn("__end_flag", F.col(chunk_no) == F.col("__last"))
-    else:
-        chunks = chunks.withColumn("__end_flag", F.coalesce(is_end, F.lit(False)))
+    # A stream cut off before its end still gives up what it holds, with its last chunk.
+    last = chunks.groupBy(*key).agg(F.max(chunk_no).alias("__last"))
+    flagged = F.coalesce(is_end, F.lit(False)) if is_end is not None else F.lit(False)
+    chunks = chunks.join(last, key).withColumn(
+        "__end_flag", flagged | (F.col(chunk_no) == F.col("__last"))
+    )
     size = F.length(text).cast("bigint")
     placed = running(
         chunks.select(*key, chunk_no, text, "__end_flag"),
@@ -84,7 +85,8 @@ def emitted_chunks(
         ready = F.substring(whole, F.lit(1), F.length(whole) - F.length(held))
         out = F.when(c["ends"], whole).otherwise(ready)
         row = F.struct(c["no"].alias("no"), out.alias("out"), c["mine"].alias("mine"))
-        return F.struct(held.alias("pending"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+        left = F.when(c["ends"], F.lit("")).otherwise(held)
+        return F.struct(left.alias("pending"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
     zero = F.struct(
         F.lit("").alias("pending"),

@@ -43,13 +43,21 @@ class RedactionJob:
     ``vault`` and ``suggestions``.  Each batch writes its own partition of each and overwrites
     it when replayed, so a restart after a lost executor or driver repeats nothing.
 
-    Placeholders are numbered within a micro-batch of a conversation; send whole requests, as
-    clients do, since each carries its history.
+    ``request`` names the column of the request id: every request is a vault of its own, so a
+    conversation may come any number of times in a batch or over batches.  Without one the
+    placeholders are numbered within a micro-batch of a conversation, and a name that later
+    stands for another value is not restored.  With ``seal_key`` vault values are encrypted.
     """
 
     policy_path: str
     root: str
     scope: str | None = None
+    request: str | None = None
+    seal_key: bytes | None = None
+
+    @property
+    def vault_key(self) -> list[str]:
+        return [*([self.request] if self.request else []), "conv_id"]
 
     def _read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         """What earlier batches wrote; empty before the first one."""
@@ -76,10 +84,12 @@ class RedactionJob:
             # Only this batch's texts matter: the few hashes are sent to the cache files.
             wanted = segments.select("seg_hash").distinct()
             rows = self._read(spark, cache, row).where(F.col("batch") < before)
-            return rows.join(wanted, "seg_hash", "left_semi")
+            # A text that two batches scanned is there twice.
+            return rows.join(wanted, "seg_hash", "left_semi").dropDuplicates(["seg_hash"])
 
         texts = segments.groupBy("seg_hash").agg(
-            *[F.any_value(c).alias(c) for c in ("text", *extra)],
+            F.coalesce(F.any_value("text"), F.lit("")).alias("text"),
+            *[F.any_value(c).alias(c) for c in extra],
             F.min(F.struct("conv_id", "seg_no")).alias("place"),
         )
         fresh = texts.join(known(batch_id).select("seg_hash"), "seg_hash", "left_anti")
@@ -88,19 +98,23 @@ class RedactionJob:
         self._suggest(found, policy, batch_id)
 
         spans_by_hash = known(batch_id + 1).select("seg_hash", "spans")
+        key = self.vault_key
         rows = segments.join(spans_by_hash, "seg_hash").select(
-            "conv_id", "seg_no", "text", F.explode("spans").alias("s")
+            *key, "seg_no", "text", F.explode("spans").alias("s")
         )
         spans = rows.select(
-            "conv_id",
+            *key,
             "seg_no",
             F.col("s.start").alias("start"),
             F.col("s.end").alias("end"),
             F.col("s.label").alias("label"),
             F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"),
         )
-        red, vault = V.redact_conversations(batch.select("conv_id", "seg_no", "text"), spans)
+        texts = batch.select(*key, "seg_no", F.coalesce("text", F.lit("")).alias("text"))
+        red, vault = V.redact_conversations(texts, spans, key)
         self._write(red.drop("text"), "redacted", batch_id)
+        if self.seal_key is not None:
+            vault = V.seal(vault, "real", self.seal_key, [*key, "inner"])
         self._write(vault, "vault", batch_id)
 
     def _suggest(self, found: DataFrame, policy: DataFrame, batch_id: int) -> None:

@@ -62,16 +62,34 @@ class CarryProcessor(StatefulProcessor):
         if self.idle_ms is not None:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            if held:
+            if held or list(self.early.keys()):
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield from self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The stream fell silent: what is held goes out with the last chunk's number."""
+        """The stream fell silent: what is held goes out with the last chunk's number, and chunks
+        parked behind one that never came follow in order, with nothing held back across the gap.
+        The next number expected is then the one after the last chunk given out."""
         held = self.pending.get()[0] if self.pending.exists() else ""
-        last = (self.next_no.get()[0] if self.next_no.exists() else 0) - 1
+        want = self.next_no.get()[0] if self.next_no.exists() else 0
+        out = [(want - 1, held)] if held else []
+        held = ""
+        for no in sorted(k[0] for k in self.early.keys()):
+            text, is_end = self.early.getValue((no,))
+            self.early.removeKey((no,))
+            if no != want and held:
+                out[-1] = (out[-1][0], out[-1][1] + held)
+                held = ""
+            ready, held = advance(held, text)
+            if is_end:
+                ready, held = ready + held, ""
+            out.append((no, ready))
+            want = no + 1
+        if held:
+            out[-1] = (out[-1][0], out[-1][1] + held)
         self.pending.update(("",))
-        yield from self._rows(key, [(last, held)] if held else [])
+        self.next_no.update((want,))
+        yield from self._rows(key, out)
 
     def close(self) -> None:
         pass
@@ -89,18 +107,24 @@ def carried(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
 
 def write_restored(
     chunks: DataFrame, vault_path: str, out_path: str, checkpoint: str, idle_ms: int | None = None,
-    **trigger,
+    request: str | None = None, **trigger,
 ):
     """Start the restore query: per micro-batch the emitted texts meet the vault table.
 
     Each batch writes its own folder and overwrites it when replayed, so output is exactly once.
+    With ``request``, the vault's request column, a stream belongs to the request its
+    ``stream_id`` names, and only that request's vault is used.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         vault = batch.sparkSession.read.parquet(vault_path)
-        done = restore_by_join(
-            batch.withColumn("__seg", F.struct("stream_id", "field", "chunk_no")), vault, "conv_id", "__seg", "emitted"
-        ).drop("__seg", "emitted")
+        key = ["conv_id"]
+        if request:
+            vault = vault.withColumnRenamed(request, "stream_id")
+            key = ["stream_id", "conv_id"]
+        parts = [c for c in ("stream_id", "field", "chunk_no") if c not in key]
+        rows = batch.withColumn("__seg", F.struct(*parts))
+        done = restore_by_join(rows, vault, key, "__seg", "emitted").drop("__seg", "emitted")
         done.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return (

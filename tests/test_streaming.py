@@ -174,7 +174,7 @@ def test_sinks(spark, tmp_path):
     rows = [(1, "ok", None), (2, "Cartalian", "residual_term")]
     audited = spark.createDataFrame(rows, "id int, redacted string, reason string")
     clean, held = str(tmp_path / "clean"), str(tmp_path / "held")
-    sinks.write_corpus(audited, clean, held)
+    sinks.write_corpus(audited, clean, held, ["id"], ["redacted"])
     assert [r.id for r in spark.read.parquet(clean).collect()] == [1]
     kept = spark.read.parquet(held)
     assert set(kept.columns) == {"id", "reason"} and kept.count() == 1
