@@ -291,8 +291,8 @@ def redacted(df: DataFrame, weights: dict, text: str = "text") -> DataFrame:
       THEN struct(struct(acc.st.`start` AS `start`, greatest(acc.st.`end`, x.`end`) AS `end`,
         acc.st.placeholder AS placeholder) AS st, acc.out AS out)
       ELSE struct({new} AS st, CASE WHEN acc.st.`end` IS NULL THEN acc.out
-        ELSE concat(acc.out, array(acc.st)) END AS out) END"""
-    fold = S.folded("z", f"CAST(NULL AS {cut})", cut, step)
+        ELSE concat(acc.out, {S.one("acc.st", f"array<{cut}>")}) END AS out) END"""
+    fold = S.folded("z", "NULL", cut, step, cut)
     joined = F.expr(
         f"CASE WHEN size({spans}) > 0 THEN flatten(transform(transform(array({spans}), z -> {fold}), "
         f"f -> concat(f.out, array(f.st)))) ELSE CAST(array() AS array<{cut}>) END"
