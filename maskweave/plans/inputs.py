@@ -229,9 +229,9 @@ def redacted_turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def scored_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate spans of up to three words over the conversations, with a stand-in score."""
+    """Candidate spans over the conversations, at full width, with a stand-in score."""
     labels = F.array(*[F.lit(x) for x in ("email", "person", "city", "vehicle", "iban")])
-    cand = M.candidate_spans(turns(spark, sf), "conv_id", "turn", max_width=3)
+    cand = M.candidate_spans(turns(spark, sf), "conv_id", "turn", max_width=8)
     number = F.col("start") * 31 + F.col("end") * 17 + F.col("turn") * 7
     return cand.select(
         "conv_id",
@@ -243,6 +243,17 @@ def scored_spans(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def scored_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored spans of each turn as an array, ``found``."""
+    span = F.struct(
+        "start", "end", "label", F.lit("model").alias("source"), "score",
+        F.lit(None).cast("string").alias("value"),
+    )
+    return scored_spans(spark, sf).groupBy("conv_id", "turn").agg(
+        F.sort_array(F.collect_list(span)).alias("found")
+    )
+
+
 # --- bodies ------------------------------------------------------------------------------------------
 
 
@@ -287,6 +298,21 @@ def chat_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return turns(spark, sf).select("conv_id", "turn", body.alias("body"))
 
 
+def quoted_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """A policy that teaches how the tool arguments of every third conversation begin: terms with
+    quotes, which a serializer escapes."""
+    begins = turns(spark, sf).where("conv_id % 3 = 0 AND turn % 4 = 2").select(
+        F.substring(F.concat(F.lit('"q":'), _quoted(F.col("text"))), 1, 17).alias("term")
+    )
+    rows = begins.distinct()
+    return rows.select(
+        F.xxhash64("term").alias("ord"), F.lit("deny").alias("list"), "term",
+        F.lit("KEY").alias("label"), F.lit("global").alias("scope"),
+        F.array().cast("array<string>").alias("aliases"), F.lit("").alias("source"),
+        F.lit(False).alias("whole_word"),
+    )
+
+
 def block_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """One block-shaped request per turn."""
     t = _quoted(F.col("text"))

@@ -152,23 +152,28 @@ WORD = (
     r"|\S"
 )
 CTURNS = "turns AS (SELECT conv_id, turn, text FROM conversations)"
-WORDS = (
-    f"{CTURNS}, words AS (SELECT conv_id, turn, i - 1 AS word_no, value AS word, s AS start, "
-    f's + length(value) AS "end" FROM ({located("turns", "conv_id, turn", repr_sql(WORD))}))'
-)
 
 
-def _candidates(width: int) -> str:
+def _words(src: str, key: str) -> str:
     return (
-        f"{WORDS}, cand AS (SELECT a.conv_id, a.turn, a.word_no AS first_word, "
-        'b.word_no AS last_word, a.start, b."end" FROM words a JOIN words b '
-        "ON a.conv_id = b.conv_id AND a.turn = b.turn "
+        f"words AS (SELECT {key}, i - 1 AS word_no, value AS word, s AS start, "
+        f's + length(value) AS "end" FROM ({located(src, key, repr_sql(WORD))}))'
+    )
+
+
+def _candidates(src: str, key: str, width: int) -> str:
+    names = [k.strip() for k in key.split(",")]
+    same = " AND ".join(f"a.{k} = b.{k}" for k in names)
+    return (
+        f"{_words(src, key)}, cand AS (SELECT {', '.join(f'a.{k}' for k in names)}, "
+        'a.word_no AS first_word, b.word_no AS last_word, a.start, b."end" '
+        f"FROM words a JOIN words b ON {same} "
         f"AND b.word_no BETWEEN a.word_no AND a.word_no + {width - 1})"
     )
 
 
 SCORED = (
-    f"{_candidates(3)}, scored AS (SELECT conv_id, turn, start, \"end\", "
+    f"{CTURNS}, {_candidates('turns', 'conv_id, turn', 8)}, scored AS (SELECT conv_id, turn, start, \"end\", "
     "(['email', 'person', 'city', 'vehicle', 'iban'])[first_word % 5 + 1] AS label, "
     '((start * 31 + "end" * 17 + turn * 7) % 1000) / 1000.0::DOUBLE AS score FROM cand)'
 )
@@ -407,8 +412,16 @@ def oracle() -> dict[str, str]:
         ),
         "redact_text": _with(DOC_RED, "SELECT doc_id, redacted FROM red"),
         "redact_conversations": _with(TURN_RED, "SELECT conv_id, seg_no, redacted FROM red"),
-        "restore_text": "SELECT doc_id, text || ' <<  ORG_0>>' AS restored FROM documents",
-        "restore_join": "SELECT conv_id, turn AS seg_no, text AS restored FROM conversations",
+        "restore_text": _with(
+            DOC_RED,
+            "SELECT r.doc_id, r.redacted, len(regexp_extract_all(r.redacted, '<<[^<>]*>>'))::BIGINT AS n, "
+            "d.text || ' <<  ORG_0>>' AS restored FROM red r JOIN documents d USING (doc_id)",
+        ),
+        "restore_join": _with(
+            TURN_RED,
+            "SELECT r.conv_id, r.seg_no, r.redacted, len(regexp_extract_all(r.redacted, '<<[^<>]*>>'))::BIGINT "
+            "AS n, c.text AS restored FROM red r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.seg_no",
+        ),
         "vault_isolation": _with(
             TURN_RED
             + """,
@@ -435,8 +448,13 @@ def oracle() -> dict[str, str]:
         "audit_split": _with(
             REGEX_RED, "SELECT doc_id, coalesce(reason, 'clean') AS outcome FROM audited"
         ),
-        "audit_decoded_strings": "SELECT conv_id, turn, NULL::VARCHAR AS serialized, "
-        "CASE WHEN turn % 4 = 2 THEN 'residual_term' END AS decoded FROM conversations",
+        "audit_decoded_strings": f"""
+            WITH quoted AS (SELECT conv_id, turn, '"q":' || {J} AS inner_ FROM conversations),
+            terms AS (SELECT DISTINCT lower(substr(inner_, 1, 17)) AS term FROM quoted
+              WHERE conv_id % 3 = 0 AND turn % 4 = 2)
+            SELECT conv_id, turn, NULL::VARCHAR AS serialized, CASE WHEN turn % 4 = 2 AND EXISTS (
+              SELECT 1 FROM terms t WHERE contains(lower(q.inner_), t.term)) THEN 'residual_term' END
+              AS decoded FROM quoted q""",
         "scope_resolution": _with(
             REQUESTS,
             "SELECT req_id, scope, CASE WHEN scope IS NULL THEN 'unauthorized_scope' END AS reason "
@@ -575,10 +593,10 @@ def oracle() -> dict[str, str]:
               CASE WHEN d.doc_id % 10 = 3 THEN 'unreadable line' END AS error
             FROM documents d WHERE d.doc_id % 10 <> 5""",
         ),
-        "word_tokens": _with(WORDS, "SELECT * FROM words"),
+        "word_tokens": _with(_words("documents", "doc_id"), "SELECT * FROM words"),
         "candidate_spans": _with(
-            _candidates(8),
-            'SELECT conv_id, turn, count(*) AS n, sum(start)::BIGINT AS starts, sum("end")::BIGINT '
+            _candidates("documents", "doc_id", 8),
+            'SELECT doc_id, count(*) AS n, sum(start)::BIGINT AS starts, sum("end")::BIGINT '
             "AS ends, sum(last_word - first_word)::BIGINT AS extra_words FROM cand GROUP BY ALL",
         ),
         "label_scores": """
@@ -591,13 +609,13 @@ def oracle() -> dict[str, str]:
             FROM d""",
         "score_threshold": _with(
             SCORED,
-            "SELECT conv_id, label, count(*) AS n FROM scored WHERE score >= 0.9 GROUP BY ALL",
+            "SELECT conv_id, label, count(*) AS n FROM scored WHERE score >= 0.5 GROUP BY ALL",
         ),
         "nms_spans": _with(
             SCORED
             + """, pool AS (
               SELECT *, row_number() OVER (PARTITION BY conv_id, turn, label
-                ORDER BY score DESC, start, "end") AS rn FROM scored WHERE score >= 0.9),
+                ORDER BY score DESC, start, "end") AS rn FROM scored WHERE score >= 0.5),
             walk AS (
               SELECT conv_id, turn, label, rn, true AS keep, [{'s': start, 'e': "end"}] AS kept
               FROM pool WHERE rn = 1

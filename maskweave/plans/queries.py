@@ -224,14 +224,22 @@ def restore_text(spark, sf):
     reply = F.regexp_replace(
         F.concat(F.col("redacted"), F.lit(" <<ORG_0>>")), "<<([A-Z]+)_", "<<  $1_"
     )
-    back = docs.select("doc_id", reply.alias("reply"), V.restore_map(F.col("vault")).alias("reals"))
-    return back.select("doc_id", V.restored(F.col("reply"), F.col("reals")).alias("restored"))
+    reals = V.restore_map(F.col("vault")).alias("reals")
+    back = docs.select("doc_id", "redacted", reply.alias("reply"), reals)
+    return back.select(
+        "doc_id",
+        "redacted",
+        F.regexp_count("redacted", F.lit("<<[^<>]*>>")).cast("bigint").alias("n"),
+        V.restored(F.col("reply"), F.col("reals")).alias("restored"),
+    )
 
 
 @query
 def restore_join(spark, sf):
     red, vault = I.redacted_turns(spark, sf)
-    return V.restore_by_join(red, vault, text="redacted").select("conv_id", "seg_no", "restored")
+    n = F.regexp_count("redacted", F.lit("<<[^<>]*>>")).cast("bigint").alias("n")
+    back = V.restore_by_join(red, vault, text="redacted")
+    return back.select("conv_id", "seg_no", "redacted", n, "restored")
 
 
 @query
@@ -302,13 +310,7 @@ def audit_split(spark, sf):
 @query
 def audit_decoded_strings(spark, sf):
     """Serialized bodies hide a term that JSON escapes; the decoded strings show it."""
-    term = '"q":"'
-    taught = I.policy(spark, sf).limit(1).select(
-        F.lit(0).cast("bigint").alias("ord"), F.lit("deny").alias("list"),
-        F.lit(term).alias("term"), F.lit("KEY").alias("label"), F.lit("global").alias("scope"),
-        F.array().cast("array<string>").alias("aliases"), F.lit("").alias("source"),
-        F.lit(False).alias("whole_word"),
-    )
+    taught = I.quoted_terms(spark, sf)
     bodies = I.chat_bodies(spark, sf)
     strings = B.leaves_column(F.col("body"), with_keys=True)
     walked = bodies.withColumn("strings", F.transform(strings, lambda x: x["value"]))
@@ -592,13 +594,13 @@ def jsonl_detect(spark, sf):
 
 @query
 def word_tokens(spark, sf):
-    return M.word_tokens(I.turns(spark, sf), "conv_id", "turn")
+    return M.word_tokens(I.documents(spark, sf), "doc_id")
 
 
 @query
 def candidate_spans(spark, sf):
-    cand = M.candidate_spans(I.turns(spark, sf), "conv_id", "turn", max_width=8)
-    return cand.groupBy("conv_id", "turn").agg(
+    cand = M.candidate_spans(I.documents(spark, sf), "doc_id", max_width=8)
+    return cand.groupBy("doc_id").agg(
         F.count("*").alias("n"),
         F.sum("start").alias("starts"),
         F.sum("end").alias("ends"),
@@ -621,21 +623,16 @@ def label_scores(spark, sf):
 
 @query
 def score_threshold(spark, sf):
-    kept = I.scored_spans(spark, sf).where(F.col("score") >= 0.9)
-    return kept.groupBy("conv_id", "label").agg(F.count("*").alias("n"))
+    texts = I.scored_arrays(spark, sf)
+    rows = texts.withColumn("spans", D.score_at_least(F.col("found"), None))
+    return D.explode_spans(rows, "conv_id").groupBy("conv_id", "label").agg(F.count("*").alias("n"))
 
 
 @query
 def nms_spans(spark, sf):
-    kept = I.scored_spans(spark, sf).where(F.col("score") >= 0.9)
-    span = F.struct(
-        "start", "end", "label", F.lit("model").alias("source"), "score",
-        F.lit(None).cast("string").alias("value"),
-    )
-    texts = kept.groupBy("conv_id", "turn").agg(
-        F.sort_array(F.collect_list(span)).alias("found")
-    )
-    rows = texts.withColumn("spans", S.suppressed("found"))
+    texts = I.scored_arrays(spark, sf)
+    strong = texts.withColumn("found", D.score_at_least(F.col("found"), None))
+    rows = strong.withColumn("spans", S.suppressed("found"))
     return D.explode_spans(rows, "conv_id", "turn").select(
         "conv_id", "turn", "start", "end", "label", F.round("score", 6).alias("score")
     )
