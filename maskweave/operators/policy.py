@@ -74,6 +74,9 @@ def policy_from_json(docs: DataFrame, column: str, shard: Column | None = None)
     return policy_from_stores(parsed.selectExpr("*", "__store.deny", "__store.allow"), shard)
 
 
+# Stored entries come before every event of a log.
+_BEFORE_LOG = -(1 << 61)
+
 COMPACT_ROWS = 10_000
 COMPACT_ROW_BYTES = 4096
 
@@ -99,14 +102,33 @@ def compact(policy: DataFrame) -> DataFrame:
 # --- teaching ------------------------------------------------------------------------
 
 
-def policy_state(log: DataFrame) -> DataFrame:
-    """Current deny entries derived from the teach/unteach log.
+def policy_state(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Current policy: a stored policy (``base``, none by default) and the teach/unteach log on it.
 
     Keys compare ASCII-case-insensitively.  A re-teach updates label and matching mode but
-    keeps spelling and position; an unteach (of one scope, or of all when its scope is null)
-    forgets everything before it.
+    keeps spelling, position, aliases and source; an unteach (of one scope, or of all when its
+    scope is null) forgets everything before it.  Stored entries count as taught, in their order,
+    before the log began; allow entries stay as they are.
     """
-    keyed = log.withColumn("kt", ascii_lower("term")).withColumn("ks", ascii_lower("scope"))
+    none = F.array().cast("array<string>")
+    events = log.select("seq", "op", "term", "label", "scope", "whole_word").withColumns(
+        {"aliases": none, "source": F.lit("user")}
+    )
+    if base is not None:
+        stored = base.where(F.col("list") == "deny")
+        events = events.unionByName(
+            stored.select(
+                (F.col("ord") + F.lit(_BEFORE_LOG)).alias("seq"),
+                F.lit("teach").alias("op"),
+                "term",
+                "label",
+                "scope",
+                "whole_word",
+                F.coalesce("aliases", none).alias("aliases"),
+                "source",
+            )
+        )
+    keyed = events.withColumn("kt", ascii_lower("term")).withColumn("ks", ascii_lower("scope"))
     gone = keyed.where(F.col("op") == "unteach")
     gone_all = (
         gone.where(F.col("ks").isNull())
@@ -116,20 +138,22 @@ def policy_state(log: DataFrame) -> DataFrame:
     gone_one = (
         gone.where(F.col("ks").isNotNull()).groupBy("kt", "ks").agg(F.max("seq").alias("cut_one"))
     )
+    start = F.lit(2 * _BEFORE_LOG)
     live = (
         keyed.where(F.col("op") == "teach")
         .join(gone_all, "kt", "left")
         .join(gone_one, ["kt", "ks"], "left")
         .where(
-            F.col("seq")
-            > F.greatest(F.coalesce("cut_all", F.lit(-1)), F.coalesce("cut_one", F.lit(-1)))
+            F.col("seq") > F.greatest(F.coalesce("cut_all", start), F.coalesce("cut_one", start))
         )
     )
-    return live.groupBy("kt", "ks").agg(
+    state = live.groupBy("kt", "ks").agg(
         F.min("seq").alias("ord"),
         F.min_by("term", "seq").alias("term"),
         F.max_by("label", "seq").alias("label"),
         F.min_by("scope", "seq").alias("scope"),
+        F.min_by("aliases", "seq").alias("aliases"),
+        F.min_by("source", "seq").alias("source"),
         F.max_by("whole_word", "seq").alias("whole_word"),
     ).select(
         "ord",
@@ -137,10 +161,13 @@ def policy_state(log: DataFrame) -> DataFrame:
         "term",
         "label",
         "scope",
-        F.array().cast("array<string>").alias("aliases"),
-        F.lit("user").alias("source"),
+        "aliases",
+        "source",
         "whole_word",
     )
+    if base is None:
+        return state
+    return state.unionByName(base.where(F.col("list") == "allow").select(state.columns))
 
 
 def unteach_effect(log: DataFrame, block_size: int = 1 << 16) -> DataFrame:

@@ -86,14 +86,20 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+# Tables up to this size are spread over the cores by a shuffle; larger ones by their file splits.
+SPREAD_BYTES = 256 * 1024 * 1024
+SPREAD_ROW_BYTES = 256 * 1024
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over all cores before per-row text work.
+    """Spread a small input over the cores before per-row text work.
 
-    A table with enough file splits is left alone.  The shuffle is added only when the splits
-    would keep fewer than a quarter of the cores busy.  ``keys`` should name single rows, so
-    that no value of them holds many.
+    Only tables of at most ``SPREAD_BYTES`` are shuffled, whatever the number of cores, and to no
+    more tasks than their size is worth; a larger table has file splits enough, and
+    ``spark.sql.files.maxPartitionBytes`` makes them smaller.  ``keys`` should name single rows.
     """
+    size = plan_bytes(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) * 4 < cores * SPLIT_BYTES:
-        return df.repartition(cores, *keys)
+    if size <= SPREAD_BYTES and size * 4 < cores * SPLIT_BYTES:
+        return df.repartition(min(cores, max(1, -(-size // SPREAD_ROW_BYTES))), *keys)
     return df

@@ -49,9 +49,17 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(P.LOG_SCHEMA).parquet(path)
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The policy as the log says now."""
-    return P.policy_state(read_log(spark, path))
+def current(spark: SparkSession, path: str, base: DataFrame | None = None) -> DataFrame:
+    """The policy as the log says now, on top of a stored policy if there is one.
+
+    A log nobody has written to yet is empty.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        log = read_log(spark, path)
+    else:
+        log = spark.createDataFrame([], P.LOG_SCHEMA)
+    return P.policy_state(log, base)
 
 
 def publish(policy: DataFrame, path: str, version: int) -> None:

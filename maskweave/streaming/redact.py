@@ -12,7 +12,7 @@ import maskweave
 from maskweave.functions.patterns import SUGGESTION_LIMIT
 from maskweave.operators import delta as DL
 from maskweave.operators import vault as V
-from maskweave.operators.policy import compact
+from maskweave.operators.policy import compact, policy_version
 from maskweave.sources import policy_store as PS
 
 
@@ -46,13 +46,16 @@ class RedactionJob:
     ``request`` names the column of the request id: every request is a vault of its own, so a
     conversation may come any number of times in a batch or over batches.  Without one the
     placeholders are numbered within a micro-batch of a conversation, and a name that later
-    stands for another value is not restored.  With ``seal_key`` vault values are encrypted.
+    stands for another value is not restored.  With ``log_path`` the teach/unteach log there is
+    read on top of the newest published version for every batch, so a term taught now hides from
+    the next batch on.  With ``seal_key`` vault values are encrypted.
     """
 
     policy_path: str
     root: str
     scope: str | None = None
     request: str | None = None
+    log_path: str | None = None
     seal_key: bytes | None = None
 
     @property
@@ -74,7 +77,11 @@ class RedactionJob:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest, version = PS.latest(spark, self.policy_path)
+        if self.log_path:
+            newest = PS.current(spark, self.log_path, newest)
         policy = compact(newest)
+        if self.log_path:
+            version = f"{version}-{policy_version(policy).first()[0][:16]}"
         cache = f"cache/policy_version=v{version}"
         row = "seg_hash string, spans array<struct<start:bigint,end:bigint,label:string>>"
         extra = [self.scope] if self.scope else []

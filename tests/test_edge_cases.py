@@ -12,6 +12,7 @@ import maskweave
 from maskweave.operators import bodies, delta, dictionary, model, score, vault
 from maskweave.operators.detect import detect_patterns
 from maskweave.operators.policy import drop_allowed
+from maskweave.sources import policy_store as PS
 from maskweave.sources import sinks
 from maskweave.streaming import batch_restore, redact, restore
 
@@ -220,3 +221,32 @@ def test_bodies_that_cannot_be_walked(spark):
     got = {r.id: r.rebuilt for r in rebuilt.collect()}
     assert '"content":"X"' in got[1] and got[2] is None and got[3] is None
     assert bodies.json_leaves(df, "id").where("id = 3").count() == 0
+
+
+def test_stored_policy_and_log(spark, make_policy, tmp_path):
+    base = make_policy(("deny", "Acme", "ORG", {"aliases": ["ACM"]}), ("deny", "Beta", "ORG"), ("allow", "ok", ""))
+    log = str(tmp_path / "log")
+    assert PS.current(spark, log, base).count() == 3
+    PS.teach(spark, log, "acme", "CLIENT", whole_word=True)
+    PS.teach(spark, log, "Loki", "PROJECT")
+    PS.unteach(spark, log, "BETA")
+    rows = PS.current(spark, log, base).orderBy("ord").collect()
+    deny = [(r.term, r.label, r.aliases, r.whole_word) for r in rows if r.list == "deny"]
+    assert deny == [("Acme", "CLIENT", ["ACM"], True), ("Loki", "PROJECT", [], False)]
+    assert [r.term for r in rows if r.list == "allow"] == ["ok"]
+    PS.unteach(spark, log, "acme")
+    PS.teach(spark, log, "acme", "ORG")
+    again = {r.term: r.aliases for r in PS.current(spark, log, base).where("list = 'deny'").collect()}
+    assert again == {"acme": [], "Loki": []}
+
+
+def test_taught_term_reaches_the_running_job(spark, make_policy, tmp_path):
+    store, log, root = (str(tmp_path / x) for x in ("store", "log", "out"))
+    PS.publish(make_policy(("deny", "Acme", "ORG"), ("allow", "Beta", "")), store, 1)
+    job = redact.RedactionJob(store, root, log_path=log)
+    rows = spark.createDataFrame([(1, 0, "Acme met Loki")], "conv_id bigint, seg_no bigint, text string")
+    job(rows, 0)
+    PS.teach(spark, log, "Loki", "PROJECT")
+    job(rows, 1)
+    out = [r.redacted for r in spark.read.parquet(root + "/redacted").orderBy("batch").collect()]
+    assert out == ["<<ORG_1>> met Loki", "<<ORG_1>> met <<PROJECT_1>>"]
