@@ -80,7 +80,7 @@ def test_base_spans_against_plain_scans(make_docs, awkward):
     check(awkward)
 
 
-@pytest.mark.parametrize("text", ["1" * 100_000, "a" * 200_000, "1-" * 60_000, "a@" * 40_000, "1.2" * 50_000, "+1 " * 40_000])
+@pytest.mark.parametrize("text", ["1" * 40_000, "a" * 40_000, "1-" * 20_000, "a@" * 20_000, "1.2" * 15_000, "+1 " * 15_000])
 def test_long_runs_are_linear(make_docs, text):
     check(make_docs([text]))
 
