@@ -194,13 +194,23 @@ def clamped(spans: Column, text: Column) -> Column:
 
 
 def applied(text: str, cuts: str) -> Column:
-    """Replace each range of ``cuts`` (array of start, end, placeholder; in order) in one pass."""
-    step = f"""struct(x.`end` AS st,
-        concat(acc.out, CAST(array(substring({text}, CAST(acc.st + 1 AS INT),
-          CAST(x.`start` - acc.st AS INT)), x.placeholder) AS array<string>)) AS out)"""
-    fold = folded(cuts, "0L", "string", step)
+    """Replace each range of ``cuts`` (array of start, end, placeholder; in order) in one pass.
+
+    Taking a piece of a text walks the text up to it, so each block of cuts first takes the stretch
+    it covers and its cuts work on that.
+    """
+    block = FOLD_BLOCK
+    first = f"CASE WHEN at = 1 THEN 0L ELSE {cuts}[at - 2].`end` END"
+    last = f"least(at + {block - 1}, size({cuts})) - 1"
+    before = f"CASE WHEN i = 0 THEN 0L ELSE {cuts}[i - 1].`end` END"
+    gap = f"""substring(b.part, CAST({before} - b.lo + 1 AS INT), CAST({cuts}[i].`start` - ({before}) AS INT))"""
+    stretch = f"""struct({first} AS lo, substring({text}, CAST({first} + 1 AS INT),
+        CAST({cuts}[{last}].`end` - ({first}) AS INT)) AS part)"""
     return F.expr(
-        f"""CASE WHEN size({cuts}) > 0 THEN element_at(transform(array({fold}),
-          f -> concat(array_join(f.out, ''), substring({text}, CAST(f.st + 1 AS INT)))), 1)
+        f"""CASE WHEN size({cuts}) > 0 THEN concat(
+          array_join(flatten(transform(sequence(1, size({cuts}), {block}), at ->
+            flatten(transform(array({stretch}), b ->
+              transform(sequence(at - 1, {last}), i -> concat({gap}, {cuts}[i].placeholder)))))), ''),
+          substring({text}, CAST({cuts}[size({cuts}) - 1].`end` + 1 AS INT)))
         ELSE {text} END"""
     )

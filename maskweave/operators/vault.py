@@ -35,29 +35,48 @@ _UPPER = "translate(s.label, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRST
 def row_vault(spans: str) -> Column:
     """Distinct values of a row with their number per label, in order of first appearance.
 
-    ``array<struct<value,label,n>>``.  The first label seen for a value stays with it.
+    ``array<struct<value,label,n>>``.  The first label seen for a value stays with it.  Sorting
+    finds first appearances and numbers them, so the work grows as n log n.
     """
+    by_value = f"sort_array(transform({spans}, (s, i) -> struct(s.value AS value, i AS i, {_UPPER} AS label)))"
+    firsts = "filter(z, (x, k) -> k = 0 OR z[k - 1].value <> x.value)"
+    by_label = f"sort_array(transform({firsts}, f -> struct(f.label AS label, f.i AS i, f.value AS value)))"
+    starts = "transform(y, f -> f.label)"
+    begins = (
+        f"map_from_arrays(array_distinct({starts}), "
+        f"transform(array_distinct({starts}), l -> array_position({starts}, l)))"
+    )
+    numbered = (
+        "transform(y, (f, k) -> struct(f.i AS i, f.value AS value, f.label AS label, "
+        "k - b[f.label] + 2L AS n))"
+    )
     return F.expr(
-        f"""aggregate(
-          filter({spans}, (s, i) -> array_position(transform({spans}, x -> x.value), s.value) = i + 1),
-          struct(CAST(map() AS map<string,bigint>) AS counts,
-            CAST(array() AS array<struct<value:string,label:string,n:bigint>>) AS out),
-          (acc, s) -> struct(
-            map_concat(map_filter(acc.counts, (k, v) -> k != {_UPPER}),
-              map({_UPPER}, coalesce(acc.counts[{_UPPER}], 0L) + 1L)) AS counts,
-            concat(acc.out, array(struct(s.value AS value, {_UPPER} AS label,
-              coalesce(acc.counts[{_UPPER}], 0L) + 1L AS n))) AS out),
-          acc -> acc.out)"""
+        f"""transform(sort_array(flatten(transform(array({by_value}), z ->
+          flatten(transform(array({by_label}), y ->
+            flatten(transform(array({begins}), b -> {numbered}))))))),
+          v -> struct(v.value AS value, v.label AS label, v.n AS n))"""
     )
 
 
-def row_cuts(spans: str, vault: str, values: str) -> Column:
-    """Ranges to replace with their placeholder text; ``values`` are the vault's values."""
-    at = f"{vault}[CAST(array_position({values}, s.value) - 1 AS INT)]"
-    return F.expr(
-        f"""transform({spans}, s -> struct(s.`start` AS `start`, s.`end` AS `end`,
-          concat('<<', {at}.label, '_', {at}.n, '>>') AS placeholder))"""
-    )
+_CUT = "struct<start:bigint,end:bigint,placeholder:string>"
+
+
+def row_cuts(by_value: str, names: str) -> Column:
+    """Ranges to replace with their placeholder text, in text order.
+
+    ``by_value`` holds (value, start, end) of the spans and ``names`` (value, placeholder) of the
+    vault, both sorted by value: they are walked together.
+    """
+    cut = "struct(x.`start` AS `start`, x.`end` AS `end`, {n}[CAST({at} AS INT)].placeholder AS placeholder)"
+    same = S.one(cut.format(n=names, at="acc.st.at"), f"array<{_CUT}>")
+    following = S.one(cut.format(n=names, at="acc.st.at + 1"), f"array<{_CUT}>")
+    step = f"""CASE WHEN acc.st.at >= 0 AND acc.st.value = x.value
+      THEN struct(acc.st AS st, concat(acc.out, {same}) AS out)
+      ELSE struct(struct(acc.st.at + 1 AS at, x.value AS value) AS st,
+        concat(acc.out, {following}) AS out) END"""
+    state = "struct<at:bigint,value:string>"
+    fold = S.folded(by_value, "named_struct('at', -1L, 'value', '')", _CUT, step, state)
+    return F.expr(f"sort_array(({fold}).out)")
 
 
 def restore_map(vault: Column) -> Column:
@@ -71,9 +90,18 @@ def restore_map(vault: Column) -> Column:
 def redact_rows(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Add ``vault`` and ``redacted``; every row is its own conversation."""
     with_vault = S.settled(df, {"vault": row_vault(spans)})
-    listed = S.settled(with_vault, {"__values": F.expr("transform(vault, v -> v.value)")})
-    with_cuts = S.settled(listed, {"__cuts": row_cuts(spans, "vault", "__values")})
-    return S.settled(with_cuts, {"redacted": S.applied(text, "__cuts")}).drop("__cuts", "__values")
+    name = "struct(v.value AS value, concat('<<', v.label, '_', v.n, '>>') AS placeholder)"
+    place = "struct(s.value AS value, s.`start` AS `start`, s.`end` AS `end`)"
+    sides = S.settled(
+        with_vault,
+        {
+            "__names": F.expr(f"sort_array(transform(vault, v -> {name}))"),
+            "__by_value": F.expr(f"sort_array(transform({spans}, s -> {place}))"),
+        },
+    )
+    with_cuts = S.settled(sides, {"__cuts": row_cuts("__by_value", "__names")})
+    done = S.settled(with_cuts, {"redacted": S.applied(text, "__cuts")})
+    return done.drop("__cuts", "__names", "__by_value")
 
 
 # --- one vault per conversation ----------------------------------------------------------

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import maskweave
+from maskweave.functions import spans
 from maskweave.operators import bodies, delta, dictionary, model, score, vault
 from maskweave.operators.detect import detect_patterns
 from maskweave.operators.policy import drop_allowed
@@ -95,6 +96,22 @@ def test_long_texts(spark):
     found = detect_patterns(df.where("id = 2"))
     assert found.select(F.size("spans").alias("n")).first().n == 50_000
     assert time.time() - start < 60
+    cuts = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("#").alias("placeholder")))
+    done = spans.settled(spans.settled(found, {"cuts": cuts}), {"red": spans.applied("text", "cuts")})
+    assert done.select("red").first().red == " ".join(["#"] * 50_000)
+    assert time.time() - start < 90
+
+
+def test_many_distinct_values_in_one_row(spark):
+    text = " ".join(f"u{n % 15_000}@h.example 10.0.0.{n % 250}" for n in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "none"), (3, "a@b.example a@b.example")], "id int, text string")
+    start = time.time()
+    rows = {r.id: r for r in vault.redact_rows(detect_patterns(df)).collect()}
+    assert time.time() - start < 60
+    assert [(v.label, v.n) for v in rows[1].vault[:3]] == [("EMAIL", 1), ("IP", 1), ("EMAIL", 2)]
+    assert len(rows[1].vault) == 15_250 and rows[1].redacted.endswith("<<EMAIL_5000>> <<IP_250>>")
+    assert rows[2].redacted == "none" and rows[2].vault == []
+    assert rows[3].redacted == "<<EMAIL_1>> <<EMAIL_1>>"
 
 
 def test_clean_table_holds_only_what_is_named(spark, make_policy, tmp_path):
