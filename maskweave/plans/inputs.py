@@ -264,7 +264,8 @@ def _quoted(c: Column) -> Column:
 
 
 def chat_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """One chat request per turn; the shape of the message depends on the turn."""
+    """One chat request per turn; the shape of the message depends on the turn, and some bodies
+    are cut off."""
     t = _quoted(F.col("text"))
     args = _quoted(F.concat(F.lit('{"q":'), t, F.lit("}")))
     shape = F.col("turn") % 4
@@ -295,7 +296,9 @@ def chat_bodies(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(
         F.lit('{"messages":['), message, F.lit('],"metadata":{"note":"n"},"model":"m"}')
     )
-    return turns(spark, sf).select("conv_id", "turn", body.alias("body"))
+    cut = (F.col("conv_id") % 11 == 5) & (F.col("turn") % 3 == 1)
+    sent = F.when(cut, F.substring(body, F.lit(1), F.length(body) - 2)).otherwise(body)
+    return turns(spark, sf).select("conv_id", "turn", sent.alias("body"))
 
 
 def quoted_terms(spark: SparkSession, sf: str) -> DataFrame:

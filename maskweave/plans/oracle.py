@@ -206,6 +206,8 @@ fs AS (
 """
 
 J = "to_json(text)::VARCHAR"
+# Chat bodies that arrive cut off.
+CUT = "(conv_id % 11 = 5 AND turn % 3 = 1)"
 CHAT = f"""
 chat AS (
   SELECT conv_id, turn, text, '{{"messages":[' || CASE turn % 4
@@ -214,17 +216,17 @@ chat AS (
     WHEN 2 THEN '{{"content":null,"role":"assistant","tool_calls":[{{"function":{{"arguments":' || to_json('{{"q":' || {J} || '}}')::VARCHAR || ',"name":"f"}},"id":"c1","type":"function"}}]}}'
     ELSE '{{"content":' || {J} || ',"reasoning_content":"kept","role":"assistant"}}' END
     || '],"metadata":{{"note":"n"}},"model":"m"}}' AS body
-  FROM conversations),
+  FROM conversations WHERE NOT {CUT}),
 csegs AS (
   SELECT conv_id, turn, 0::BIGINT AS seg_no,
     CASE turn % 4 WHEN 1 THEN 'messages[0].content[0].text'
       WHEN 2 THEN 'messages[0].tool_calls[0].function.arguments'
       ELSE 'messages[0].content' END AS path,
     CASE WHEN turn % 4 = 2 THEN '{{"q":' || {J} || '}}' ELSE text END AS text
-  FROM conversations
+  FROM conversations WHERE NOT {CUT}
   UNION ALL
   SELECT conv_id, turn, 1, 'messages[0].content[2].input_text', text
-  FROM conversations WHERE turn % 4 = 1)
+  FROM conversations WHERE turn % 4 = 1 AND NOT {CUT})
 """
 BLOCKS = f"""
 blocks AS (
@@ -452,7 +454,7 @@ def oracle() -> dict[str, str]:
             WITH quoted AS (SELECT conv_id, turn, '"q":' || {J} AS inner_ FROM conversations),
             terms AS (SELECT DISTINCT lower(substr(inner_, 1, 17)) AS term FROM quoted
               WHERE conv_id % 3 = 0 AND turn % 4 = 2)
-            SELECT conv_id, turn, NULL::VARCHAR AS serialized, CASE WHEN turn % 4 = 2 AND EXISTS (
+            SELECT conv_id, turn, NULL::VARCHAR AS serialized, CASE WHEN turn % 4 = 2 AND NOT {CUT} AND EXISTS (
               SELECT 1 FROM terms t WHERE contains(lower(q.inner_), t.term)) THEN 'residual_term' END
               AS decoded FROM quoted q""",
         "scope_resolution": _with(
@@ -469,7 +471,8 @@ def oracle() -> dict[str, str]:
         "blocked_by_reason": _with(
             f"{REGEX_RED}, {REQUESTS}",
             "SELECT reason, count(*) AS blocked FROM (SELECT reason FROM audited UNION ALL "
-            "SELECT CASE WHEN scope IS NULL THEN 'unauthorized_scope' END FROM resolved) "
+            "SELECT CASE WHEN scope IS NULL THEN 'unauthorized_scope' END FROM resolved UNION ALL "
+            f"SELECT 'unreadable_body' FROM conversations WHERE {CUT}) "
             "WHERE reason IS NOT NULL GROUP BY reason",
         ),
         "scope_config_violations": """
@@ -576,12 +579,12 @@ def oracle() -> dict[str, str]:
             "WHERE t.key IS NOT NULL AND NOT regexp_full_match(t.key, '[0-9]+')",
         ),
         "rebuild_chat_body": """
-            SELECT conv_id, turn, '{"messages":[' || CASE turn % 4
+            SELECT conv_id, turn, CASE WHEN NOT (conv_id % 11 = 5 AND turn % 3 = 1) THEN '{"messages":[' || CASE turn % 4
               WHEN 0 THEN '{"content":"#0/' || length(text) || '","name":"x","role":"user"}'
               WHEN 1 THEN '{"content":[{"text":"#0/' || length(text) || '","type":"text"},{"image_url":{"url":"u"},"type":"image_url"},{"input_text":"#1/' || length(text) || '","type":"input_text"}],"role":"user"}'
               WHEN 2 THEN '{"content":null,"role":"assistant","tool_calls":[{"function":{"arguments":"#0/' || length('{"q":' || to_json(text)::VARCHAR || '}') || '","name":"f"},"id":"c1","type":"function"}]}'
               ELSE '{"content":"#0/' || length(text) || '","reasoning_content":"kept","role":"assistant"}' END
-              || '],"metadata":{"note":"n"},"model":"m"}' AS rebuilt
+              || '],"metadata":{"note":"n"},"model":"m"}' END AS rebuilt
             FROM conversations""",
         "jsonl_detect": _with(
             "src AS (SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN '' ELSE text END AS text "

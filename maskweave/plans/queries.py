@@ -349,7 +349,9 @@ def blocked_by_reason(spark, sf):
         _half_redacted(spark, sf), I.policy(spark, sf), ["doc_id"], "body", scope="source"
     )
     refused = A.resolve_scopes(I.requests(spark, sf), I.scopes(spark, sf))
-    return A.blocked_by_reason(audited.select("reason").unionByName(refused.select("reason")))
+    bodies = B.with_body_reason(I.chat_bodies(spark, sf), shape="chat")
+    reasons = [x.select("reason") for x in (audited, refused, bodies)]
+    return A.blocked_by_reason(reasons[0].unionByName(reasons[1]).unionByName(reasons[2]))
 
 
 @query
