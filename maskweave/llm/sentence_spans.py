@@ -81,6 +81,9 @@ def removals(found: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("h1", "h2", F.col("head.row").alias("head_row"), F.col("head.first").alias("head_first"))
     )
+    # Written first: Spark splits a hot span's rows only where both sides of the join are plain
+    # exchanges.
+    repeated = staged(repeated, "repeated-spans")
     later = found.join(repeated, ["h1", "h2"]).where(
         (F.col("row") != F.col("head_row")) | (F.col("first") != F.col("head_first"))
     )
