@@ -221,7 +221,7 @@ def _pattern_spans(
     shapes = pick(odd_shapes, no_shapes)
 
     def label_of(r: Column) -> Column:
-        # Case folding can match text whose lower case differs from the form.
+        # Some hits differ from their form even in lower case (a long s, a kelvin sign): look again by shape.
         folded = F.filter(shapes, lambda x: F.regexp_like(r["value"], F.concat(F.lit("^(?:"), x["p"], F.lit(")$"))))
         return F.coalesce(
             F.element_at(labels, F.lower(r["value"])),
