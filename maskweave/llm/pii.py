@@ -37,7 +37,7 @@ _CARD = r"[0-9](?:[ -]?[0-9])++"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _SECRET = (
     r"(?i)(?:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key)"
-    r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[^\s\"']{6,512}"
+    r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[^\s\"']{6,}+"
 )
 _SECRET_NAME = r"(?i)^[a-z_-]+[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?"
 _LOCAL_PHONE = (

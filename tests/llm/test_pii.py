@@ -125,3 +125,14 @@ def test_redaction_leaves_no_span(make_docs, awkward):
 
 def test_nothing(nothing):
     assert pii.digest(nothing).collect() == []
+
+
+def test_a_long_secret_goes_whole(make_docs):
+    texts = [prose(n, 40) + f" password=k{n:05d}f845bf3028d " + prose(n + 1, 20) for n in range(60)]
+    long = "eyJ" + "k7Qz9" * 400
+    docs = make_docs([*texts, f"{prose(99, 40)} token={long} {prose(98, 20)}"])
+    start = docs.where("doc_id = 60").first()["text"].index(long)
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(docs).collect()}
+    assert got[60] == f"secret:{start}:{start + len(long)}"
+    clean = pii.redacted(docs, pii.fit(pii.with_candidates(docs))).where("doc_id = 60").first()["text"]
+    assert "token=[SECRET] " in clean and "k7Qz9" not in clean
