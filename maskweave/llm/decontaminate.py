@@ -5,7 +5,9 @@ is one window).  A text is contaminated if some stretch of it is within ``EDIT_R
 whole window.  Such a stretch shares at least ``m - q + 1 - k q`` q-grams with the window (m its
 length, k the edits), and all of them lie on at most k + 1 neighbouring diagonals.  So the shared
 q-grams are counted in diagonal bands that overlap by k, bands that reach the bound are kept, and
-each is verified by aligning the window within the band.  The filter loses nothing.
+each is verified by aligning the window within the band.  The filter loses nothing.  All verified
+stretches are kept; those of one item that overlap or touch become one region, whose edits are the
+most that one of its windows took.
 
 Characters are compared in lower case, every white space as a blank; offsets are those of the
 text itself (code points, end exclusive).  Detection is a column of the row that holds the text:
@@ -121,7 +123,7 @@ class Index:
         return (h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text number, item, start, end, edits): the best region of each item in each text."""
+        """(text number, item, start, end, edits): every region of each item in each text."""
         if not len(self.grams):
             return []
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -149,8 +151,8 @@ class Index:
         return self._verified(c, begins, window[kept], band[kept] * BAND - WINDOW)
 
     def _verified(self, c, begins, windows, diagonals):
-        """Best (text, item, start, end, edits) among bands whose alignment meets the budget."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        """Regions (text, item, start, end, edits) of the bands whose alignment meets the budget."""
+        found: list[tuple[int, int, int, int, int]] = []
         sizes = np.array([len(self.windows[w]) for w in windows], np.int64)
         for m in np.unique(sizes):
             rows = np.flatnonzero(sizes == m)
@@ -166,11 +168,21 @@ class Index:
                 start, end, edits = aligned(patterns, regions_)
                 for w, s, e, cost in zip(of[edits <= k], *(x[edits <= k] for x in (low + start, low + end, edits))):
                     text = int(np.searchsorted(begins, s, side="right")) - 1
-                    where = (int(cost), int(s - begins[text]), int(e - begins[text]))
-                    pair = (text, self.items[w])
-                    if pair not in best or where < best[pair]:
-                        best[pair] = where
-        return [(t, i, s, e, k) for (t, i), (k, s, e) in best.items()]
+                    found.append(
+                        (text, self.items[w], int(s - begins[text]), int(e - begins[text]), int(cost))
+                    )
+        return merged(found)
+
+
+def merged(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Stretches (text, item, start, end, edits), with those of one item that overlap or touch as one."""
+    out: list[tuple[int, int, int, int, int]] = []
+    for text, item, start, end, edits in sorted(found):
+        if out and out[-1][:2] == (text, item) and start <= out[-1][3]:
+            _, _, first, last, most = out.pop()
+            start, end, edits = first, max(last, end), max(most, edits)
+        out.append((text, item, start, end, edits))
+    return out
 
 
 def aligned(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +264,7 @@ def with_contamination(
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each (document row, item) that matches: doc_id, item_id, start, end, edits."""
+    """One row for each region of an item in a document row: doc_id, item_id, start, end, edits."""
     rows = with_contamination(docs.select("doc_id", "text"), benchmark, out="__hits")
     return rows.select("doc_id", F.inline("__hits"))
 

@@ -108,3 +108,23 @@ def test_blocks_of_a_large_benchmark_agree(spark, make_docs, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_CHARS", 300)
     assert sorted(map(tuple, D.contaminated(docs, bench).collect())) == whole
     assert len(AWKWARD) and whole
+
+
+def test_every_region_of_an_item_is_reported(spark, make_docs):
+    item = prose(77, 80)
+    assert len(item) > 2 * D.WINDOW
+    bench = spark.createDataFrame([(5, item), (6, prose(78, 30))], "item_id bigint, text string")
+    gaps = [prose(n, 30) + " # " for n in range(3)]
+    texts = [gaps[0] + item + " # " + gaps[1] + item + " # " + gaps[2], item, item + item]
+    got = sorted(map(tuple, D.contaminated(make_docs(texts), bench).collect()))
+    first = len(gaps[0])
+    second = first + len(item) + 3 + len(gaps[1])
+    assert got == [
+        (0, 5, first, first + len(item), 0),
+        (0, 5, second, second + len(item), 0),
+        (1, 5, 0, len(item), 0),
+        (2, 5, 0, 2 * len(item), 0),
+    ]
+    assert D.merged([(0, 1, 9, 12, 2), (0, 1, 3, 9, 0), (0, 2, 4, 6, 1), (1, 1, 3, 9, 1), (0, 1, 14, 20, 1)]) == [
+        (0, 1, 3, 12, 2), (0, 1, 14, 20, 1), (0, 2, 4, 6, 1), (1, 1, 3, 9, 1)
+    ]
