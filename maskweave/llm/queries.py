@@ -13,12 +13,16 @@ from maskweave.llm import (
     bpe,
     decontaminate,
     langid,
+    oracle,
     pii,
+    prefix_trie,
     sentence_spans,
     simhash,
     suffix_runs,
     token_rollup,
     toxicity,
+    url_filter,
+    vector_codes,
     vptree,
 )
 from maskweave.llm.common import fold, held_out, read
@@ -150,6 +154,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed values: (host, path, verdict) of the rules, and the sites whose urls the query lists.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+LISTED_SITES = r"(^|\.)(spam-farm|cheap-pills|casino-win)\.example\.(com|net|org)$"
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the rules; the list holds each url that pages has of the listed sites."""
+    pages = read(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    host, _ = url_filter.host_and_path(F.col("url"))
+    listed = pages.select("url").where(host.rlike(LISTED_SITES))
+    return url_filter.judged(pages, rules, listed)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(read(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -161,7 +193,14 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_vptree": op9_vptree,
     "op10_toxicity": op10_toxicity,
+    "op11_url_filter": op11_url_filter,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-# Learned models, merges, alignments and graph searches: none of these is SQL.
-ORACLE: dict[str, str] = {}
+# Learned models, merges and alignments are not SQL.
+ORACLE: dict[str, str] = {
+    "op11_url_filter": oracle.url_verdicts(URL_RULES, LISTED_SITES),
+    "op12_vector_codes": oracle.vector_codes(),
+    "op13_prefix_trie": oracle.prefix_trie(),
+}
