@@ -41,8 +41,9 @@ def detect_rows(
     """Add ``spans``, every private value in ``text``: dictionary, patterns and an optional
     plug-in, merged, less what the policy allows.  Rows stay where they are."""
     layers = ["dictionary_spans", "pattern_spans"]
-    rows = _detect.with_pattern_spans(df)
-    rows = _dictionary.with_dictionary_spans(rows, policy, scope=scope, key=key)
+    # First, since a large policy makes it read its input twice.
+    rows = _dictionary.with_dictionary_spans(df, policy, scope=scope, key=key)
+    rows = _detect.with_pattern_spans(rows)
     if plugin is not None:
         rows = _model.with_plugin_spans(rows, plugin)
         layers.append("plugin_spans")

@@ -40,23 +40,30 @@ def delta_scan(
     cache: DataFrame,
     policy_version: str,
     detect: Callable[[DataFrame], DataFrame],
+    carry: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(segments with cached-or-new spans, new cache rows).
 
-    ``segments`` carries ``seg_hash``.  Copies are cut to one text per hash before the shuffle,
-    texts already cached under this policy version are not detected again, and the result joins
-    back on the hash alone: the join's lookup side has one row per hash, so a text that makes up
-    much of the data is split by Spark's skew handling.
+    ``segments`` carries ``seg_hash``; the columns of ``carry``, which the hash must cover (such as the
+    scope of ``with_hash``), reach ``detect`` beside ``seg_hash`` and ``text``.  Segments meet the cache
+    first; only the texts it does not have under this policy version are cut to one for each hash and
+    detected.  Both joins have a side with one row for each hash, so a text that makes up much of
+    the data is split by Spark's skew handling.
     """
     known = cache.where(F.col("policy_version") == policy_version).dropDuplicates(["seg_hash"])
-    texts = segments.groupBy("seg_hash").agg(F.coalesce(F.any_value("text"), F.lit("")).alias("text"))
-    fresh = texts.join(known.select("seg_hash"), "seg_hash", "left_anti")
+    looked_up = segments.join(known.select("seg_hash", F.col("spans").alias("__known")), "seg_hash", "left")
+    missing = looked_up.where(F.col("__known").isNull())
+    fresh = missing.groupBy("seg_hash").agg(
+        F.coalesce(F.any_value("text"), F.lit("")).alias("text"), *[F.any_value(c).alias(c) for c in carry]
+    )
     # Written once: whoever stores the cache rows does not detect again.
     new_rows = staged(cache_rows(detect(fresh), policy_version), "new-spans")
-    spans = known.select("seg_hash", "spans", F.lit(True).alias("hit")).unionByName(
-        new_rows.select("seg_hash", "spans", F.lit(False).alias("hit"))
-    )
-    return segments.join(spans, "seg_hash"), new_rows
+    spans, hit = F.col("__known"), F.col("__known").isNotNull().alias("hit")
+    if not new_rows.isEmpty():
+        found = new_rows.select("seg_hash", F.col("spans").alias("__new"))
+        looked_up = looked_up.join(found, "seg_hash", "left")
+        spans = F.coalesce("__known", "__new")
+    return looked_up.select(*segments.columns, spans.alias("spans"), hit), new_rows
 
 
 def first_seen(segments: DataFrame, order: list[str]) -> DataFrame:

@@ -1,12 +1,15 @@
 """Dictionary detector: taught terms anywhere in the text, longest form first.
 
-Two ways to match, chosen by the size of the policy:
+Three ways to match, chosen by the size of the policy:
 
 * few forms: one JVM regular expression per scope, a literal in the plan;
-* more forms: broadcast chunks of at most ``CHUNK_BYTES`` of forms, each matched by an
-  automaton in an Arrow batch function.  More chunks mean more passes over the text column.
+* more forms: a broadcast of at most ``CHUNK_BYTES`` of forms, matched by an automaton in an Arrow
+  batch function;
+* more than that: an index of the forms that the texts' grams are joined with
+  (``dictionary_index``), so that nothing broadcast grows with the policy.
 
-Both give the same spans, and both stay in the row: no key, no shuffle, fit for streams.
+All give the same spans.  The first two stay in the row: no key, no shuffle.  A stream, where a join
+and a grouping would need state, takes broadcast chunks whatever their number.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from __future__ import annotations
 import functools
 import json
 import os
-import unicodedata
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,6 +28,15 @@ from pyspark.sql import functions as F
 from maskweave.functions import spans as S
 from maskweave.functions.patterns import GLOBAL_SCOPE
 from maskweave.functions.text import ascii_lower
+from maskweave.operators.dictionary_index import FORM_COLUMNS, with_indexed_spans
+from maskweave.operators.dictionary_match import (
+    CANDIDATE,
+    asks_edge,
+    at_edges,
+    fold_char,
+    fold_table,
+    fold_text,
+)
 from maskweave.operators.policy import hidden_forms
 
 # Measured on 25 MB of text: up to about 50 forms the pattern wins (no Python worker), beyond
@@ -32,14 +44,13 @@ from maskweave.operators.policy import hidden_forms
 MAX_PATTERN_FORMS = 50
 MAX_PATTERN_SCOPES = 64
 CHUNK_BYTES = 64 * 1024 * 1024
+# Forms whose automata a Python worker keeps.
+WORKER_BYTES = 2 * CHUNK_BYTES
 
 _MARK = "\ue000"  # a private-use character
 
 _SHAPES = "array<struct<p:string,label:string>>"
 
-FORM_COLUMNS = ["scope", "form", "label", "whole_word", "ord", "form_no"]
-
-
 @dataclass(frozen=True)
 class Form:
     scope: str
@@ -57,49 +68,10 @@ class Form:
 # --- few forms: a pattern per scope ----------------------------------------------------
 
 
-def _is_word(ch: str) -> bool:
-    """Whether a form's own first or last character asks for a word edge."""
-    return ch.isalnum() or ch == "_"
-
-
-# Circled and squared letters, the only symbols that count as alphabetic.
-_ALPHABETIC_SYMBOLS = ((0x24B6, 0x24E9), (0x1F130, 0x1F149), (0x1F150, 0x1F169), (0x1F170, 0x1F189))
-
-
-@functools.lru_cache(maxsize=1 << 16)
-def _in_word(ch: str) -> bool:
-    """Whether a character of the text continues a word: alphabetic, mark, decimal digit,
-    connector or joiner, as ``\\w`` under the U flag has it."""
-    kind = unicodedata.category(ch)
-    return (
-        kind[0] in "LM"
-        or kind in ("Nd", "Nl", "Pc")
-        or ch in "\u200c\u200d"
-        or any(a <= ord(ch) <= b for a, b in _ALPHABETIC_SYMBOLS)
-    )
-
-
-def _fold(ch: str) -> str:
-    """Simple case folding of one character.  Dotted and dotless I fold with nothing else."""
-    if ch in "İı":
-        return ch
-    up = ch.upper()
-    low = (up if len(up) == 1 else ch).lower()
-    return low if len(low) == 1 else ch
-
-
-@functools.cache
-def _fold_table() -> dict[int, str]:
-    """Folding of every character that changes; keeps the length of a text."""
-    cased = range(0x1F000)
-    pairs = ((cp, _fold(chr(cp))) for cp in cased if not 0xD800 <= cp <= 0xDFFF)
-    return {cp: low for cp, low in pairs if low != chr(cp)}
-
-
 @functools.cache
 def _variants() -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
-    for cp, low in _fold_table().items():
+    for cp, low in fold_table().items():
         out.setdefault(low, [low]).append(chr(cp))
     return out
 
@@ -126,12 +98,12 @@ def _edges(f: Form) -> str:
     if not f.whole_word:
         return ""
     lead = trail = ""
-    if _is_word(f.form[0]):
+    if asks_edge(f.form[0]):
         # A look-behind counts code points only if it holds a character beyond the BMP itself.
         wide = any(ord(c) > 0xFFFF for c in f.form)
         any_char = "[\\s\\S\U00010000]" if wide else r"[\s\S]"
         lead = r"(?<=(?<!\w)%s{%d})" % (any_char, len(f.form))
-    if _is_word(f.form[-1]):
+    if asks_edge(f.form[-1]):
         trail = r"(?!\w)"
     return lead + trail
 
@@ -162,7 +134,7 @@ def pattern_for(forms: list[Form]) -> str:
     The tree tries longer forms before the shorter ones they start with.  A look-ahead over the
     possible first characters rejects most positions at the cost of one lookup.
     """
-    entries = [("".join(map(_fold, f.form)), _edges(f)) for f in forms]
+    entries = [("".join(map(fold_char, f.form)), _edges(f)) for f in forms]
     firsts = {_literal(rest[0]).strip("[]") for rest, _ in entries}
     return f"(?U)(?=[{''.join(sorted(firsts))}])" + _tree(entries)
 
@@ -197,7 +169,7 @@ def _pattern_spans(
         pairs: dict[str, str] = {}
         for f in fs:
             pairs.setdefault(f.form.lower(), f.label)
-            pairs.setdefault("".join(map(_fold, f.form)), f.label)
+            pairs.setdefault("".join(map(fold_char, f.form)), f.label)
         return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
     def odd_shapes(fs: list[Form]) -> Column:
@@ -237,50 +209,43 @@ def _pattern_spans(
 # --- many forms: automaton over broadcast chunks ----------------------------------------
 
 
-_WORKER: dict = {}
-
-
-def _folded(text: str) -> str:
-    if text.isascii():
-        return text.lower()
-    return text.translate(_fold_table())
+# Automata of this worker by chunk, the least recently used first.
+_WORKER: OrderedDict[str, tuple] = OrderedDict()
 
 
 def _automaton(handle):
-    """The automaton of one broadcast chunk, built once per Python worker."""
+    """The automaton of one broadcast chunk, built once per Python worker as long as the worker's
+    automata stay within ``WORKER_BYTES`` of forms."""
     import ahocorasick
 
-    if _WORKER.get("id") != handle.value["id"]:
+    chunk = handle.value
+    if chunk["id"] not in _WORKER:
         auto = ahocorasick.Automaton()
         entries: dict[str, list] = {}
-        for row in handle.value["forms"]:
+        for row in chunk["forms"]:
             f = Form(*row)
-            entries.setdefault(_folded(f.form), []).append(f)
+            entries.setdefault(fold_text(f.form), []).append(f)
         for key, forms in entries.items():
             forms.sort(key=lambda f: (f.whole_word, *f.rank))
             auto.add_word(key, (len(key), forms))
         auto.make_automaton()
-        _WORKER.update(id=handle.value["id"], auto=auto)
-    return _WORKER["auto"]
-
-
-def _at_edges(text: str, start: int, end: int, first: str, last: str) -> bool:
-    """Whether no word runs over the edges; ``first`` and ``last`` are the form's own."""
-    runs_in = start > 0 and _is_word(first) and _in_word(text[start - 1])
-    runs_on = end < len(text) and _is_word(last) and _in_word(text[end])
-    return not (runs_in or runs_on)
+        _WORKER[chunk["id"]] = (auto, chunk["bytes"])
+        while len(_WORKER) > 1 and sum(size for _, size in _WORKER.values()) > WORKER_BYTES:
+            _WORKER.popitem(last=False)
+    _WORKER.move_to_end(chunk["id"])
+    return _WORKER[chunk["id"]][0]
 
 
 def _candidates(auto, text: str, scope: str | None, everything: bool) -> list[tuple]:
     """Best form at each start position of one text, as tuples in
-    the order of ``_CANDIDATE``."""
+    the order of ``CANDIDATE``."""
     best: dict[int, tuple] = {}
-    for last, (n, forms) in auto.iter(_folded(text)):
+    for last, (n, forms) in auto.iter(fold_text(text)):
         start, end = last - n + 1, last + 1
         for f in forms:
             if not everything and f.scope not in (GLOBAL_SCOPE, scope):
                 continue
-            if f.whole_word and not _at_edges(text, start, end, f.form[0], f.form[-1]):
+            if f.whole_word and not at_edges(text, start, end, f.form[0], f.form[-1]):
                 continue
             size, order, number = f.rank
             found = (start, size, f.whole_word, order, number, end, f.label)
@@ -290,16 +255,10 @@ def _candidates(auto, text: str, scope: str | None, everything: bool) -> list[tu
     return [best[s] for s in sorted(best)]
 
 
-_CANDIDATE = (
-    "array<struct<start:bigint,neg_bytes:bigint,whole_word:boolean,ord:bigint,form_no:bigint,"
-    "end:bigint,label:string>>"
-)
-
-
 def _candidate_column(handle, text: Column, scope: Column | None) -> Column:
     scoped = scope is not None
 
-    @F.pandas_udf(_CANDIDATE)
+    @F.pandas_udf(CANDIDATE)
     def match(texts: pd.Series, scopes: pd.Series) -> pd.Series:
         auto = _automaton(handle)
         rows = [
@@ -322,7 +281,8 @@ def _chunk_handles(forms: DataFrame, total_bytes: int, chunk_bytes: int):
         part = forms if chunks == 1 else forms.where(slot == i)
         rows = [tuple(r) for r in part.select(*FORM_COLUMNS).collect()]
         if rows:
-            yield context.broadcast({"id": uuid.uuid4().hex, "forms": rows})
+            size = sum(len(r[1]) + len(r[2]) + 200 for r in rows)
+            yield context.broadcast({"id": uuid.uuid4().hex, "forms": rows, "bytes": size})
 
 
 def _automaton_spans(
@@ -354,9 +314,11 @@ def with_dictionary_spans(
     key: list[str] | None = None,
     max_forms: int = MAX_PATTERN_FORMS,
     chunk_bytes: int = CHUNK_BYTES,
+    chunks: bool = False,
 ) -> DataFrame:
     """Add the dictionary layer.  ``scope`` names the request-scope column; without one every
-    entry applies.  Everything stays in the row; ``key`` is not needed any more."""
+    entry applies.  ``chunks`` keeps a policy above ``chunk_bytes`` in broadcast chunks, as in
+    streams; ``key`` is not needed any more."""
     forms = hidden_forms(policy).select(*FORM_COLUMNS)
     cost = F.octet_length("form") + F.octet_length("label") + F.lit(200)
     size = forms.agg(
@@ -369,4 +331,6 @@ def with_dictionary_spans(
         few = [Form(*r) for r in forms.collect()]
         if len({f.scope for f in few}) <= MAX_PATTERN_SCOPES:
             return _pattern_spans(df, few, text, scope, out)
+    if size.bytes > chunk_bytes and not df.isStreaming and not chunks:
+        return with_indexed_spans(df, forms, text, scope, out)
     return _automaton_spans(df, forms, text, scope, out, size.bytes, chunk_bytes)

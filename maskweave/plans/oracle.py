@@ -689,6 +689,7 @@ def oracle() -> dict[str, str]:
     sql["detect_dictionary"] = dictionary
     sql["detect_dictionary_pattern"] = dictionary
     sql["detect_dictionary_large"] = dictionary
+    sql["detect_dictionary_join"] = dictionary
     return sql
 
 

@@ -109,6 +109,16 @@ def detect_dictionary_large(spark, sf):
         key=["doc_id"],
         max_forms=0,
         chunk_bytes=16 * 1024,
+        chunks=True,
+    ).withColumnRenamed("source", "source_name")
+    return D.explode_spans(docs, "doc_id").select("doc_id", *SPAN_COLUMNS)
+
+
+@query
+def detect_dictionary_join(spark, sf):
+    """The same result through the index of the forms' grams, the path for policies of any size."""
+    docs = DD.with_dictionary_spans(
+        I.documents(spark, sf), I.policy(spark, sf), scope="source", out="spans", max_forms=0, chunk_bytes=0
     ).withColumnRenamed("source", "source_name")
     return D.explode_spans(docs, "doc_id").select("doc_id", *SPAN_COLUMNS)
 

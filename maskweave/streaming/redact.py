@@ -5,23 +5,36 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import maskweave
 from maskweave.functions.patterns import SUGGESTION_LIMIT
 from maskweave.operators import delta as DL
 from maskweave.operators import vault as V
+from maskweave.operators.model import DetectorPlugin
 from maskweave.operators.policy import compact, policy_version
+from maskweave.operators.span_cache import SpanCache
+from maskweave.session import staged
 from maskweave.sources import policy_store as PS
 
 
-def without_repeats(segments: DataFrame, ts: str, within: str) -> DataFrame:
-    """Pass each distinct text once per time span; state is bounded by the watermark."""
+def without_repeats(
+    segments: DataFrame, ts: str, within: str, policy_version: str | Column | None = None, scope: str | None = None
+) -> DataFrame:
+    """Pass each distinct text once per time span; state is bounded by the watermark.
+
+    With ``policy_version`` (a value, or a column of the rows) a text passes once for each version:
+    what a former policy let through is looked at again after a term has been taught.
+    """
+    version = F.lit(policy_version) if isinstance(policy_version, str) else policy_version
+    seen_by = F.lit(None).cast("string") if version is None else version.cast("string")
     return (
-        DL.with_hash(segments)
+        DL.with_hash(segments, scope=scope)
+        .withColumn("policy_version", seen_by)
         .withWatermark(ts, within)
-        .dropDuplicatesWithinWatermark(["seg_hash"])
+        .dropDuplicatesWithinWatermark(["seg_hash", "policy_version"])
+        .drop("policy_version")
     )
 
 
@@ -39,9 +52,11 @@ QUEUE_SCHEMA = (
 class RedactionJob:
     """One micro-batch at a time: newest policy, cached spans, redacted output.
 
-    Folders below ``root``: ``cache`` (offsets by text hash, per policy version), ``redacted``,
-    ``vault`` and ``suggestions``.  Each batch writes its own partition of each and overwrites
-    it when replayed, so a restart after a lost executor or driver repeats nothing.
+    Folders below ``root``: ``cache`` (offsets by text hash, per policy version, see ``SpanCache``),
+    ``redacted``, ``vault`` and ``suggestions``.  Each batch writes its own partition of each and
+    overwrites it when replayed, so a restart after a lost executor or driver repeats nothing.
+    A batch reads only the cache buckets of its own texts, and the cache keeps the newest
+    ``keep_versions`` policy versions.
 
     ``request`` names the column of the request id: every request is a vault of its own, so a
     conversation may come any number of times in a batch or over batches.  Without one the
@@ -57,6 +72,8 @@ class RedactionJob:
     request: str | None = None
     log_path: str | None = None
     seal_key: bytes | None = None
+    plugin: DetectorPlugin | None = None
+    keep_versions: int = 2
 
     @property
     def vault_key(self) -> list[str]:
@@ -82,29 +99,26 @@ class RedactionJob:
         policy = compact(newest)
         if self.log_path:
             version = f"{version}-{policy_version(policy).first()[0][:16]}"
-        cache = f"cache/policy_version=v{version}"
-        row = "seg_hash string, spans array<struct<start:bigint,end:bigint,label:string>>"
+        name = f"v{version}"
+        cache = SpanCache(spark, f"{self.root}/cache")
+        cache.compact(name, batch_id)
         extra = [self.scope] if self.scope else []
         segments = DL.with_hash(batch, scope=self.scope)
-
-        def known(before: int) -> DataFrame:
-            # Only this batch's texts matter: the few hashes are sent to the cache files.
-            wanted = segments.select("seg_hash").distinct()
-            rows = self._read(spark, cache, row).where(F.col("batch") < before)
-            # A text that two batches scanned is there twice.
-            return rows.join(wanted, "seg_hash", "left_semi").dropDuplicates(["seg_hash"])
-
+        # Read by two steps: what is known, and what the segments get.
+        known = staged(cache.known(name, batch_id, segments), "known-spans")
         texts = segments.groupBy("seg_hash").agg(
             F.coalesce(F.any_value("text"), F.lit("")).alias("text"),
             *[F.any_value(c).alias(c) for c in extra],
             F.min(F.struct("conv_id", "seg_no")).alias("place"),
         )
-        fresh = texts.join(known(batch_id).select("seg_hash"), "seg_hash", "left_anti")
-        found = maskweave.detect_rows(fresh, policy, ["seg_hash"], scope=self.scope)
-        self._write(DL.cache_rows(found, "").drop("policy_version"), cache, batch_id)
+        fresh = texts.join(known.select("seg_hash"), "seg_hash", "left_anti")
+        found = maskweave.detect_rows(fresh, policy, ["seg_hash"], scope=self.scope, plugin=self.plugin)
+        cache.append(name, batch_id, DL.cache_rows(found, "").drop("policy_version"))
         self._suggest(found, policy, batch_id)
+        self._forget_versions(cache, name, batch_id)
 
-        spans_by_hash = known(batch_id + 1).select("seg_hash", "spans")
+        new = cache.run(name, batch_id)
+        spans_by_hash = known.unionByName(new)
         key = self.vault_key
         rows = segments.join(spans_by_hash, "seg_hash").select(
             *key, "seg_no", "text", F.explode("spans").alias("s")
@@ -124,6 +138,17 @@ class RedactionJob:
             vault = V.seal(vault, "real", self.seal_key, [*key, "inner"])
         self._write(vault, "vault", batch_id)
 
+    def _forget_versions(self, cache: SpanCache, name: str, batch_id: int) -> None:
+        """Keep the cache of the versions last used; a log of them is kept beside it."""
+        spark = cache.spark
+        rows = self._read(spark, "versions", "name string, used bigint").where(F.col("batch") == batch_id - 1)
+        used = {r["name"]: r["used"] for r in rows.collect()} | {name: batch_id}
+        newest = sorted(used, key=used.get)[-self.keep_versions :]
+        log = spark.createDataFrame([(n, used[n]) for n in newest], "name string, used bigint")
+        self._write(log.coalesce(1), "versions", batch_id)
+        if set(used) - set(newest):
+            cache.keep_versions(newest)
+
     def _suggest(self, found: DataFrame, policy: DataFrame, batch_id: int) -> None:
         """Carry the queue on: texts scanned in this batch, after what the last batch left."""
         scope = F.col(self.scope) if self.scope else F.lit(None).cast("string")

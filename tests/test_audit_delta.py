@@ -80,6 +80,20 @@ def test_delta_scan_reuses_and_invalidates(spark, make_policy):
     assert {(r.conv_id, r.turn): len(r.spans) for r in later.collect()}[(1, 0)] == 1
 
 
+def test_delta_scan_of_two_tenants(spark, make_policy):
+    policy = make_policy(("deny", "Loki", "PROJECT", {"scope": "a"}), ("deny", "Falcon", "CODE", {"scope": "b"}))
+    rows = [(0, "Loki and Falcon", "A"), (1, "Loki and Falcon", "b"), (2, "Loki and Falcon", "A"), (3, None, "b"),
+            (4, "Loki and Falcon", "c"), (5, "Loki and Falcon", None)]
+    segs = DL.with_hash(spark.createDataFrame(rows, "id int, text string, who string"), scope="who")
+    detect = lambda df: maskweave.detect_rows(df, policy, ["seg_hash"], scope="who")
+    out, new = DL.delta_scan(segs, spark.createDataFrame([], DL.CACHE_SCHEMA), "v1", detect, carry=("who",))
+    labels = {r.id: [s.label for s in r.spans] for r in out.collect()}
+    assert labels == {0: ["PROJECT"], 1: ["CODE"], 2: ["PROJECT"], 3: [], 4: [], 5: ["PROJECT", "CODE"]}
+    assert new.count() == 5
+    again, none = DL.delta_scan(segs, new, "v1", detect, carry=("who",))
+    assert none.count() == 0 and {r.id: [s.label for s in r.spans] for r in again.collect()} == labels
+
+
 def test_hash_keeps_scopes_apart(spark):
     df = spark.createDataFrame([("x", None), ("x", "a"), ("x", "b"), ("x", "a")], "text string, s string")
     assert DL.with_hash(df, scope="s").select("seg_hash").distinct().count() == 3

@@ -77,9 +77,14 @@ def test_merge_prefers_source_then_length(spark):
     assert merged(spark, [(2, 4, "dictionary"), (1, 3, "model")]) == [(1, 3)]
 
 
-# --- dictionary, both paths -----------------------------------------------------------------
-
-PATHS = [{"max_forms": 500}, {"max_forms": 0}, {"max_forms": 0, "chunk_bytes": 260}]
+# --- dictionary, all paths ------------------------------------------------------------------
+
+PATHS = [
+    {"max_forms": 500},
+    {"max_forms": 0},
+    {"max_forms": 0, "chunk_bytes": 260, "chunks": True},
+    {"max_forms": 0, "chunk_bytes": 0},
+]
 
 
 def hide(spark, policy, texts, scopes=None, **path):

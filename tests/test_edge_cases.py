@@ -33,7 +33,10 @@ def test_every_policy_size_finds_the_same(spark, make_policy, texts):
     policy = make_policy(*[("deny", e, f"L{n}", {"whole_word": n % 3 != 0}) for n, e in enumerate(EDGES)])
     few = spans_of(df, policy=policy)
     assert few == spans_of(df, policy=policy, max_forms=0)
-    assert few == spans_of(df, policy=policy, max_forms=0, chunk_bytes=600)
+    assert few == spans_of(df, policy=policy, max_forms=0, chunk_bytes=600, chunks=True)
+    joined = dictionary.with_dictionary_spans(df, policy, max_forms=0, chunk_bytes=0).collect()
+    by_text = {r.text: [(s.start, s.end, s.label) for s in r.dictionary_spans] for r in joined}
+    assert len(joined) == len(few) and few == [by_text["".join(t)] for t in texts]
 
 
 def test_probed_word_edges(spark, make_policy):
@@ -50,13 +53,14 @@ def test_term_of_many_scopes_is_cut_into_chunks(spark, make_policy):
         dictionary.hidden_forms(policy).select(*dictionary.FORM_COLUMNS), 60_000, 10_000))
     assert len(handles) > 3
     df = spark.createDataFrame([("Loki", "s7"), ("Loki", "other")], "text string, who string").coalesce(1)
-    found = spans_of(df, policy=policy, scope="who", max_forms=0, chunk_bytes=10_000)
-    assert found == [[(0, 4, "P")], []]
+    for chunks in (True, False):
+        found = spans_of(df, policy=policy, scope="who", max_forms=0, chunk_bytes=10_000, chunks=chunks)
+        assert sorted(found) == [[], [(0, 4, "P")]]
 
 
 def test_stream_with_many_allowed_terms_and_chunks(spark, make_policy, tmp_path, monkeypatch):
     monkeypatch.setattr(dictionary, "MAX_PATTERN_FORMS", 0)
-    monkeypatch.setattr(dictionary.with_dictionary_spans, "__defaults__", ("text", None, "dictionary_spans", None, 0, 4000))
+    monkeypatch.setattr(dictionary.with_dictionary_spans, "__defaults__", ("text", None, "dictionary_spans", None, 0, 4000, False))
     policy = make_policy(
         *[("deny", f"term{n}xyz", "T") for n in range(60)],
         *[("allow", f"term{n}xyz", "") for n in range(50, 60)],

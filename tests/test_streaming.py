@@ -125,7 +125,7 @@ def test_redaction_job_reloads_the_policy_and_caches_offsets(spark, tmp_path, ma
     }
     cache = spark.read.parquet(root + "/cache")
     assert cache.groupBy("policy_version").count().count() == 2 and cache.count() == 3
-    assert set(cache.columns) == {"seg_hash", "spans", "policy_version", "batch"}
+    assert set(cache.columns) == {"seg_hash", "spans", "policy_version", "run", "bucket"}
     queue = spark.read.parquet(root + "/suggestions/batch=1").collect()
     assert [(r.term, r.last_seen.batch) for r in queue] == [("a@b.com", 1)]
     # Replaying a batch changes nothing.
@@ -151,6 +151,10 @@ def test_repeats_and_windows_on_a_stream(spark, tmp_path, make_policy):
 
     once = run(RD.without_repeats(spark.readStream.schema(schema).parquet(src), "ts", "1 hour"), "once", "append")
     assert len(once) == 4
+    version = F.when(F.col("seg_no") < 2, "v1").otherwise("v2")
+    source = spark.readStream.schema(schema).parquet(src)
+    again = run(RD.without_repeats(source, "ts", "1 hour", version), "again", "append")
+    assert len(again) == 5 and set(again[0].asDict()) == {"seg_no", "ts", "text", "seg_hash"}
     stream = spark.readStream.schema(schema).parquet(src)
     counts = run(windowed_counts(stream, "ts", "text", late="10 minutes"), "counts", "complete")
     assert sum(r.n for r in counts) == 6
