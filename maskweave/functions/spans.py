@@ -7,6 +7,10 @@ SQL text over column names: one call to the JVM each, however long the expressio
 
 from __future__ import annotations
 
+import functools
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,15 +154,45 @@ def merged(spans: str) -> Column:
 
 
 def suppressed(spans: str) -> Column:
-    """Score suppression: best score first, drop overlaps with a kept span of the same label."""
-    return F.expr(
-        f"""aggregate(
-          sort_array(transform({spans}, (s, i) -> struct(-s.score AS neg, i AS ord, s AS span))),
-          CAST(array() AS {SPANS_TYPE}),
-          (kept, x) -> CASE WHEN exists(kept, k -> k.label = x.span.label
-              AND x.span.`start` < k.`end` AND x.span.`end` > k.`start`)
-            THEN kept ELSE concat(kept, array(x.span)) END)"""
-    )
+    """Score suppression: best score first, drop overlaps with a kept span of the same label.
+
+    Kept spans of one label do not overlap, so they stay sorted by start and by end at once, and
+    a span is compared with one neighbour only.  A fold in the JVM would copy what it has kept at
+    every step; this is one Arrow call on bounds, scores and labels.  Spans without a score come
+    first, those of score NaN last; one that ends before it starts, or lacks a bound, overlaps nothing.
+    """
+    part = lambda name: F.transform(spans, lambda s: s[name])
+    kept = _kept_numbers()(part("start"), part("end"), part("label"), part("score"))
+    return F.transform(kept, lambda i: F.get(F.col(spans), i))
+
+
+@functools.cache
+def _kept_numbers():
+    def one(starts, ends, labels, scores) -> list[int]:
+        def rank(i: int):
+            x = scores[i]
+            return (0, 0.0, i) if x is None else (2, 0.0, i) if x != x else (1, -x, i)
+
+        lists: dict[str | None, tuple[list, list]] = {}
+        kept = []
+        for i in sorted(range(len(starts)), key=rank):
+            start, end, label = starts[i], ends[i], labels[i]
+            if start is not None and end is not None and start <= end and label is not None:
+                begins, stops = lists.setdefault(label, ([], []))
+                at = bisect_right(stops, start)
+                if at < len(begins) and begins[at] < end:
+                    continue
+                begins.insert(at, start)
+                stops.insert(at, end)
+            kept.append(i)
+        return kept
+
+    @F.arrow_udf("array<int>")
+    def numbers(starts: pa.Array, ends: pa.Array, labels: pa.Array, scores: pa.Array) -> pa.Array:
+        rows = zip(*(x.to_pylist() for x in (starts, ends, labels, scores)))
+        return pa.array([None if r[0] is None else one(*r) for r in rows], pa.list_(pa.int32()))
+
+    return numbers
 
 
 def leftmost_longest(candidates: str, text: str) -> Column:

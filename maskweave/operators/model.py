@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import math
+import operator
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -163,15 +165,18 @@ class DetectorPlugin:
     """A third-party detector.
 
     ``load`` runs once per Python worker and returns a function from a text to a list of
-    (start, end, label, score).  With ``byte_offsets`` its ranges are UTF-8 byte offsets and are
-    widened to whole characters.  A text it fails on gets no spans and counts as failed.
+    (start, end, label, score), or with ``batch`` from a list of up to that many texts to one such list
+    each.  With ``byte_offsets`` its ranges are UTF-8 byte offsets and are widened to whole
+    characters.  A text it fails on, or gives anything else for, gets no spans and counts as
+    failed; the other texts of its batch do not suffer.
     """
 
     name: str
-    load: Callable[[], Callable[[str], list[tuple]]]
+    load: Callable[[], Callable]
     byte_offsets: bool = False
     labels: tuple[str, ...] | None = None
     threshold: float | None = None
+    batch: int | None = None
 
 
 # Detectors loaded in this worker, newest last; older ones are let go.
@@ -205,24 +210,52 @@ def _plugin_column(plugin: DetectorPlugin, text: Column) -> Column:
             while len(_LOADED) >= MAX_LOADED:
                 _LOADED.pop(next(iter(_LOADED)))
             _LOADED[tag] = plugin.load()
-        detect = _LOADED[tag]
-        spans, failed = [], []
-        for t in texts:
-            found, bad = [], False
-            if t.strip():
-                try:
-                    found = [tuple(s) for s in detect(t)]
-                except Exception:
-                    found, bad = [], True
-            if plugin.byte_offsets:
-                found = [(*_to_characters(t, s, e), *rest) for s, e, *rest in found]
-            spans.append([dict(zip(("start", "end", "label", "score"), s)) for s in found])
-            failed.append(bad)
-        return pd.DataFrame({"spans": spans, "failed": failed})
+        found = _found_in(list(texts), _LOADED[tag], plugin)
+        spans = [[] if x is None else [dict(zip(_SPAN_FIELDS, s)) for s in x] for x in found]
+        return pd.DataFrame({"spans": spans, "failed": [x is None for x in found]})
 
     return run(text)
 
 
+_SPAN_FIELDS = ("start", "end", "label", "score")
+
+
+def _found_in(texts: list[str], detect: Callable, plugin: DetectorPlugin) -> list[list[tuple] | None]:
+    """Checked spans of each text; None for one the detector failed on."""
+    out: list[list[tuple] | None] = [[] for _ in texts]
+    asked = [i for i, t in enumerate(texts) if t.strip()]
+    step = plugin.batch or 1
+    for a in range(0, len(asked), step):
+        part = asked[a : a + step]
+        try:
+            answers = list(detect([texts[i] for i in part])) if plugin.batch else [detect(texts[part[0]])]
+            if len(answers) != len(part):
+                raise ValueError("one answer for each text")
+        except Exception:
+            if len(part) > 1:
+                # One text spoils a whole call: ask for each alone.
+                for i in part:
+                    out[i] = _found_in([texts[i]], detect, plugin)[0]
+            else:
+                out[part[0]] = None
+            continue
+        for i, answer in zip(part, answers):
+            try:
+                out[i] = [_checked(texts[i], s, plugin.byte_offsets) for s in answer]
+            except Exception:
+                out[i] = None
+    return out
+
+
+def _checked(text: str, span, byte_offsets: bool) -> tuple[int, int, str, float]:
+    """A plug-in's span in the types it must have; anything else is an error."""
+    start, end, label, score = span
+    start, end, score = operator.index(start), operator.index(end), float(score)
+    if not isinstance(label, str) or math.isnan(score) or max(abs(start), abs(end)) >= 1 << 63:
+        raise ValueError("a span is (start, end, label, score)")
+    return (*(_to_characters(text, start, end) if byte_offsets else (start, end)), label, score)
+
+
 def with_plugin_spans(
     df: DataFrame, plugin: DetectorPlugin, text: str = "text", out: str = "plugin_spans"
 ) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 import maskweave
 from maskweave.functions.patterns import SUGGESTION_LIMIT
 from maskweave.operators import delta as DL
+from maskweave.operators import model as M
 from maskweave.operators import vault as V
 from maskweave.operators.model import DetectorPlugin
 from maskweave.operators.policy import compact, policy_version
 from maskweave.operators.span_cache import SpanCache
-from maskweave.session import staged
+from maskweave.session import scratch, staged
 from maskweave.sources import policy_store as PS
 
 
@@ -64,6 +65,9 @@ class RedactionJob:
     stands for another value is not restored.  With ``log_path`` the teach/unteach log there is
     read on top of the newest published version for every batch, so a term taught now hides from
     the next batch on.  With ``seal_key`` vault values are encrypted.
+
+    ``plugin`` adds a detector of one's own.  Texts it fails on are redacted by the other layers and are not
+    cached; ``failures`` counts them for each batch.
     """
 
     policy_path: str
@@ -92,6 +96,11 @@ class RedactionJob:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        # What is staged on the way holds private values: it goes when the batch is written.
+        with scratch(batch.sparkSession):
+            self._process(batch, batch_id)
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest, version = PS.latest(spark, self.policy_path)
         if self.log_path:
@@ -112,12 +121,18 @@ class RedactionJob:
             F.min(F.struct("conv_id", "seg_no")).alias("place"),
         )
         fresh = texts.join(known.select("seg_hash"), "seg_hash", "left_anti")
-        found = maskweave.detect_rows(fresh, policy, ["seg_hash"], scope=self.scope, plugin=self.plugin)
-        cache.append(name, batch_id, DL.cache_rows(found, "").drop("policy_version"))
+        rows = maskweave.detect_rows(fresh, policy, ["seg_hash"], scope=self.scope, plugin=self.plugin)
+        failed = F.col("failed") if self.plugin is not None else F.lit(False)
+        # Read by four steps below; detection runs once.
+        found = staged(rows.select("seg_hash", *extra, "place", "spans", failed.alias("failed")), "found-spans")
+        new = DL.cache_rows(found, "").drop("policy_version")
+        # A text the plug-in failed on is tried again when it comes again.
+        good = found.where(~F.col("failed"))
+        cache.append(name, batch_id, DL.cache_rows(good, "").drop("policy_version"))
+        self._write(M.detector_failures(found), "failures", batch_id)
         self._suggest(found, policy, batch_id)
         self._forget_versions(cache, name, batch_id)
 
-        new = cache.run(name, batch_id)
         spans_by_hash = known.unionByName(new)
         key = self.vault_key
         rows = segments.join(spans_by_hash, "seg_hash").select(

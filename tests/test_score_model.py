@@ -143,6 +143,85 @@ def test_nms_keeps_other_labels(spark):
     assert [(s.start, s.end, s.label) for s in out] == [(3, 8, "A"), (4, 6, "B")]
 
 
+def plain_nms(spans):
+    """Every kept span compared with every other."""
+    kept = []
+    for s in sorted(range(len(spans)), key=lambda i: (-spans[i][4], i)):
+        a, b, label = spans[s][:3]
+        if not any(k[2] == label and a < k[1] and b > k[0] for k in kept):
+            kept.append(spans[s])
+    return [k[:3] for k in kept]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nms_against_all_pairs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    found = []
+    for _ in range(300):
+        a = rng.randrange(60)
+        found.append((a, a + rng.choice([0, 1, 3, 9]), rng.choice("AB"), "m", rng.randrange(20) / 20, ""))
+    df = spark.createDataFrame([(found,), ([],), (None,)], f"spans {S.SPANS_TYPE}")
+    out = [r[0] for r in df.select(S.suppressed("spans")).collect()]
+    assert [(s.start, s.end, s.label) for s in out[0]] == plain_nms(found)
+    assert out[1] == [] and out[2] is None
+
+
+def test_nms_of_odd_spans(spark):
+    found = [
+        (0, 5, "A", "m", None, ""), (1, 2, "A", "m", 9.0, ""), (1, 2, None, "m", 0.1, ""), (None, 2, "A", "m", 0.1, ""),
+        (9, 3, "A", "m", 0.1, ""), (0, 9, "A", "m", float("nan"), ""), (5, 6, "A", "m", float("nan"), ""),
+    ]
+    df = spark.createDataFrame([(found,)], f"spans {S.SPANS_TYPE}")
+    out = df.select(S.suppressed("spans")).first()[0]
+    assert [(s.start, s.end) for s in out] == [(0, 5), (1, 2), (None, 2), (9, 3), (5, 6)]
+
+
+def test_nms_of_fifty_thousand_spans(spark):
+    import time
+
+    one = "named_struct('start', i * 2, 'end', i * 2 + 3, 'label', 'A', 'source', 'm', 'score', 1.0D / (1 + i % 977), 'value', '')"
+    df = spark.range(1).select(F.expr(f"transform(sequence(0L, 49999L), i -> {one})").alias("spans"))
+    df.select(F.size(S.suppressed("spans"))).collect()
+    start = time.time()
+    n = df.select(F.size(S.suppressed("spans"))).first()[0]
+    assert 20_000 < n < 50_000 and time.time() - start < 5
+
+
+def test_plugin_output_of_any_kind_stays_with_its_text(spark):
+    answers = {
+        "ok": [(0, 2, "A", 0.9)], "short": [(1,)], "null start": [(None, 1, "A", 0.5)], "strings": [("0", "1", "A", 0.5)],
+        "not a list": 7, "nan": [(0, 1, "A", float("nan"))], "label": [(0, 1, None, 0.5)], "huge": [(0, 1 << 70, "A", 1.0)],
+        "generator": None,
+    }
+    bad = {"short", "null start", "strings", "not a list", "nan", "label", "huge"}
+
+    def one():
+        def detect(text):
+            if text == "boom":
+                raise MemoryError
+            return ((0, 1, "G", 1.0) for _ in range(1)) if text == "generator" else answers[text]
+
+        return detect
+
+    def many():
+        def detect(texts):
+            assert len(texts) <= 4
+            return [one()(t) for t in texts]
+
+        return detect
+
+    rows = [(i, t) for i, t in enumerate([*answers, "boom", "", "ok"])]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    for load, size in ((one, None), (many, 4), (many, 1)):
+        for byte_offsets in (False, True):
+            plugin = M.DetectorPlugin("p", load, byte_offsets=byte_offsets, batch=size)
+            out = {r.id: r for r in M.with_plugin_spans(df, plugin).collect()}
+            assert {t for i, t in rows if out[i].failed} == bad | {"boom"}
+            assert {t: len(out[i].plugin_spans) for i, t in rows if out[i].plugin_spans} == {"ok": 1, "generator": 1}
+
+
 def test_plugin_boundaries_and_failures(spark):
     def load():
         def detect(text):

@@ -6,6 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from maskweave.operators.metrics import windowed_counts
+from maskweave.operators.model import DetectorPlugin
+from maskweave.session import shared_dir
 from maskweave.sources import policy_store as PS
 from maskweave.sources import sinks
 from maskweave.streaming import batch_restore as BR
@@ -133,6 +135,46 @@ def test_redaction_job_reloads_the_policy_and_caches_offsets(spark, tmp_path, ma
     assert spark.read.parquet(root + "/redacted").count() == 4
 
 
+def test_redaction_job_with_a_plugin(spark, tmp_path, monkeypatch):
+    policy, root = str(tmp_path / "policy"), str(tmp_path / "out")
+    schema = "conv_id bigint, seg_no bigint, text string"
+    fuse = tmp_path / "fuse"
+
+    def load():
+        def detect(texts):
+            if any("Ann" in t for t in texts) and not fuse.exists():
+                raise RuntimeError
+            return [[(t.index("Ann"), t.index("Ann") + 3, "PERSON", 0.9)] if "Ann" in t else [] for t in texts]
+
+        return detect
+
+    job = RD.RedactionJob(policy, root, plugin=DetectorPlugin("names", load, batch=8))
+    staged_before = set(os.listdir(shared_dir(spark)))
+    rows = [(1, 0, "Ann wrote a@b.com"), (1, 1, "nobody wrote"), (1, 2, None)]
+    job(spark.createDataFrame(rows, schema), 0)
+    out = {r.seg_no: r.redacted for r in spark.read.parquet(root + "/redacted/batch=0").collect()}
+    assert out == {0: "Ann wrote <<EMAIL_1>>", 1: "nobody wrote", 2: ""}
+    assert tuple(spark.read.parquet(root + "/failures/batch=0").first()) == (3, 1)
+    fuse.touch()
+    # The text it failed on was not cached and is tried again.
+    job(spark.createDataFrame(rows, schema), 1)
+    out = {r.seg_no: r.redacted for r in spark.read.parquet(root + "/redacted/batch=1").collect()}
+    assert out[0] == "<<PERSON_1>> wrote <<EMAIL_1>>"
+    assert tuple(spark.read.parquet(root + "/failures/batch=1").first()) == (1, 0)
+    # Nothing with private values is left in the work folder.
+    assert set(os.listdir(shared_dir(spark))) == staged_before
+
+
+def test_old_policy_versions_leave_the_cache(spark, tmp_path, make_policy):
+    policy, root = str(tmp_path / "policy"), str(tmp_path / "out")
+    job = RD.RedactionJob(policy, root)
+    for n in range(3):
+        PS.publish(make_policy(("deny", f"Loki{n}", "P")), policy, n + 1)
+        job(spark.createDataFrame([(1, 0, f"Loki{n}")], "conv_id bigint, seg_no bigint, text string"), n)
+    assert sorted(os.listdir(f"{root}/cache")) == ["policy_version=v2", "policy_version=v3"]
+    assert spark.read.parquet(root + "/redacted").count() == 3
+
+
 def test_repeats_and_windows_on_a_stream(spark, tmp_path, make_policy):
     src = str(tmp_path / "in")
     schema = "seg_no bigint, ts timestamp, text string"
