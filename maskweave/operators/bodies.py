@@ -1,7 +1,8 @@
 """Request bodies: which strings are redactable, and putting redacted ones back.
 
-Extraction and replacement walk one JSON body at a time in Arrow batches.  Bodies are
-limited in size before they get here, so the work per row is bounded and nothing is grouped.
+Chat bodies have a fixed depth and are walked by built-in functions (``chat_bodies``).  Block bodies and
+JSON trees nest without limit; they are walked one at a time in Arrow batches.  Bodies are limited
+in size before they get here, so the work per row is bounded and nothing is grouped.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskweave.operators import chat_bodies as C
+
 _LEAVES = "array<struct<path:string,value:string>>"
 _MISSING = object()
 
@@ -46,18 +49,6 @@ def _items(node, path: str):
     return [(v, f"{path}[{i}]") for i, v in enumerate(node)] if isinstance(node, list) else []
 
 
-def _chat(body, put) -> None:
-    """Messages whose content is a string or typed parts, then tool-call arguments."""
-    for msg, at in _items(body.get("messages"), "messages") if isinstance(body, dict) else []:
-        _fields(msg, at, ("content",), put)
-        if isinstance(msg, dict):
-            for part, here in _items(msg.get("content"), f"{at}.content"):
-                _fields(part, here, ("text", "input_text", "output_text"), put)
-            for call, here in _items(msg.get("tool_calls"), f"{at}.tool_calls"):
-                if isinstance(call, dict):
-                    _fields(call.get("function"), f"{here}.function", ("arguments",), put)
-
-
 def _block_content(holder, here: str, put) -> None:
     """Content of a message or of a tool result, which may hold further results."""
     _fields(holder, here, ("content",), put)
@@ -84,7 +75,7 @@ def _blocks(body, put) -> None:
         _block_content(msg, at, put)
 
 
-WALKS = {"chat": _chat, "blocks": _blocks}
+WALKS = {"blocks": _blocks}
 
 
 # Deeper bodies are refused: no client sends them, and a walk must not run out of stack.
@@ -142,6 +133,11 @@ def with_body_reason(df: DataFrame, body: str = "body", shape: str | None = None
     one), ``body_too_deep``, or null for a body that can be walked.  Such a body yields no segment
     and must be held back, not passed on as having nothing to redact."""
 
+    if shape == "chat":
+        read = C.with_tree(df, body, MAX_DEPTH, "__tree", "reason")
+        why = F.coalesce("reason", F.when(~C.has_messages(F.col("__tree")), "unreadable_body"))
+        return read.withColumn("reason", why).drop("__tree")
+
     @F.pandas_udf("string")
     def refuse(bodies: pd.Series) -> pd.Series:
         return pd.Series([_refusal(raw, shape) for raw in bodies], dtype=object)
@@ -167,7 +163,11 @@ def segments_column(body: Column, shape: str) -> Column:
 
 def extract_segments(df: DataFrame, shape: str, *key: str, body: str = "body") -> DataFrame:
     """One row per redactable string: (key.., seg_no, path, text)."""
-    found = df.select(*key, segments_column(F.col(body), shape).alias("__segs"))
+    if shape == "chat":
+        read = C.with_tree(df.select(*key, body), body, MAX_DEPTH, "__tree", "__reason")
+        found = read.select(*key, C.segments(F.col("__tree")).alias("__segs"))
+    else:
+        found = df.select(*key, segments_column(F.col(body), shape).alias("__segs"))
     rows = found.select(*key, F.posexplode("__segs").alias("seg_no", "s"))
     return rows.select(
         *key,
@@ -209,7 +209,13 @@ def rebuild_bodies(
     bodies: DataFrame, segments: DataFrame, shape: str, key: list[str], text: str = "redacted"
 ) -> DataFrame:
     """Join redacted segments back into their bodies.  A body's segments are bounded by the
-    body's size."""
+    body's size.  In chat bodies each goes to its ``path``, in block bodies they follow ``seg_no``."""
+    if shape == "chat":
+        pairs = F.map_from_entries(F.collect_list(F.struct("path", text))).alias("__texts")
+        read = C.with_tree(bodies, "body", MAX_DEPTH, "__tree", "__reason")
+        joined = read.join(segments.groupBy(*key).agg(pairs), key, "left")
+        texts = F.coalesce("__texts", F.create_map().cast("map<string,string>"))
+        return joined.withColumn("rebuilt", C.rebuilt(F.col("__tree"), texts)).drop("__texts", "__tree", "__reason")
     lists = segments.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("seg_no", text))).alias("__t")
     ).select(*key, F.transform("__t", lambda x: x[text]).alias("__texts"))
@@ -249,3 +255,94 @@ def json_leaves(
         F.col("s.path").alias("path"),
         F.col("s.value").alias("value"),
     )
+
+
+# --- any depth ------------------------------------------------------------------------------------
+
+_TOKENS = re.compile(r'[ \t\r\n]*+("(?:[^"\\\x00-\x1f]|\\.)*+"|[\[\]{},:]|[^\s\[\]{},:"]++)', re.S)
+
+
+def _number_or_name(token: str) -> None:
+    """Raise unless the token is a JSON number or literal."""
+    if token not in ("true", "false", "null"):
+        json.loads(token)
+
+
+def strings_of(raw: str, with_keys: bool = False) -> list[tuple[str, str]]:
+    """(path, string) of every string in a JSON text, objects in key order, without recursion.
+
+    Raises ValueError for a text that is no JSON.  Of a key named twice the last value counts.
+    """
+    found: dict[tuple, str] = {}
+    stack: list[list] = []  # [is an object, key or index of the current item, items so far]
+    place: tuple = ()
+    want = "value"
+
+    def done() -> str:
+        return "after" if stack else "end"
+
+    at = 0
+    raw = raw.rstrip(" \t\r\n")
+    while at < len(raw):
+        token = _TOKENS.match(raw, at)
+        if token is None:
+            raise ValueError("no JSON")
+        at, t = token.end(), token[1]
+        if want in ("key", "key or close") and t[0] == '"':
+            key = json.loads(t)
+            old = (*place, (key, 0))
+            if stack[-1][2] and key in stack[-1][3]:
+                found = {k: v for k, v in found.items() if k[: len(old)] != old}
+            stack[-1][3].add(key)
+            stack[-1][1], want = key, "colon"
+            if with_keys:
+                found[(*place, (key, -1))] = key
+        elif want == "colon" and t == ":":
+            place, want = (*place, (stack[-1][1], 0)), "value"
+        elif want in ("value", "value or close") and t not in ("]", "}", ",", ":"):
+            if stack and not stack[-1][0]:
+                place = (*place, stack[-1][2])
+            if stack:
+                stack[-1][2] += 1
+            if t in ("{", "["):
+                stack.append([t == "{", None, 0, set()])
+                want = "key or close" if t == "{" else "value or close"
+                continue
+            if t[0] == '"':
+                found[place] = json.loads(t)
+            else:
+                _number_or_name(t)
+            place, want = place[:-1], done()
+        elif want == "after" and t == ",":
+            want = "key" if stack[-1][0] else "value"
+        elif stack and t == ("}" if stack[-1][0] else "]") and want in ("after", "key or close", "value or close"):
+            stack.pop()
+            place, want = place[:-1], done()
+        else:
+            raise ValueError("no JSON")
+    if want != "end":
+        raise ValueError("no JSON")
+
+    def named(step) -> str:
+        return f".{step[0]}" if isinstance(step, tuple) else f"[{step}]"
+
+    return [("$" + "".join(map(named, k)), v) for k, v in sorted(found.items())]
+
+
+@F.udtf(returnType="leaf_no bigint, path string, value string")
+class JsonStrings:
+    """The strings of a JSON text at any depth, one row each; no row for a text that is no JSON."""
+
+    def eval(self, body: str, with_keys: bool):
+        try:
+            found = strings_of(body, with_keys) if body else []
+        except ValueError:
+            found = []
+        for n, (path, value) in enumerate(found):
+            yield n, path, value
+
+
+def json_strings(df: DataFrame, *key: str, body: str = "body", with_keys: bool = False) -> DataFrame:
+    """(key.., leaf_no, path, value) of every string of a body, however deep, by a lateral join."""
+    rows = df.select(*key, F.col(body).alias("__body"))
+    return rows.lateralJoin(JsonStrings(F.col("__body").outer(), F.lit(with_keys))).drop("__body")

@@ -21,6 +21,15 @@ SEGMENTS_PER_BLOCK = 1024
 Key = str | list[str]
 
 
+# A stored vault is partitioned by this column, so that a reader of few conversations reads few files.
+VAULT_BUCKET = "bucket"
+VAULT_BUCKETS = 64
+
+
+def vault_bucket(conv: Column) -> Column:
+    return F.pmod(F.xxhash64(conv), F.lit(VAULT_BUCKETS)).cast("int")
+
+
 def _keys(conv: Key) -> list[str]:
     """Columns that name a vault: the conversation, or (request, conversation)."""
     return [conv] if isinstance(conv, str) else list(conv)

@@ -316,6 +316,16 @@ def quoted_terms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+NESTING = 250
+
+
+def deep_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """One body per turn whose text lies 500 levels deep."""
+    opened, closed = F.lit('{"a":[' * NESTING), F.lit("]}" * NESTING)
+    body = F.concat(opened, _quoted(F.col("text")), F.lit(',1,"'), F.col("role"), F.lit('"'), closed)
+    return turns(spark, sf).select("conv_id", "turn", body.alias("body"))
+
+
 def block_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """One block-shaped request per turn."""
     t = _quoted(F.col("text"))

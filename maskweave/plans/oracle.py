@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from maskweave.plans.inputs import NESTING
 from maskweave.plans.oracle_parts import (
     FORMS, ORDER, POLICY, dictionary_raw, located, merged, regex_raw, regex_spans,
     repr_sql,
@@ -578,6 +579,11 @@ def oracle() -> dict[str, str]:
             "SELECT conv_id, turn, t.fullkey, t.key FROM chat, json_tree(chat.body) t "
             "WHERE t.key IS NOT NULL AND NOT regexp_full_match(t.key, '[0-9]+')",
         ),
+        "json_deep_strings": f"""
+            SELECT conv_id, turn, s.no AS leaf_no, '$' || repeat('.a[0]', {NESTING - 1}) || '.a[' || s.at || ']' AS path,
+                s.value FROM (
+              SELECT conv_id, turn, unnest([{{'no': 0::BIGINT, 'at': 0, 'value': text}},
+                {{'no': 1::BIGINT, 'at': 2, 'value': role}}]) AS s FROM conversations)""",
         "rebuild_chat_body": """
             SELECT conv_id, turn, CASE WHEN NOT (conv_id % 11 = 5 AND turn % 3 = 1) THEN '{"messages":[' || CASE turn % 4
               WHEN 0 THEN '{"content":"#0/' || length(text) || '","name":"x","role":"user"}'

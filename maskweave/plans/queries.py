@@ -574,6 +574,12 @@ def json_all_strings(spark, sf):
     return B.json_leaves(I.chat_bodies(spark, sf), "conv_id", "turn", with_keys=True).drop("leaf_no")
 
 
+@query
+def json_deep_strings(spark, sf):
+    """Strings of bodies nested 500 deep, by a table function and a lateral join."""
+    return B.json_strings(I.deep_bodies(spark, sf), "conv_id", "turn")
+
+
 @query
 def rebuild_chat_body(spark, sf):
     bodies = I.chat_bodies(spark, sf)

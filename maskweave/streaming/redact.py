@@ -151,7 +151,9 @@ class RedactionJob:
         self._write(red.drop("text"), "redacted", batch_id)
         if self.seal_key is not None:
             vault = V.seal(vault, "real", self.seal_key, [*key, "inner"])
-        self._write(vault, "vault", batch_id)
+        placed = vault.withColumn(V.VAULT_BUCKET, V.vault_bucket(F.col("conv_id")))
+        rows = placed.repartition(V.VAULT_BUCKET).write.mode("overwrite").partitionBy(V.VAULT_BUCKET)
+        rows.parquet(f"{self.root}/vault/batch={batch_id}")
 
     def _forget_versions(self, cache: SpanCache, name: str, batch_id: int) -> None:
         """Keep the cache of the versions last used; a log of them is kept beside it."""

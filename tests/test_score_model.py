@@ -291,6 +291,58 @@ def test_leaves(spark):
     assert both == ["a", "y", "b", "c", "x", "d"]
 
 
+def test_strings_of_any_json():
+    import json
+    import random
+
+    rng = random.Random(8)
+
+    def tree(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice(["x", 'q"\\', "é\n", 1, -2.5e3, True, None, "", "{[,:"])
+        if kind < 0.6:
+            return [tree(depth - 1) for _ in range(rng.randint(0, 4))]
+        return {rng.choice(["a", "b c", "é", "Z", ""]): tree(depth - 1) for _ in range(rng.randint(0, 4))}
+
+    for n in range(200):
+        value = tree(5)
+        raw = json.dumps(value, indent=rng.choice([None, 1]), ensure_ascii=n % 2 == 0)
+        for keys in (False, True):
+            want: list = []
+            B._on_strings(value, "$", lambda p, v: want.append((p, v)) or v, (lambda p, k: want.append((p, k))) if keys else None)
+            assert B.strings_of(raw, keys) == want
+    assert B.strings_of('{"a":{"x":"1"},"b":"2","a":["3"]}') == [("$.a[0]", "3"), ("$.b", "2")]
+    assert len(B.strings_of("[" * 100_000 + '"deep"' + "]" * 100_000)) == 1
+    for bad in ("", "[", "]", "{", '{"a"}', '{"a":}', "[1,]", "[,1]", "[1 2]", '"a" "b"', "{1:2}", "nope", "[1}", '{"a":1]', '"\n"', "01"):
+        with pytest.raises(ValueError):
+            B.strings_of(bad)
+
+
+def test_json_strings_by_lateral_join(spark):
+    rows = [(1, '{"b":["x"],"a":"y"}', "z"), (2, "nope", "z"), (3, None, "z"), (4, "[]", "z"), (4, '"s"', "z")]
+    df = spark.createDataFrame(rows, "id int, body string, path string")
+    got = sorted(tuple(r) for r in B.json_strings(df, "id", with_keys=True).collect())
+    assert got == [(1, 0, "$.a", "a"), (1, 1, "$.a", "y"), (1, 2, "$.b", "b"), (1, 3, "$.b[0]", "x"), (4, 0, "$", "s")]
+
+
+def test_chat_bodies_need_no_python(spark):
+    df = spark.createDataFrame([(1, CHAT)], "id int, body string")
+    segs = B.extract_segments(df, "chat", "id")
+    again = B.rebuild_bodies(df, segs.withColumnRenamed("text", "redacted"), "chat", ["id"])
+    for rows in (segs, again, B.with_body_reason(df, shape="chat")):
+        assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chat_bodies_that_look_like_one_value(spark):
+    odd = [CHAT + " x", CHAT + "]", CHAT + "}", CHAT + ",{}", CHAT + "],[", CHAT + "},{", CHAT + "}],[{", "\n " + CHAT + " \t"]
+    odd += ['{"messages":[]}', '{"messages":{}}', "[]", "7", '{"messages":[{"content":1.5}]}', '{"messages":[{"content":"a","content":"b"}]}']
+    df = spark.createDataFrame(list(enumerate(odd)), "id int, body string")
+    good = {r.id for r in B.with_body_reason(df, shape="chat").where("reason IS NULL").collect()}
+    assert good == {7, 8, 12}
+    assert {r.id for r in B.extract_segments(df, "chat", "id").collect()} == {7}
+
+
 # --- counters ----------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,6 +102,49 @@ def test_stream_restores_chunks_that_arrive_out_of_order(spark, tmp_path):
     assert by_no == {0: "at ", 1: "daniel@example.com ok", 2: " end <<"}
 
 
+def state_rows(spark, checkpoint, name):
+    reader = spark.read.format("statestore").option("stateVarName", name)
+    return reader.load(checkpoint).count()
+
+
+def test_state_is_gone_after_its_time_and_lost_chunks_are_told_from_late_ones(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    schema = RS.CHUNK_SCHEMA
+    write_chunks(spark, src, "b0", [(1, "s", "f", 0, "a <<EM", False), (2, "s", "f", 0, "done", True)])
+    chunks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    got = []
+
+    def keep(batch, n):
+        got.extend(tuple(r) for r in batch.select("conv_id", "chunk_no", "piece", "emitted", "note").collect())
+
+    q = (
+        RS.carried(chunks, idle_ms=1500, ttl_ms=20_000).writeStream.foreachBatch(keep)
+        .option("checkpointLocation", cp).trigger(processingTime="300 milliseconds").start()
+    )
+
+    def until(test, seconds=60):
+        end = time.time() + seconds
+        while not test() and time.time() < end:
+            assert q.exception() is None
+            time.sleep(0.2)
+        assert test(), got
+
+    try:
+        until(lambda: (2, 0, 0, "done", None) in got)
+        # Chunk 1 does not come: 2 waits, then goes out after the gap, and 1 is late.
+        until(lambda: (1, 0, 1, "<<EM", None) in got)
+        write_chunks(spark, src, "b1", [(1, "s", "f", 2, "c", False)])
+        until(lambda: (1, 2, 0, "c", "after_gap") in got)
+        write_chunks(spark, src, "b2", [(1, "s", "f", 1, "b", False), (1, "s", "f", 2, "c", False)])
+        until(lambda: (1, 1, 0, "b", "late") in got)
+        assert len({r[:3] for r in got}) == len(got)
+        names = ("pending", "next_no", "early", "missing")
+        assert state_rows(spark, cp, "next_no") > 0
+        until(lambda: sum(state_rows(spark, cp, n) for n in names) == 0, 90)
+    finally:
+        q.stop()
+
+
 def test_redaction_job_reloads_the_policy_and_caches_offsets(spark, tmp_path, make_policy):
     policy, root, src = (str(tmp_path / x) for x in ("policy", "out", "in"))
     schema = "conv_id bigint, seg_no bigint, text string"
