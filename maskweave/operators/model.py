@@ -14,9 +14,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from maskweave.functions import patterns as P
 from maskweave.functions import spans as S
+from maskweave.functions.text import sigmoid
 from maskweave.session import staged
 
 
@@ -155,6 +157,65 @@ def _scorer(names: list, matrix: np.ndarray, threshold: float, key: str, label:
     return run
 
 
+# Items and labels that meet in one task.
+SCORE_BLOCK = 4096
+
+
+def label_top_k(
+    items: DataFrame,
+    labels: DataFrame,
+    key: str,
+    k: int,
+    vector: str = "embedding",
+    label: str = "label",
+    block: int = SCORE_BLOCK,
+) -> DataFrame:
+    """(key, rank, label, logit, score): the ``k`` best labels of every item, ties to the smaller label.
+
+    A matrix product in blocks: every block of items meets every block of labels in one task, which
+    keeps k labels of each item, and the blocks' lists are ranked together.  The output is k rows an
+    item whatever the number of labels, and no label passes through the driver.  ``key`` names single
+    items; those without a usable vector have no row.
+    """
+    v = F.col(vector).cast("array<double>")
+    usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull())
+    rows = items.where(usable).select(F.col(key).alias("key"), v.alias("v"))
+    named = labels.where(F.col("vector").isNotNull()).select(
+        F.col(label).alias("label"), F.col("vector").cast("array<double>").alias("w")
+    )
+    n_items = max(1, -(-rows.count() // block))
+    n_labels = max(1, -(-named.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    placed = rows.withColumn("i", F.pmod(F.xxhash64("key"), F.lit(n_items)).cast("int")).withColumn("j", every(n_labels))
+    spread = named.withColumn("j", F.pmod(F.xxhash64("label"), F.lit(n_labels)).cast("int")).withColumn("i", every(n_items))
+    types = {**dict(rows.dtypes), **dict(named.dtypes)}
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"key": [], "label": [], "logit": []})]
+        sizes, widths = left["v"].map(len), right["w"].map(len)
+        for dim in sizes.unique():
+            mine, theirs = left[sizes == dim], right[widths == dim].sort_values("label", kind="stable")
+            if not len(theirs):
+                continue
+            logits = np.stack(mine["v"].to_numpy()).reshape(-1, dim) @ np.stack(theirs["w"].to_numpy()).reshape(-1, dim).T
+            top = np.argsort(-logits, axis=1, kind="stable")[:, :k]
+            at = np.repeat(np.arange(len(mine)), top.shape[1])
+            found = {"key": mine["key"].to_numpy()[at], "label": theirs["label"].to_numpy()[top.ravel()]}
+            out.append(pd.DataFrame({**found, "logit": np.take_along_axis(logits, top, axis=1).ravel()}))
+        return pd.concat(out[1:] or out)
+
+    found = (
+        placed.groupBy("i", "j")
+        .cogroup(spread.groupBy("i", "j"))
+        .applyInPandas(best, f"key {types['key']}, label {types['label']}, logit double")
+    )
+    order = Window.partitionBy("key").orderBy(F.desc("logit"), "label")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(
+        F.col("key").alias(key), "rank", F.col("label").alias(label), "logit", sigmoid(F.col("logit")).alias("score")
+    )
+
+
 # --- plug-in detectors ---------------------------------------------------------------------------
 
 _PLUGIN = "struct<spans:array<struct<start:bigint,end:bigint,label:string,score:double>>,failed:boolean>"

@@ -616,6 +616,25 @@ def oracle() -> dict[str, str]:
               GROUP BY e.vec_id, m.label)
             SELECT vec_id, label, round(logit, 6) AS logit, round(1 / (1 + exp(-logit)), 6) AS score
             FROM d""",
+        "label_top_k": """
+            WITH e AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS pos,
+                unnest(embedding)::DOUBLE AS x FROM embeddings),
+            m AS (SELECT label, pos, avg(x) AS y FROM e GROUP BY label, pos),
+            d AS (SELECT e.vec_id, m.label, sum(x * y) AS logit FROM e JOIN m USING (pos)
+              GROUP BY e.vec_id, m.label),
+            r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, label) AS rank FROM d)
+            SELECT vec_id, rank::INTEGER AS rank, label, round(logit, 6) AS logit,
+              round(1 / (1 + exp(-logit)), 6) AS score FROM r WHERE rank <= 3""",
+        "top_values": _with(
+            regex_spans("documents", "doc_id"),
+            "SELECT label, value, count(*) AS n FROM spans GROUP BY ALL ORDER BY n DESC, label, value LIMIT 50",
+        ),
+        "redactions_rollup": _with(
+            regex_spans("documents", "doc_id"),
+            "SELECT d.source, d.lang, s.label, bit_count(grouping(d.source, d.lang, s.label))::INTEGER AS level, "
+            "count(*) AS redactions, count(DISTINCT s.value) AS distinct_values "
+            "FROM spans s JOIN documents d USING (doc_id) GROUP BY ROLLUP (d.source, d.lang, s.label)",
+        ),
         "score_threshold": _with(
             SCORED,
             "SELECT conv_id, label, count(*) AS n FROM scored WHERE score >= 0.5 GROUP BY ALL",

@@ -639,6 +639,33 @@ def label_scores(spark, sf):
                       F.round("score", 6).alias("score"))
 
 
+@query
+def label_top_k(spark, sf):
+    """The three best labels of every vector."""
+    items = TB.table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    means = M.label_vectors(M.mean_vectors(items, "label", "embedding"), "label")
+    out = M.label_top_k(items, means, "vec_id", 3)
+    return out.select("vec_id", "rank", "label", F.round("logit", 6).alias("logit"), F.round("score", 6).alias("score"))
+
+
+@query
+def top_values(spark, sf):
+    """The fifty values redacted most often."""
+    return MT.top_values(_applied(spark, sf), 50, "label")
+
+
+@query
+def redactions_rollup(spark, sf):
+    """Redactions by source, language and label, with all subtotals."""
+    return MT.redactions_rollup(_applied(spark, sf), "source", "lang", "label")
+
+
+def _applied(spark, sf):
+    docs = D.detect_patterns(I.documents(spark, sf, "doc_id", "text", "source", "lang"))
+    rows = D.explode_spans(docs.withColumnRenamed("source", "origin"), "origin", "lang")
+    return rows.select(F.col("origin").alias("source"), "lang", "label", "value")
+
+
 @query
 def score_threshold(spark, sf):
     texts = I.scored_arrays(spark, sf)
