@@ -170,42 +170,51 @@ def policy_state(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
     return state.unionByName(base.where(F.col("list") == "allow").select(state.columns))
 
 
-def unteach_effect(log: DataFrame, block_size: int = 1 << 16) -> DataFrame:
+EVENT_BLOCKS = 256
+
+
+def unteach_effect(log: DataFrame, blocks: int = EVENT_BLOCKS) -> DataFrame:
     """For each unteach event, whether it removed anything.
 
-    It did when, for some scope it covers, the last matching event before it is a teach.
-    An unteach of all scopes is checked against every scope its term was taught in.
+    An unteach of all scopes closes an epoch of its term: every event of one scope finds the one that
+    closes its epoch by a running minimum from the end (an as-of lookup; no event meets more than one).
+    Within an epoch, a scope's unteach removed something if it is the first after the last teach
+    before it; the closing event did if some scope's last event in the epoch is a teach.
+
+    The order is cut at quantiles of ``seq``, whatever its unit, so that a term with a large share of
+    all events is spread over that many blocks.
     """
     keyed = log.withColumn("kt", ascii_lower("term")).withColumn("ks", ascii_lower("scope"))
-    taught = keyed.where(F.col("op") == "teach").select("kt", "ks").distinct()
-    everywhere = (
-        keyed.where((F.col("op") == "unteach") & F.col("ks").isNull())
-        .drop("ks")
-        .join(taught, "kt")
-        .select("seq", "op", "kt", "ks")
-    )
-    events = (
-        keyed.where(F.col("ks").isNotNull())
-        .select("seq", "op", "kt", "ks")
-        .unionByName(everywhere)
-        .withColumn("taught_at", F.when(F.col("op") == "teach", F.col("seq")).otherwise(F.lit(-1)))
+    cuts = keyed.agg(F.percentile_approx("seq", [i / blocks for i in range(1, blocks)], 10_000)).first()[0]
+    bounds = F.array(*[F.lit(b).cast("bigint") for b in sorted(set(cuts or []))])
+
+    def block(seq: Column) -> Column:
+        return F.size(F.filter(bounds, lambda b: b <= seq))
+
+    everywhere = (F.col("op") == "unteach") & F.col("ks").isNull()
+    events = keyed.select(
+        "seq", "op", "kt", "ks", (-F.col("seq")).alias("back"), F.when(everywhere, -F.col("seq")).alias("closes")
     )
-    seen = running(
-        events,
-        ["kt", "ks"],
-        F.floor(F.col("seq") / block_size),
-        ["seq"],
-        maxima={"last_teach": F.col("taught_at")},
+    dated = running(events, ["kt"], -block(F.col("seq")), ["back"], maxima={"closed": F.col("closes")})
+    scoped = dated.where(F.col("ks").isNotNull()).select(
+        "seq",
+        "op",
+        "kt",
+        "ks",
+        (-F.col("closed")).alias("epoch"),
+        F.when(F.col("op") == "teach", F.col("seq")).alias("taught_at"),
     )
-    # Cuts that follow the same last teach: only the first of them removed the entry.
-    effective = (
-        seen.where((F.col("op") == "unteach") & (F.col("last_teach") >= 0))
-        .groupBy("kt", "ks", "last_teach")
+    epoch = ["kt", "ks", "epoch"]
+    seen = running(scoped, epoch, block(F.col("seq")), ["seq"], maxima={"last_teach": F.col("taught_at")})
+    removed_one = (
+        seen.where((F.col("op") == "unteach") & F.col("last_teach").isNotNull())
+        .groupBy(*epoch, "last_teach")
         .agg(F.min("seq").alias("seq"))
         .select("seq")
-        .distinct()
-        .withColumn("changed", F.lit(True))
     )
+    last = scoped.groupBy(*epoch).agg(F.max_by("op", "seq").alias("op"))
+    removed_all = last.where((F.col("op") == "teach") & F.col("epoch").isNotNull()).select(F.col("epoch").alias("seq"))
+    effective = removed_one.unionByName(removed_all).distinct().withColumn("changed", F.lit(True))
     return (
         keyed.where(F.col("op") == "unteach")
         .select("seq", "term", "scope")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskweave.functions.spans import settled
 from maskweave.functions.text import label_list
 from maskweave.operators.ranking import first_n_per_key
 
@@ -125,29 +130,53 @@ def overlap_chars(
 def overlap_in_rows(
     rows: DataFrame, key: list[str], kept: list[str], gold: str, pred: str, n_chars: str = "n_chars"
 ) -> DataFrame:
-    """:func:`overlap_chars` for rows that hold both span arrays: one scan of the texts."""
-
-    def edges(spans: str, side: str) -> Column:
-        fit = F.filter(spans, lambda s: (s["end"] > s["start"]) & (s["end"] > 0))
-        return F.flatten(F.transform(fit, lambda s: _both_edges(s, side)))
-
-    plain = F.concat(edges(gold, "gold"), edges(pred, "pred"))
-    meta = F.struct(*kept)
-    none = F.lit(None).cast(rows.select(meta.alias("m")).schema["m"].dataType)
-    tagged = F.transform(
-        plain,
-        lambda e: F.struct(
-            e["at"].alias("at"), e["gold"].alias("gold"), e["pred"].alias("pred"), none.alias("meta")
-        ),
-    )
-    last = F.struct(
-        F.col(n_chars).cast("bigint").alias("at"),
-        F.lit(0).alias("gold"),
-        F.lit(0).alias("pred"),
-        meta.alias("meta"),
+    """:func:`overlap_chars` for rows that hold both span arrays: nothing leaves the row."""
+
+    def part(side: str, field: str) -> Column:
+        return F.transform(side, lambda s: s[field].cast("bigint"))
+
+    ends = [part(side, field) for side in (gold, pred) for field in ("start", "end")]
+    size = F.greatest(F.col(n_chars).cast("bigint"), F.lit(0))
+    counted = settled(rows, {"__c": _covered_chars()(*ends, size), "__n": size})
+    return counted.select(
+        *key,
+        *kept,
+        F.col("__c.both").alias("tp_chars"),
+        F.col("__c.gold").alias("gold_chars"),
+        F.col("__c.pred").alias("pred_chars"),
+        (F.col("__n") - F.col("__c.gold")).alias("nonpii_chars"),
     )
-    events = rows.select(*key, F.explode(F.concat(tagged, F.array(last))).alias("x"))
-    return _covered(events.select(*key, "x.*"), key, kept)
+
+
+def _union(starts: np.ndarray, stops: np.ndarray) -> int:
+    """Positions that at least one of the ranges covers."""
+    if not len(starts):
+        return 0
+    order = np.argsort(starts, kind="stable")
+    starts, stops = starts[order], stops[order]
+    reach = np.maximum.accumulate(stops)
+    before = np.concatenate(([starts[0]], reach[:-1]))
+    return int(np.maximum(stops - np.maximum(starts, before), 0).sum())
+
+
+@functools.cache
+def _covered_chars():
+    def ranges(starts, stops, size: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.array(x or [], dtype=np.int64) for x in (starts, stops))
+        fit = b > a
+        return np.clip(a[fit], 0, size), np.clip(b[fit], 0, size)
+
+    @F.arrow_udf("struct<gold:bigint,pred:bigint,both:bigint>")
+    def count(ga: pa.Array, gb: pa.Array, qa: pa.Array, qb: pa.Array, size: pa.Array) -> pa.Array:
+        out = []
+        for gs, ge, ps, pe, n in zip(*(x.to_pylist() for x in (ga, gb, qa, qb, size))):
+            g, p = ranges(gs, ge, n or 0), ranges(ps, pe, n or 0)
+            both = [np.concatenate(x) for x in zip(g, p)]
+            in_gold, in_pred = _union(*g), _union(*p)
+            out.append({"gold": in_gold, "pred": in_pred, "both": in_gold + in_pred - _union(*both)})
+        return pa.array(out, pa.struct([(c, pa.int64()) for c in ("gold", "pred", "both")]))
+
+    return count
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -40,7 +40,7 @@ def test_policy_state_follows_the_log(spark):
     rows = {(r.term, r.scope): r for r in P.policy_state(events).collect()}
     assert set(rows) == {("Acme", "beta"), ("ZED", "global")}
     assert rows[("ZED", "global")].ord == 6 and rows[("ZED", "global")].label == "NEW"
-    effect = {r.seq: r.changed for r in P.unteach_effect(events, block_size=2).collect()}
+    effect = {r.seq: r.changed for r in P.unteach_effect(events, blocks=2).collect()}
     assert effect == {3: True, 5: True}
 
 
@@ -53,10 +53,33 @@ def test_unteach_of_nothing_changes_nothing(spark):
         ("unteach", "acme", None, "alpha", None),
         ("unteach", "acme", None, None, None),
     )
-    effect = {r.seq: r.changed for r in P.unteach_effect(events, block_size=3).collect()}
+    effect = {r.seq: r.changed for r in P.unteach_effect(events, blocks=3).collect()}
     assert effect == {0: False, 2: False, 3: True, 4: False}
 
 
+@pytest.mark.parametrize("seed,unit", [(1, 1), (2, 10**15)])
+def test_unteach_effect_against_replay(spark, seed, unit):
+    import random
+
+    rng = random.Random(seed)
+    rows, live, want = [], {}, {}
+    for n in range(400):
+        op, term = rng.choice(["teach", "unteach"]), rng.choice(["A", "a", "b", "hot", "hot", "HOT"])
+        scope = rng.choice(["x", "Y", "z", None]) if op == "unteach" else rng.choice(["X", "y", "z"])
+        kt, ks, seq = term.lower(), scope and scope.lower(), n * unit
+        rows.append((seq, op, term, "L", scope, False))
+        scopes = live.setdefault(kt, set())
+        if op == "teach":
+            scopes.add(ks)
+        else:
+            want[seq] = bool(scopes) if ks is None else ks in scopes
+            live[kt] = set() if ks is None else scopes - {ks}
+    events = spark.createDataFrame(rows, P.LOG_SCHEMA)
+    got = P.unteach_effect(events, blocks=7)
+    assert {r.seq: r.changed for r in got.collect()} == want
+    assert P.unteach_effect(events.limit(0)).count() == 0
+
+
 def test_scope_terms(spark, make_policy):
     policy = make_policy(
         ("deny", "Acme", "ORG", {"scope": "alpha"}), ("deny", "Acme", "CLIENT", {"scope": "beta"})

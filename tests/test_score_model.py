@@ -37,6 +37,25 @@ def test_known_scores(spark, gold, pred, want):
     assert (r.precision, r.recall, r.f1, r.f2, r.fpr) == pytest.approx(want)
 
 
+def test_overlap_in_rows_counts_as_sets_do(spark):
+    import random
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for i in range(60):
+        n = rng.choice([0, 5, 40])
+        sides = [[(a, a + rng.randint(-2, 9)) for a in rng.choices(range(-5, 45), k=rng.randint(0, 6))] for _ in "gp"]
+        g, p = ({c for a, b in side for c in range(max(a, 0), min(b, n))} for side in sides)
+        rows.append((i, n, *sides))
+        want[i] = (len(g & p), len(g), len(p), n - len(g))
+    span = "array<struct<start:bigint,end:bigint>>"
+    df = spark.createDataFrame([*rows, (60, 3, None, [])], f"id int, n_chars bigint, gold {span}, pred {span}")
+    out = SC.overlap_in_rows(df, ["id"], [], "gold", "pred")
+    assert {r[0]: tuple(r)[1:] for r in out.collect()} == {**want, 60: (0, 0, 0, 3)}
+    plan = SC.masking_score(out, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_micro_average(spark):
     r = scored(spark, [(1, "t", 10), (2, "t", 10)], [(1, 0, 4), (2, 0, 1)], [(1, 0, 4)])
     assert (r.precision, r.recall) == pytest.approx((1.0, 0.8))
