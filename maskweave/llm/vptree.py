@@ -8,9 +8,12 @@ rules it out.  ``relax`` widens that rule: with factor one a side is left out on
 hold a nearer vector (exact search), with a smaller factor the current radius counts that much
 less.  Final scores are cosines in double precision on the original vectors.
 
-Equal vectors are one point of the tree, so a vector shared by a third of the rows costs one
-comparison; the smallest ids of such a class are enough for any answer.  Queries meet the shards
-through a shuffle, in blocks, so nothing is broadcast or collected whole.
+Vectors of one direction (to seven digits) are one point of the tree, so a vector shared by a third of the
+rows costs one comparison.  Every vector of a direction that is found gets its exact score, so ties and near
+ties are settled by score and id alone; of rows with equal vectors the smallest ids are enough for any
+answer.  Components are scaled by a power of two first, which changes no cosine and keeps squares of
+huge and tiny ones in range.  Queries meet the shards through a shuffle, in blocks, so nothing is
+broadcast or collected whole.
 
 Defined results: rows whose id or vector is null, whose vector is empty, has length zero or holds
 a null or non-finite component take no part; vectors of different dimension are never compared;
@@ -32,12 +35,16 @@ K = 5
 # Rows of a shard; bounds a task's tree whatever the size of the table.
 SHARD_ROWS = 16_384
 # Queries searched together in one task.
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 16_384
 LEAF = 128
 # Share of the current radius that pruning respects; 1.0 is exact.
 RELAX = 0.8
-# Kept while searching beyond k, so that rounding cannot displace an answer before rescoring.
+# Directions kept while searching beyond k, so that rounding cannot displace an answer before rescoring.
 SPARE = 3
+# Vectors whose unit vectors agree on this grid are one direction.
+GRID = 1e7
+# Scored pairs held at a time.
+PAIRS = 1_000_000
 
 
 class Tree:
@@ -115,6 +122,12 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near one."""
+    _, exponent = np.frexp(np.abs(v).max(axis=1, keepdims=True))
+    return np.ldexp(v, -exponent)
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of corresponding rows, the same to the bit for equal pairs."""
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
@@ -178,37 +191,64 @@ def nearest(
 
 
 def _found(p: pd.DataFrame, q: pd.DataFrame, k: int, relax: float) -> pd.DataFrame:
-    vectors, asking = np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())
+    vectors, asking = (_scaled(np.stack(x["v"].to_numpy())) for x in (p, q))
     ids, query_ids = p["id"].to_numpy(), q["id"].to_numpy()
-    # Equal vectors are one point; ``members`` lists their rows by rising id.
-    distinct, label = np.unique(vectors, axis=0, return_inverse=True)
-    label = label.reshape(-1)
-    members = np.argsort(label, kind="stable")
-    first = np.searchsorted(label[members], np.arange(len(distinct)))
-    sizes = np.bincount(label, minlength=len(distinct))
-    # A class with nobody but the query itself is no candidate.
+    # Equal vectors are one class; ``members`` lists their rows by rising id.
+    distinct, label = _classes(vectors)
+    members, first, sizes = _lists(label, len(distinct))
+    # Classes of one direction are one point of the tree.
+    unit = _unit(distinct)
+    directions, which_way = _classes(np.round(unit * GRID).astype(np.int64))
+    classes, first_class, n_classes = _lists(which_way, len(directions))
+    # A direction with nobody but the query itself is no candidate.
+    rows_there = np.bincount(which_way[label], minlength=len(directions))
     row_of = pd.Series(np.arange(len(ids)), index=ids)
     own_row = row_of.reindex(query_ids).to_numpy()
     own = np.full(len(asking), -1)
     mine = np.flatnonzero(~np.isnan(own_row.astype(np.float64)))
-    own_class = label[own_row[mine].astype(np.int64)]
-    own[mine] = np.where(sizes[own_class] == 1, own_class, -1)
-    _, hits = Tree(_unit(distinct)).search(_unit(asking), own, k + SPARE, relax)
-    which, column = np.nonzero(hits >= 0)
-    point = hits[which, column]
+    own_way = which_way[label[own_row[mine].astype(np.int64)]]
+    own[mine] = np.where(rows_there[own_way] == 1, own_way, -1)
+    _, hits = Tree(unit[classes[first_class]]).search(_unit(asking), own, k + SPARE, relax)
     # At most k + 1 members of a class can be among the k answers (one may be the query).
-    take = np.minimum(sizes[point], k + 1)
-    who = np.repeat(which, take)
-    step = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
-    row = members[np.repeat(first[point], take) + step]
-    keep = ids[row] != query_ids[who]
-    who, row = who[keep], row[keep]
-    score = _cosines(asking[who], vectors[row])
-    order = np.lexsort((ids[row], -score, who))
-    who, row, score = who[order], row[order], score[order]
-    start = np.searchsorted(who, np.arange(len(asking)))
-    kept = np.arange(len(who)) - start[who] < k
-    return pd.DataFrame({"query_id": query_ids[who[kept]], "vec_id": ids[row[kept]], "score": score[kept]})
+    take = np.minimum(sizes, k + 1)
+    rows_kept = np.bincount(which_way, weights=take, minlength=len(directions))
+    work = np.cumsum(np.where(hits >= 0, rows_kept[hits], 0).sum(axis=1))
+    out = [pd.DataFrame({"query_id": query_ids[:0], "vec_id": ids[:0], "score": np.empty(0)})]
+    for part in np.split(np.arange(len(asking)), np.flatnonzero(np.diff(work // PAIRS)) + 1):
+        who, column = np.nonzero(hits[part] >= 0)
+        who = part[who]
+        way = hits[part][hits[part] >= 0]
+        who, step = _repeated(who, n_classes[way])
+        point = classes[np.repeat(first_class[way], n_classes[way]) + step]
+        score = _cosines(asking[who], distinct[point])
+        score = np.repeat(score, take[point])
+        who, step = _repeated(who, take[point])
+        row = members[np.repeat(first[point], take[point]) + step]
+        keep = ids[row] != query_ids[who]
+        who, row, score = who[keep], row[keep], score[keep]
+        order = np.lexsort((ids[row], -score, who))
+        who, row, score = who[order], row[order], score[order]
+        kept = np.arange(len(who)) - np.searchsorted(who, who) < k
+        out.append(pd.DataFrame({"query_id": query_ids[who[kept]], "vec_id": ids[row[kept]], "score": score[kept]}))
+    return pd.concat(out[1:] or out)
+
+
+def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, label = np.unique(rows, axis=0, return_inverse=True)
+    return distinct, label.reshape(-1)
+
+
+def _lists(label: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(members class by class in order, where each class begins, sizes)"""
+    members = np.argsort(label, kind="stable")
+    return members, np.searchsorted(label[members], np.arange(n)), np.bincount(label, minlength=n)
+
+
+def _repeated(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row so many times, and the number of each repetition from zero."""
+    ends = np.cumsum(times)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(rows, times), np.arange(total) - np.repeat(ends - times, times)
 
 
 def digest(embeddings: DataFrame) -> DataFrame:

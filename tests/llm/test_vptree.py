@@ -82,6 +82,40 @@ def test_awkward_vectors(spark):
     assert vptree.digest(df.limit(0)).collect() == []
 
 
+def by_scores(rows, k, every):
+    """Brute force with the operator's own measure: ids as well as scores."""
+    ids = np.array([i for i, _ in rows])
+    v = vptree._scaled(np.array([v for _, v in rows], dtype=np.float64))
+    out = {}
+    for n in np.flatnonzero(ids % every == 0):
+        score = vptree._cosines(np.repeat(v[n : n + 1], len(v), axis=0), v)
+        order = [m for m in np.lexsort((ids, -score)) if m != n][:k]
+        out[int(ids[n])] = [(int(ids[m]), float(score[m])) for m in order]
+    return out
+
+
+@pytest.mark.parametrize("relax", [1.0, 0.8])
+def test_ties_of_direction_and_components_of_any_size(spark, relax):
+    rng = random.Random(11)
+    base = [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(i, [x * i for x in base]) for i in range(1, 401)]
+    rows += [(400 + i, [x * 2.0**i for x in base]) for i in range(-300, 300) if i % 2 and 400 + i > 400]
+    big = [[rng.gauss(0, 1) * 10.0 ** rng.choice([-200, 0, 200]) for _ in range(6)] for _ in range(100)]
+    rows += [(1000 + i, v) for i, v in enumerate(big)]
+    rows += [(2000 + i, [x * 1e-200 for x in base]) for i in range(3)] + [(3000, [1e-310] * 6), (3050, [1.7e308] * 6)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for shard_rows in (10_000, 200):
+        found = vptree.nearest(df, lambda i: i % 50 == 0, relax=relax, shard_rows=shard_rows, query_block=7)
+        got = answers(found)
+        want = by_scores(rows, 5, 50)
+        assert got.keys() == want.keys()
+        if relax == 1.0:
+            assert got == want
+        else:
+            assert sum(got[q] == want[q] for q in want) >= 0.9 * len(want)
+        assert all(math.isfinite(s) for a in got.values() for _, s in a)
+
+
 @needs_data
 def test_recall(spark):
     df = read(spark, SAMPLE, "embeddings")
