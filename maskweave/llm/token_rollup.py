@@ -66,7 +66,12 @@ class Ledger:
         self.spark, self.path = spark, path.rstrip("/")
 
     def commit(self, batch: int, changes: DataFrame) -> None:
-        """Write the batch's sums; a second commit of the same batch replaces the first."""
+        """Write the batch's sums; a second commit of the same batch replaces the first.
+
+        A batch that a snapshot has folded can be committed again with the same sums only, which changes
+        nothing; other sums raise ValueError: commit the difference as a batch of its own
+        (``revisions``).
+        """
         self.commit_all(changes.withColumn("batch", F.lit(batch).cast("bigint")), [batch])
 
     def commit_all(self, changes: DataFrame, batches: list[int]) -> None:
@@ -81,6 +86,18 @@ class Ledger:
         sums = rows.unionByName(marks).groupBy("batch", *KEYS).agg(
             *[F.sum(c).cast("bigint").alias(c) for c in SUMS]
         )
+        again = sorted(set(self._snapshot()[1]) & set(batches))
+        if again:
+            sums = staged(sums, "ledger-sums")
+            columns = ["batch", *KEYS, *SUMS]
+            new = sums.where(F.col("batch").isin(again)).select(columns)
+            old = self._read("batches", CHANGE_SCHEMA + ", batch bigint").where(F.col("batch").isin(again)).select(columns)
+            if not (new.exceptAll(old).isEmpty() and old.exceptAll(new).isEmpty()):
+                raise ValueError(f"of the folded batches {again} one is committed with other sums")
+            sums = sums.where(~F.col("batch").isin(again))
+            batches = [b for b in batches if b not in again]
+            if not batches:
+                return
         # One file and one folder per batch: sums are few, whatever the batch held.
         (
             sums.repartition("batch")

@@ -8,7 +8,7 @@ labelled rows, in an order given by a hash of the id.
 
 Defined results: a null or empty text has no feature but the constant and gets the base score;
 rows with a null id or null label teach nothing, several labels of one id count as the highest;
-repeated document rows are each learned from; without labelled rows every score is 0.5; very long
+of the document rows of one id the first text by value is learned from; without labelled rows every score is 0.5; very long
 texts are read whole; extra columns pass through ``scored``.
 """
 
@@ -105,12 +105,15 @@ class Ftrl:
 
 
 def sample(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, y) to learn from: at most ``rows`` labelled ids, chosen by a hash."""
+    """(doc_id, text, y) to learn from: at most ``rows`` rows, one for each labelled id, chosen by a hash.
+
+    Of an id that several documents have, the first text by value is taken.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & train)
     one = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # At most SAMPLE_ROWS ids and labels, so the broadcast is bounded.
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # Combined on the map side, so an id with a large share of all rows does not travel.
+    return docs.select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def fit(rows: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:

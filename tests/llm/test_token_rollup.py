@@ -49,6 +49,20 @@ def test_changes_add_up(spark, ledger):
     assert totals(ledger) == {}
 
 
+def test_a_folded_batch_takes_no_other_sums(spark, ledger):
+    def rows(n):
+        return T.inserts(spark.createDataFrame([("a", None, "v1", n, 1)], COUNTED))
+
+    ledger.commit(1, rows(10))
+    ledger.compact()
+    ledger.commit(1, rows(10))
+    with pytest.raises(ValueError, match="other sums"):
+        ledger.commit(1, rows(99))
+    assert totals(ledger) == {("a", None, "v1"): (1, 10, 1)}
+    ledger.commit_all(rows(10).withColumn("batch", F.lit(1)).unionByName(rows(5).withColumn("batch", F.lit(2))), [1, 2])
+    assert totals(ledger) == {("a", None, "v1"): (2, 15, 2)}
+
+
 def test_several_batches_at_once(spark, ledger):
     rows = spark.createDataFrame([("a", "en", "v1", n, n) for n in range(20)], COUNTED)
     changes = T.inserts(rows).withColumn("batch", F.pmod("n_tokens", F.lit(3)).cast("bigint"))

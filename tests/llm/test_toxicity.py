@@ -69,13 +69,14 @@ def test_held_out_rows(spark, make_docs):
 
 
 def test_sample_is_bounded_and_takes_one_label_per_id(spark, make_docs):
-    docs = make_docs([(k, "a b", "en", "s") for k in range(40)] + [(2, "c", "en", "s")])
+    docs = make_docs([(k, "a b", "en", "s") for k in range(40)] + [(2, "c", "en", "s")] * 50)
     marks = [(k, 0) for k in range(40)] + [(3, 1), (None, 1), (4, None)]
     labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
     drawn = T.sample(docs, labels, F.lit(True), rows=10)
-    assert drawn.select("doc_id").distinct().count() == 10
+    assert drawn.count() == drawn.select("doc_id").distinct().count() == 10
     every = T.sample(docs, labels, F.lit(True)).collect()
-    assert len(every) == 41 and {r["y"] for r in every if r["doc_id"] == 3} == {1}
+    assert len(every) == 40 and {r["y"] for r in every if r["doc_id"] == 3} == {1}
+    assert [r["text"] for r in every if r["doc_id"] == 2] == ["a b"]
 
 
 def test_awkward_rows(spark, awkward, nothing):
