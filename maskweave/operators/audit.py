@@ -68,8 +68,17 @@ def audit(
     return done.withColumn("reason", reason).drop("residual")
 
 
+CLEAN = "clean"
+
+
+def with_outcome(audited: DataFrame) -> DataFrame:
+    """Add ``outcome``, the reason or ``clean``: both halves in one pass."""
+    return audited.withColumn("outcome", F.coalesce("reason", F.lit(CLEAN)))
+
+
 def split_clean(audited: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, quarantined rows)."""
+    """(clean rows, quarantined rows).  Each runs what ``audited`` stands for; where both are read,
+    write it first (as ``write_corpus`` does) or use ``with_outcome``."""
     clean = audited.where(F.col("reason").isNull()).drop("reason")
     return clean, audited.where(F.col("reason").isNotNull())
 

@@ -311,10 +311,7 @@ def audit_split(spark, sf):
     done = A.audit(
         _half_redacted(spark, sf), I.policy(spark, sf), ["doc_id"], "body", scope="source"
     )
-    clean, held = A.split_clean(done)
-    return clean.select("doc_id", F.lit("clean").alias("outcome")).unionByName(
-        held.select("doc_id", F.col("reason").alias("outcome"))
-    )
+    return A.with_outcome(done).select("doc_id", "outcome")
 
 
 @query
@@ -603,7 +600,10 @@ def jsonl_detect(spark, sf):
         ),
     )
     return found.select(
-        "doc_id", "id", F.when(F.col("error").isNull(), F.to_json(entities)).alias("entities"), "error"
+        "doc_id",
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("error").isNull(), F.to_json(entities)).alias("entities"),
+        "error",
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.operators.audit import split_clean
-from maskweave.session import staged
+from maskweave.session import scratch, staged
 
 
 def write_corpus(
@@ -30,12 +30,13 @@ def write_corpus(
     ok = F.col("reason").isNull()
     rest = [c for c in names if c not in key]
     # Columns of held rows are emptied before anything is written.
-    checked = staged(
-        audited.select(*key, *[F.when(ok, F.col(c)).alias(c) for c in rest], "reason"), "checked"
-    )
-    split_clean(checked)[0].write.mode(mode).parquet(clean_path)
-    held = checked.where(~ok).select(*key, "reason")
-    held.write.mode(mode).partitionBy("reason").parquet(quarantine_path)
+    with scratch(audited.sparkSession):
+        checked = staged(
+            audited.select(*key, *[F.when(ok, F.col(c)).alias(c) for c in rest], "reason"), "checked"
+        )
+        split_clean(checked)[0].write.mode(mode).parquet(clean_path)
+        held = checked.where(~ok).select(*key, "reason")
+        held.write.mode(mode).partitionBy("reason").parquet(quarantine_path)
 
 
 def write_entities(detected: DataFrame, path: str, mode: str = "overwrite") -> None:

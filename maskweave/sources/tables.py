@@ -34,8 +34,8 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """(id, text, error) of each line: blank lines vanish, a bad line keeps its error, a
-    missing id stays null and a missing text is empty."""
-    schema = "id string, text string, __bad string"
+    missing id stays null and a missing text is empty.  The id is a variant: a number stays a number."""
+    schema = "id variant, text string, __bad string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
     rows = lines.where(F.trim(F.col(value)) != "").withColumn(
         "__p", F.from_json(F.col(value), schema, options)

@@ -17,6 +17,7 @@ def test_reasons(spark, make_policy):
     }
     clean, held = A.split_clean(done)
     assert clean.count() == 1 and held.count() == 3
+    assert {r.id: r.outcome for r in A.with_outcome(done).collect()}[3] == "clean"
     with pytest.raises(Exception, match="output blocked"):
         A.strict(done).collect()
     assert A.strict(done.where("id = 3")).count() == 1

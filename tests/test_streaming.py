@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import time
@@ -6,11 +7,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from maskweave.operators.detect import detect_patterns
 from maskweave.operators.metrics import windowed_counts
 from maskweave.operators.model import DetectorPlugin
 from maskweave.session import shared_dir
 from maskweave.sources import policy_store as PS
 from maskweave.sources import sinks
+from maskweave.sources.tables import parse_lines
 from maskweave.streaming import batch_restore as BR
 from maskweave.streaming import redact as RD
 from maskweave.streaming import restore as RS
@@ -268,6 +271,12 @@ def test_sinks(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(clean).collect()] == [1]
     kept = spark.read.parquet(held)
     assert set(kept.columns) == {"id", "reason"} and kept.count() == 1
+    lines = spark.createDataFrame([('{"id":7,"text":"a@b.com"}',), ('{"id":"x7","text":""}',), ('{"text":"t"}',), ("{",)], "value string")
+    found = str(tmp_path / "found")
+    sinks.write_entities(detect_patterns(parse_lines(lines).coalesce(1)), found)
+    entity = {"start": 0, "end": 7, "label": "EMAIL", "score": 0.0, "source": "regex"}
+    out = [json.loads(r.value) for r in spark.read.text(found).collect()]
+    assert out == [{"id": 7, "entities": [entity]}, {"id": "x7", "entities": []}, {"entities": []}, {"error": "unreadable line"}]
     res = str(tmp_path / "res")
     for task, v in (("a", 1), ("b", 2), ("a", 3)):
         df = spark.createDataFrame([(v, task)], "f2 int, task_name string")
