@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into windows of ``WINDOW`` characters, every half window (a shorter item
-is one window).  A text is contaminated if some stretch of it is within ``EDIT_RATE`` edits of a
+Benchmark items are cut into windows of ``WINDOW`` characters, one every ``STRIDE`` characters (a shorter
+item is one window), so every quote of ``WINDOW + STRIDE - 1`` = 124 characters holds a whole window.  A text is contaminated if some stretch of it is within ``EDIT_RATE`` edits of a
 whole window.  Such a stretch shares at least ``m - q + 1 - k q`` q-grams with the window (m its
 length, k the edits), and all of them lie on at most k + 1 neighbouring diagonals.  So the shared
 q-grams are counted in diagonal bands that overlap by k, bands that reach the bound are kept, and
@@ -14,8 +14,8 @@ text itself (code points, end exclusive).  Detection is a column of the row that
 no shuffle.  The benchmark reaches the tasks in blocks of at most ``BLOCK_CHARS`` characters, one
 pass per block, so no broadcast grows with it.
 
-Defined results: null and empty texts and items match nothing; an item shorter than ``MIN_CHARS``
-is too short to be told from chance and is not searched for (the query reports none); repeated
+Defined results: null and empty texts and items match nothing; an item shorter than ``EXACT_CHARS`` is
+found verbatim only, one shorter than a q-gram not at all; repeated
 rows give repeated results; an empty benchmark leaves every text clean; texts are read whole.
 """
 
@@ -33,7 +33,9 @@ from maskweave.llm.common import chunked, spread_out, unused
 
 Q = 12
 WINDOW = 100
-MIN_CHARS = 40
+STRIDE = 25
+# Shorter items get no edits.
+EXACT_CHARS = 40
 EDIT_RATE = 0.05
 # Characters of benchmark searched for in one pass.
 BLOCK_CHARS = 4_000_000
@@ -44,6 +46,8 @@ SIEVE_BITS = 22
 BAND = 16
 # Bands aligned at a time.
 ALIGN_ROWS = 512
+# Places of shared grams held at a time.
+POSTINGS = 2_000_000
 HITS_TYPE = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>"
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +85,7 @@ def gram_hashes(c: np.ndarray) -> np.ndarray:
 
 def edit_budget(length: int) -> int:
     """Edits allowed for a window, where its q-gram bound stays positive."""
-    k = int(length * EDIT_RATE)
+    k = int(length * EDIT_RATE) if length >= EXACT_CHARS else 0
     while k and length - Q + 1 - k * Q < 1:
         k -= 1
     return k
@@ -96,9 +100,9 @@ class Index:
         self.windows: list[np.ndarray] = []
         for item, text in items:
             c = codes(text or "", self.table)
-            if len(c) < MIN_CHARS:
+            if len(c) < Q:
                 continue
-            starts = list(range(0, max(1, len(c) - WINDOW + 1), WINDOW // 2))
+            starts = list(range(0, max(1, len(c) - WINDOW + 1), STRIDE))
             if len(c) > WINDOW and starts[-1] != len(c) - WINDOW:
                 starts.append(len(c) - WINDOW)
             for s in starts:
@@ -138,17 +142,30 @@ class Index:
         at[at == len(self.grams)] = 0
         hit = self.grams[at] == h[near]
         pos, at = near[hit], at[hit]
+        bands = len(c) // BAND + 2 + WINDOW // BAND
+        # Shared grams are counted for so many at a time: a run of one character meets every place
+        # of such a run in the benchmark.
+        work = np.cumsum(self.count[at]) // POSTINGS
+        counted = [
+            self._counted(pos[part], at[part], bands)
+            for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(work)) + 1)
+        ]
+        key, which = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+        shared = np.zeros(len(key), np.int64)
+        np.add.at(shared, which, np.concatenate([n for _, n in counted]))
+        window, band = np.divmod(key, bands)
+        kept = shared >= self.bound[window]
+        return self._verified(c, begins, window[kept], band[kept] * BAND - WINDOW)
+
+    def _counted(self, pos: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window and band as one key, shared grams) of some grams of the texts."""
         post = spread_out(self.first[at], self.count[at])
         window = self.window[post]
         diagonal = np.repeat(pos, self.count[at]) - self.offset[post] + WINDOW  # never negative
         band, rest = np.divmod(diagonal, BAND)
         overlap = (rest <= self.budget[window]) & (band > 0)
-        bands = len(c) // BAND + 2 + WINDOW // BAND
         key = np.concatenate((window * bands + band, (window * bands + band - 1)[overlap]))
-        key, shared = np.unique(key, return_counts=True)
-        window, band = np.divmod(key, bands)
-        kept = shared >= self.bound[window]
-        return self._verified(c, begins, window[kept], band[kept] * BAND - WINDOW)
+        return np.unique(key, return_counts=True)
 
     def _verified(self, c, begins, windows, diagonals):
         """Regions (text, item, start, end, edits) of the bands whose alignment meets the budget."""

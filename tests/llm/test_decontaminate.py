@@ -37,9 +37,9 @@ def plain(text):
     found = set()
     for item, whole in ITEMS:
         c = folded(whole)
-        if len(c) < D.MIN_CHARS:
+        if len(c) < D.Q:
             continue
-        starts = list(range(0, max(1, len(c) - D.WINDOW + 1), D.WINDOW // 2))
+        starts = list(range(0, max(1, len(c) - D.WINDOW + 1), D.STRIDE))
         if len(c) > D.WINDOW:
             starts.append(len(c) - D.WINDOW)
         for s in starts:
@@ -76,6 +76,33 @@ def test_filter_loses_nothing():
     assert sum(map(len, got)) > 10
 
 
+def test_every_quote_of_the_stated_length_is_found():
+    item = prose(321, 90)
+    assert len(item) > 300
+    index = D.Index([(1, item)])
+    length = D.WINDOW + D.STRIDE - 1
+    quotes = [f"# {item[s : s + length]} #" for s in range(len(item) - length + 1)]
+    assert {t for t, *_ in index.search(quotes)} == set(range(len(quotes)))
+
+
+def test_short_items_are_found_verbatim():
+    items = [(1, "What is seven times six?"), (2, "forty-two ok"), (3, "too short")]
+    index = D.Index(items)
+    texts = ["He asked: what is seven times six? And left", "what is seven times sixx?", "what is sevn times six?", "forty-two ok", "too short"]
+    found = {(t, i) for t, i, *_ in index.search(texts)}
+    assert found == {(0, 1), (3, 2)}
+
+
+def test_counts_do_not_depend_on_how_many_places_are_held(monkeypatch):
+    items = [*ITEMS, (7, "-" * 150)]
+    texts = [*hosts(5, 20), "-" * 3000 + ITEMS[3][1]]
+    whole = D.Index(items).search(texts)
+    monkeypatch.setattr(D, "POSTINGS", 100)
+    assert D.Index(items).search(texts) == whole
+    # The run's region may end some edits behind it.
+    assert any(f[:3] == (20, 7, 0) and 3000 <= f[3] <= 3007 for f in whole)
+
+
 def test_alignment_finds_start_end_and_cost():
     window = np.frombuffer(b"the quick brown fox", np.uint8).astype(np.uint32)
     regions = [b"xxthe quick brown foxyyyyy", b"xxthe quik browwn foxyyyyyy", b"nothing of the kind here.."]
