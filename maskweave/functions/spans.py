@@ -65,7 +65,9 @@ def one(item: str, array_type: str) -> str:
     return f"CAST(array({item}) AS {array_type})"
 
 
-def folded(items: str, state: str, out_type: str, step: str, state_type: str = "bigint") -> str:
+def folded(
+    items: str, state: str, out_type: str, step: str, state_type: str = "bigint", short: bool = False
+) -> str:
     """SQL of a left fold over an array that emits elements, in time nearly linear in its size.
 
     ``step`` is an SQL expression over ``acc.st`` (the state), ``acc.out`` and the item ``x``; it
@@ -75,6 +77,7 @@ def folded(items: str, state: str, out_type: str, step: str, state_type: str = "
 
     Items are taken by index, since ``slice`` walks the whole array each time.  ``items`` should
     be a column or lambda variable: it is named once for every item.  The result is struct(st, out).
+    With ``short`` an array of one block is folded plainly, once.
     """
     empty = f"CAST(array() AS array<{out_type}>)"
 
@@ -87,15 +90,19 @@ def folded(items: str, state: str, out_type: str, step: str, state_type: str = "
     kept = one("whole.st", f"array<{state_type}>")
     following = block("at", "whole.st", f"struct(part.st AS st, concat(whole.out, {kept}) AS out)")
     emitted = block(f"(k * {FOLD_BLOCK} + 1)", "s", "part.out")
-    return f"""aggregate(
+    blocks = f"""aggregate(
       CASE WHEN size({items}) > 0 THEN sequence(1, size({items}), {FOLD_BLOCK})
         ELSE CAST(array() AS array<int>) END,
       struct(CAST({state} AS {state_type}) AS st, CAST(array() AS array<{state_type}>) AS out),
       (whole, at) -> {following},
       whole -> struct(whole.st AS st, flatten(transform(whole.out, (s, k) -> {emitted})) AS out))"""
+    if not short:
+        return blocks
+    once = f"aggregate({items}, struct(CAST({state} AS {state_type}) AS st, {empty} AS out), (acc, x) -> {step})"
+    return f"CASE WHEN size({items}) <= {FOLD_BLOCK} THEN {once} ELSE {blocks} END"
 
 
-def ranges(gaps: str, matches: str) -> Column:
+def ranges(gaps: str, matches: str, short: bool = False) -> Column:
     """Positions of ``matches``, every match of a pattern in order, from ``gaps``, the pieces
     around them (both are SQL arrays).
 
@@ -105,7 +112,7 @@ def ranges(gaps: str, matches: str) -> Column:
     new = one("struct(acc.st + x.gap AS `start`, acc.st + x.gap + x.len AS `end`, x.hit AS value)", RANGES_TYPE)
     step = f"""struct(acc.st + x.gap + x.len AS st,
         concat(acc.out, {new}) AS out)"""
-    fold = folded("z", "0L", RANGES_TYPE[6:-1], step)
+    fold = folded("z", "0L", RANGES_TYPE[6:-1], step, short=short)
     # One-element transform: the zipped array is made once and named.
     return F.expr(
         f"""CASE WHEN size({matches}) > 0 THEN flatten(transform(array(
@@ -142,7 +149,7 @@ def merged(spans: str) -> Column:
     step = f"""CASE WHEN x.`start` >= acc.st
         THEN struct(x.span.`end` AS st, concat(acc.out, {one("x.span", SPANS_TYPE)}) AS out)
         ELSE acc END"""
-    fold = folded("z", "-1L", SPAN_TYPE, step)
+    fold = folded("z", "-1L", SPAN_TYPE, step, short=True)
     return F.expr(
         f"""CASE WHEN size({spans}) > 1 THEN flatten(transform(array(
           sort_array(transform({spans}, (s, i) -> struct(s.`start` AS `start`,
@@ -204,7 +211,7 @@ def leftmost_longest(candidates: str, text: str) -> Column:
     step = f"""CASE WHEN x.`start` >= acc.st
       THEN struct(x.`end` AS st, concat(acc.out, {one(span, SPANS_TYPE)}) AS out)
       ELSE acc END"""
-    fold = folded("z", "0L", SPAN_TYPE, step)
+    fold = folded("z", "0L", SPAN_TYPE, step, short=True)
     return F.expr(f"flatten(transform(array(sort_array({candidates})), z -> ({fold}).out))")
 
 

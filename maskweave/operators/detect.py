@@ -67,7 +67,7 @@ def with_pattern_spans(
         for d in detectors
     }
     found = S.settled(S.settled(guarded, matches), {
-        f"__at_{d.label}": S.ranges(S.pieces(t, S.sql_text(d.pattern)), hit[d.label])
+        f"__at_{d.label}": S.ranges(S.pieces(t, S.sql_text(d.pattern)), hit[d.label], short=True)
         for d in detectors
     })
     layers = []

@@ -201,7 +201,7 @@ def _pattern_spans(
             F.get(folded, F.lit(0))["label"],
         )
 
-    found = S.ranges("__dict_gaps", "__dict_hit")
+    found = S.ranges("__dict_gaps", "__dict_hit", short=True)
     spans = S.labelled(found, label_of, "dictionary")
     return S.settled(hits, {out: spans}).drop("__dict_hit", "__dict_gaps")
 

@@ -84,7 +84,7 @@ def row_cuts(by_value: str, names: str) -> Column:
       ELSE struct(struct(acc.st.at + 1 AS at, x.value AS value) AS st,
         concat(acc.out, {following}) AS out) END"""
     state = "struct<at:bigint,value:string>"
-    fold = S.folded(by_value, "named_struct('at', -1L, 'value', '')", _CUT, step, state)
+    fold = S.folded(by_value, "named_struct('at', -1L, 'value', '')", _CUT, step, state, short=True)
     return F.expr(f"sort_array(({fold}).out)")
 
 
