@@ -112,8 +112,10 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & train)
     one = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # Combined on the map side, so an id with a large share of all rows does not travel.
-    return docs.select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    # At most ``rows`` ids and labels are broadcast, so no text is shuffled for the join.  The texts are then
+    # combined on the map side, so an id with a large share of all rows does not travel either.
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def fit(rows: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
