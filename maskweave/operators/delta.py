@@ -47,23 +47,24 @@ def delta_scan(
     ``segments`` carries ``seg_hash``; the columns of ``carry``, which the hash must cover (such as the
     scope of ``with_hash``), reach ``detect`` beside ``seg_hash`` and ``text``.  Segments meet the cache
     first; only the texts it does not have under this policy version are cut to one for each hash and
-    detected.  Both joins have a side with one row for each hash, so a text that makes up much of
-    the data is split by Spark's skew handling.
+    detected, and where it has them all nothing is.  Both joins have a side with one row for each
+    hash, so a text that makes up much of the data is split by Spark's skew handling.
     """
     known = cache.where(F.col("policy_version") == policy_version).dropDuplicates(["seg_hash"])
     looked_up = segments.join(known.select("seg_hash", F.col("spans").alias("__known")), "seg_hash", "left")
     missing = looked_up.where(F.col("__known").isNull())
+    hit = F.col("__known").isNotNull().alias("hit")
+    if missing.isEmpty():
+        nothing = segments.sparkSession.createDataFrame([], CACHE_SCHEMA)
+        return looked_up.select(*segments.columns, F.col("__known").alias("spans"), hit), nothing
     fresh = missing.groupBy("seg_hash").agg(
         F.coalesce(F.any_value("text"), F.lit("")).alias("text"), *[F.any_value(c).alias(c) for c in carry]
     )
     # Written once: whoever stores the cache rows does not detect again.
     new_rows = staged(cache_rows(detect(fresh), policy_version), "new-spans")
-    spans, hit = F.col("__known"), F.col("__known").isNotNull().alias("hit")
-    if not new_rows.isEmpty():
-        found = new_rows.select("seg_hash", F.col("spans").alias("__new"))
-        looked_up = looked_up.join(found, "seg_hash", "left")
-        spans = F.coalesce("__known", "__new")
-    return looked_up.select(*segments.columns, spans.alias("spans"), hit), new_rows
+    found = new_rows.select("seg_hash", F.col("spans").alias("__new"))
+    both = looked_up.join(found, "seg_hash", "left")
+    return both.select(*segments.columns, F.coalesce("__known", "__new").alias("spans"), hit), new_rows
 
 
 def first_seen(segments: DataFrame, order: list[str]) -> DataFrame:
