@@ -25,9 +25,11 @@ from maskweave.session import staged
 def with_words(df: DataFrame, text: str = "text", out: str = "words") -> DataFrame:
     """Add the words of a text with their ranges in the original text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    hits = S.settled(df, {"__words": S.all_matches(t, P.WORD)})
-    gaps = S.pieces(f"coalesce(`{text}`, '')", S.sql_text(P.WORD))
-    return S.settled(hits, {out: S.ranges(gaps, "__words")}).drop("__words")
+    gaps = F.expr(S.pieces(f"coalesce(`{text}`, '')", S.sql_text(P.WORD)))
+    hits = S.settled(df, {"__words": S.all_matches(t, P.WORD), "__gaps": F.transform(gaps, F.length)})
+    at = hits.withColumn("__at", S.positions(F.col("__gaps"), F.transform("__words", F.length)))
+    words = F.arrays_zip("__at.start", "__at.end", F.col("__words").alias("value"))
+    return S.settled(at, {out: words}).drop("__words", "__gaps", "__at")
 
 
 def word_tokens(df: DataFrame, *key: str, text: str = "text") -> DataFrame:
