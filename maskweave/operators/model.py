@@ -46,23 +46,33 @@ def word_tokens(df: DataFrame, *key: str, text: str = "text") -> DataFrame:
     )
 
 
-def candidate_spans(df: DataFrame, *key: str, max_width: int = 8, text: str = "text") -> DataFrame:
-    """Every run of up to ``max_width`` words: (key.., first_word, last_word, start, end)."""
-    words = with_words(df, text)
-    last = lambda i: F.least(i + max_width, F.size("words")) - 1
-    runs = F.transform(
-        "words",
-        lambda w, i: F.struct(
-            i.alias("first"),
-            w["start"].alias("start"),
-            F.transform(
-                F.slice(F.col("words"), i + 1, last(i) - i + 1), lambda x: x["end"]
-            ).alias("ends"),
-        ),
-    )
-    opened = words.select(*key, F.explode(runs).alias("r"))
+def candidate_spans(
+    df: DataFrame, *key: str, max_width: int = 8, text: str = "text", nested: str | None = None
+) -> DataFrame:
+    """Every run of up to ``max_width`` words: (key.., first_word, last_word, start, end).
+
+    With ``nested`` the runs stay in the row of their text, in order, as an array of that name:
+    (key.., nested).
+    """
+    words = S.settled(with_words(df, text), {"__ends": F.col("words.end")})
+    if nested is not None:
+        runs = F.transform(
+            "words",
+            lambda w, i: F.transform(
+                F.slice("__ends", i + 1, F.lit(max_width)),
+                lambda end, more: F.struct(
+                    i.cast("bigint").alias("first_word"),
+                    (i + more).cast("bigint").alias("last_word"),
+                    w["start"].alias("start"),
+                    end.alias("end"),
+                ),
+            ),
+        )
+        return words.select(*key, F.flatten(runs).alias(nested))
+    opened = words.select(*key, "__ends", F.posexplode("words").alias("first", "w"))
+    reach = F.slice("__ends", F.col("first") + 1, F.lit(max_width))
     return opened.select(
-        *key, "r.first", "r.start", F.posexplode("r.ends").alias("more", "end")
+        *key, "first", F.col("w.start").alias("start"), F.posexplode(reach).alias("more", "end")
     ).select(
         *key,
         F.col("first").cast("bigint").alias("first_word"),

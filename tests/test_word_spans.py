@@ -31,3 +31,13 @@ def test_words_are_found_without_a_fold(spark):
     df = spark.createDataFrame([(1, "a b", "v")], "id int, text string, value string")
     assert "aggregate(" not in plan(M.word_tokens(df, "id"))
     assert M.word_tokens(df, "id", "value").collect() == [(1, "v", 0, "a", 0, 1), (1, "v", 1, "b", 2, 3)]
+
+
+def test_candidates_in_the_row_are_those_of_the_rows(spark):
+    df = spark.createDataFrame([(1, "a bb, c d e"), (2, ""), (3, None)], "id int, text string")
+    for width in (1, 3, 8):
+        rows = M.candidate_spans(df, "id", max_width=width)
+        nested = M.candidate_spans(df, "id", max_width=width, nested="c")
+        assert nested.count() == 3
+        assert nested.select("id", F.inline("c")).collect() == rows.collect()
+    assert "aggregate(" not in plan(rows)
