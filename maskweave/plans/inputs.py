@@ -227,31 +227,47 @@ def redacted_turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 # --- scored spans --------------------------------------------------------------------------------
 
+SPAN_LABELS = ("email", "person", "city", "vehicle", "iban")
+
+
+def _stand_in(start: Column, end: Column, first_word: Column) -> tuple[Column, Column]:
+    """Label and score of a candidate span of a turn."""
+    labels = F.array(*[F.lit(x) for x in SPAN_LABELS])
+    number = start * 31 + end * 17 + F.col("turn") * 7
+    return F.get(labels, (first_word % 5).cast("int")), (number % 1000) / F.lit(1000.0)
+
 
 def scored_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate spans over the conversations, at full width, with a stand-in score."""
-    labels = F.array(*[F.lit(x) for x in ("email", "person", "city", "vehicle", "iban")])
     cand = M.candidate_spans(turns(spark, sf), "conv_id", "turn", max_width=8)
-    number = F.col("start") * 31 + F.col("end") * 17 + F.col("turn") * 7
-    return cand.select(
-        "conv_id",
-        "turn",
-        "start",
-        "end",
-        F.get(labels, (F.col("first_word") % 5).cast("int")).alias("label"),
-        ((number % 1000) / F.lit(1000.0)).alias("score"),
-    )
+    label, score = _stand_in(F.col("start"), F.col("end"), F.col("first_word"))
+    return cand.select("conv_id", "turn", "start", "end", label.alias("label"), score.alias("score"))
 
 
 def scored_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """The scored spans of each turn as an array, ``found``."""
-    span = F.struct(
-        "start", "end", "label", F.lit("model").alias("source"), "score",
-        F.lit(None).cast("string").alias("value"),
-    )
-    return scored_spans(spark, sf).groupBy("conv_id", "turn").agg(
-        F.sort_array(F.collect_list(span)).alias("found")
+    """The scored spans of each turn as an array, ``found``.
+
+    Only texts are shuffled.  The spans of a turn that has one text, which come in order, never
+    leave its row; those of a turn with several are put together where its texts are.
+    """
+    texts = turns(spark, sf).groupBy("conv_id", "turn").agg(F.collect_list("text").alias("texts"))
+    rows = texts.select("conv_id", "turn", F.size("texts").alias("n"), F.explode("texts").alias("text"))
+    cand = M.candidate_spans(rows, "conv_id", "turn", "n", max_width=8, nested="found")
+
+    def span(c: Column) -> Column:
+        label, score = _stand_in(c["start"], c["end"], c["first_word"])
+        return F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), label.alias("label"),
+            F.lit("model").alias("source"), score.alias("score"),
+            F.lit(None).cast("string").alias("value"),
+        )
+
+    scored = cand.select("conv_id", "turn", "n", F.transform("found", span).alias("found"))
+    one = scored.where(F.col("n") == 1).select("conv_id", "turn", "found")
+    several = scored.where(F.col("n") > 1).groupBy("conv_id", "turn").agg(
+        F.sort_array(F.flatten(F.collect_list("found"))).alias("found")
     )
+    return one.unionByName(several)
 
 
 # --- bodies ------------------------------------------------------------------------------------------

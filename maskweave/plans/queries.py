@@ -669,7 +669,7 @@ def _applied(spark, sf):
 @query
 def score_threshold(spark, sf):
     texts = I.scored_arrays(spark, sf)
-    rows = texts.withColumn("spans", D.score_at_least(F.col("found"), None))
+    rows = S.settled(texts, {"spans": D.score_at_least(F.col("found"), None)})
     return D.explode_spans(rows, "conv_id").groupBy("conv_id", "label").agg(F.count("*").alias("n"))
 
 

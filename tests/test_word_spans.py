@@ -41,3 +41,27 @@ def test_candidates_in_the_row_are_those_of_the_rows(spark):
         assert nested.count() == 3
         assert nested.select("id", F.inline("c")).collect() == rows.collect()
     assert "aggregate(" not in plan(rows)
+
+
+def turns(spark, folder):
+    rows = [(1, 0, "u", "a b c"), (1, 0, "a", "dd e"), (1, 0, "a", "dd e"), (1, 1, "u", None), (2, None, "u", "x y"), (None, 3, "u", "p q")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(
+        f"{folder}/conversations.parquet"
+    )
+    return str(folder)
+
+
+def test_scored_arrays_are_the_scored_spans_of_each_turn(spark, tmp_path):
+    sf = turns(spark, tmp_path)
+    key = ["conv_id", "turn"]
+    want = {}
+    for r in I.scored_spans(spark, sf).collect():
+        want.setdefault((r.conv_id, r.turn), []).append((r.start, r.end, r.label, r.score))
+    got = {
+        (r.conv_id, r.turn): [(s.start, s.end, s.label, s.score) for s in r.found]
+        for r in I.scored_arrays(spark, sf).collect()
+    }
+    assert got == {k: sorted(v) for k, v in want.items()}
+    strong = D.explode_spans(I.scored_arrays(spark, sf).select(*key, F.col("found").alias("spans")), *key)
+    n = strong.where("score >= 0.5").count()
+    assert sum(r.n for r in QUERIES["score_threshold"](spark, sf).collect()) == n
