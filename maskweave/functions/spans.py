@@ -250,9 +250,12 @@ def _kept_numbers():
         return kept
 
     @F.arrow_udf("array<int>")
-    def numbers(starts: pa.Array, ends: pa.Array, labels: pa.Array, scores: pa.Array) -> pa.Array:
-        rows = zip(*(x.to_pylist() for x in (starts, ends, labels, scores)))
-        return pa.array([None if r[0] is None else one(*r) for r in rows], pa.list_(pa.int32()))
+    def numbers(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for parts in batches:
+            # Few spans at a time become Python objects, and the answer leaves as it is found.
+            for first, n in _cuts(_sizes(parts[0]), BATCH_ITEMS):
+                rows = zip(*(x.slice(first, n).to_pylist() for x in parts))
+                yield pa.array([None if r[0] is None else one(*r) for r in rows], pa.list_(pa.int32()))
 
     return numbers
 

@@ -676,8 +676,8 @@ def score_threshold(spark, sf):
 @query
 def nms_spans(spark, sf):
     texts = I.scored_arrays(spark, sf)
-    strong = texts.withColumn("found", D.score_at_least(F.col("found"), None))
-    rows = strong.withColumn("spans", S.suppressed("found"))
+    strong = S.settled(texts, {"found": D.score_at_least(F.col("found"), None)})
+    rows = S.settled(strong, {"spans": S.suppressed("found")})
     return D.explode_spans(rows, "conv_id", "turn").select(
         "conv_id", "turn", "start", "end", "label", F.round("score", 6).alias("score")
     )

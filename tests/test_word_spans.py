@@ -65,3 +65,21 @@ def test_scored_arrays_are_the_scored_spans_of_each_turn(spark, tmp_path):
     strong = D.explode_spans(I.scored_arrays(spark, sf).select(*key, F.col("found").alias("spans")), *key)
     n = strong.where("score >= 0.5").count()
     assert sum(r.n for r in QUERIES["score_threshold"](spark, sf).collect()) == n
+
+
+def test_only_texts_are_shuffled_and_spans_suppressed_once(spark, tmp_path):
+    sf = turns(spark, tmp_path)
+    shown = plan(QUERIES["nms_spans"](spark, sf))
+    assert shown.count("ArrowEvalPython [numbers(") == 1
+    assert "collect_list(text" in shown
+
+
+def test_suppression_of_more_spans_than_one_run_of_a_batch(spark):
+    a = F.sequence(F.lit(0), F.lit(19_999))
+    span = lambda i: F.struct(i.cast("bigint").alias("start"), (i + 2).cast("bigint").alias("end"),
+                              F.lit("x").alias("label"), (F.lit(1.0) - i / 100_000).alias("score"))
+    df = spark.range(0, 30, 1, 1).select("id", F.transform(a, span).alias("found"))
+    kept = df.select("id", S.suppressed("found").alias("s")).select("id", F.size("s").alias("n"), F.get("s", F.lit(7))["start"].alias("at"))
+    assert kept.distinct().count() == 30
+    assert {(r.n, r["at"]) for r in kept.collect()} == {(10_000, 14)}
+    assert [*S._cuts(__import__("numpy").array([3, 3, 9, 0, 1]), 6)] == [(0, 2), (2, 1), (3, 2)]
