@@ -210,26 +210,29 @@ class Codec:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
-def _encoded_batch(codec: Codec, texts: pa.Array) -> pa.ListArray:
-    counts, ids = [np.zeros(1, np.int64)], [np.empty(0, np.int32)]
+def _encoded(codec: Codec, texts: pa.Array) -> Iterator[pa.ListArray]:
+    """Token ids of a batch, a run of its texts at a time: what is ready leaves the worker before
+    the next run is encoded, so that memory does not follow the size of an Arrow batch."""
     for part in chunked(texts):
-        n, flat = codec.encode_many(part)
-        counts.append(n)
-        ids.append(flat)
-    offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+        counts, ids = codec.encode_many(part)
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
 
 
-def _decoded_batch(codec: Codec, ids: pa.ListArray) -> pa.Array:
-    rows: list[bytes | None] = []
+def _decoded(codec: Codec, ids: pa.ListArray) -> Iterator[pa.Array]:
+    """The bytes of each list of a batch, ``DECODE_ROWS`` rows at a time."""
     for first in range(0, len(ids), DECODE_ROWS):
         part = ids.slice(first, DECODE_ROWS)
         flat = part.flatten().to_numpy(zero_copy_only=False)
         sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         stops = np.cumsum(sizes)
-        for known, size, stop in zip(part.is_valid().to_pylist(), sizes, stops):
-            rows.append(codec.decode(flat[stop - size : stop].tolist()) if known else None)
-    return pa.array(rows, pa.binary())
+        yield pa.array(
+            [
+                codec.decode(flat[stop - size : stop].tolist()) if known else None
+                for known, size, stop in zip(part.is_valid().to_pylist(), sizes, stops)
+            ],
+            pa.binary(),
+        )
 
 
 def encoded(text: Column, vocab: Broadcast, pattern: str) -> Column:
@@ -239,7 +242,7 @@ def encoded(text: Column, vocab: Broadcast, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(parse_ranks(vocab.value), pattern)
         for batch in batches:
-            yield _encoded_batch(codec, batch)
+            yield from _encoded(codec, batch)
 
     return encode(text)
 
@@ -251,8 +254,10 @@ def round_trip(text: Column, vocab: Broadcast, pattern: str) -> Column:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(parse_ranks(vocab.value), pattern)
         for batch in batches:
-            ids = _encoded_batch(codec, batch)
-            yield pa.StructArray.from_arrays([ids, _decoded_batch(codec, ids)], ["ids", "decoded"])
+            for coded in _encoded(codec, batch):
+                for first in range(0, len(coded), DECODE_ROWS):
+                    ids = coded.slice(first, DECODE_ROWS)
+                    yield pa.StructArray.from_arrays([ids, *_decoded(codec, ids)], ["ids", "decoded"])
 
     return both(text)
 
@@ -277,7 +282,7 @@ def decoded(ids: Column, vocab: Broadcast) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(parse_ranks(vocab.value), "")
         for batch in batches:
-            yield _decoded_batch(codec, batch)
+            yield from _decoded(codec, batch)
 
     return decode(ids)
 

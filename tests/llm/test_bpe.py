@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -70,3 +71,15 @@ def test_separate_steps_and_clashing_columns(spark, awkward, nothing):
     counts = awkward.select(bpe.token_counts(F.col("text"), vocab, public_tokenizers.PATTERN).alias("n"), "text")
     assert all(r["n"] == len(REFERENCE.encode_ordinary(r["text"] or "")) for r in counts.collect())
     assert bpe.digest(nothing, vocab, public_tokenizers.PATTERN).collect() == []
+
+
+def test_a_batch_leaves_in_runs():
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    texts = ["two words " * 40_000, None, "", "end"] * 4
+    parts = list(bpe._encoded(codec, pa.array(texts, pa.string())))
+    assert len(parts) > 1 and sum(map(len, parts)) == len(texts)
+    assert [x for p in parts for x in p.to_pylist()] == [codec.encode(t or "") for t in texts]
+    few = pa.array([[1], None, [2, 3]] * 300, pa.list_(pa.int32()))
+    back = list(bpe._decoded(codec, few))
+    assert max(map(len, back)) <= bpe.DECODE_ROWS
+    assert [x for b in back for x in b.to_pylist()] == [i and codec.decode(i) for i in few.to_pylist()]
